@@ -84,7 +84,7 @@ def commit_points_count_or_time(
     def maps(pdf):
         links, lead, size = _chain(pdf, n, gap)
         if size == 0:
-            return pd.DataFrame({**{k: [] for k in keys}, "_block": [], "_map": []})
+            return pdf.iloc[:0][[*keys, "_block"]].assign(_map=pd.Series(dtype=object))
         ends = _follow_to_end(links)
         exits = len(links) - ends[:lead][::-1]
         first = {k: [pdf[k].iloc[0]] for k in keys}
@@ -97,9 +97,7 @@ def commit_points_count_or_time(
     entries = settle(_entries(table, keys, key_ddl, 0 if count is None else count + 1, fan), "entries")
 
     def points(pdf):
-        links, lead, size = _chain(pdf, n, gap)
-        if size == 0:
-            return pd.DataFrame({**{k: [] for k in keys}, "_id": [], "_rn": [], "n": []})
+        links, lead, _ = _chain(pdf, n, gap)
         entry, hits, steps = int(pdf["_entry"].iloc[0]), [], []
         at, nxt = lead - entry, links.tolist()
         while nxt[at] < len(nxt):

@@ -49,9 +49,12 @@ def fetch_safety_window(
 ) -> DataFrame:
     """Read again from a little before ``start`` and skip what was handled.
 
-    Seen events are dropped before the limit: they must not use up the batch.
+    Seen events are dropped before the limit: they must not use up the batch. Of the ledger only
+    the rows of the window are read.
     """
     bound = back_off(as_bound(start, events.schema[order[0]].dataType), seconds)
+    if order[0] in seen.columns:
+        seen = seen.filter(P.after(F.col(order[0]), bound))
     window = events.filter(P.after(F.col(order[0]), bound) & P.other_than(F.col(doc_id), last_id))
     return next_batch(drop_seen(window, seen, seen_on), k, order)
 
@@ -87,8 +90,8 @@ def _pending_by_slot(events, offsets, k, order, index):
         events = events.filter(F.col(order[0]) >= as_bound(lowest, stored))
     placed = (
         events.join(F.broadcast(marks), index)
+        .filter(F.col("has_first") | (F.col(order[0]) >= F.get("marks", F.lit(0))["ts"]))
         .withColumn("slot", slot_of_event(order))
-        .filter(F.col("has_first") | (F.col("slot") > 0))
         .drop("marks", "has_first")
     )
     candidates = first_k(placed, [index, "slot"], order, k).drop("rn")

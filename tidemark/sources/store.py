@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.timestamps import as_bound, effective_start, micros, safe_start
 from tidemark.operators import offsets as ops
+from tidemark.plans.workspace import prepare
 from tidemark.schemas import ATTEMPTS, LEDGER, OFFSETS
 from tidemark.sources.files import child_names, delete, exists
 
@@ -50,7 +51,7 @@ def _part(name, value) -> str:
 
 class OffsetStore:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.root = root.rstrip("/")
 
     def path(self, table: str) -> str:
@@ -220,5 +221,6 @@ class OffsetStore:
 
 def append_commits(log: DataFrame, path: str, batch: int) -> None:
     """Append many commit rows as one batch directory; writing the batch again replaces it."""
+    prepare(log.sparkSession)
     log.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 

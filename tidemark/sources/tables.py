@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.upsert import newest_per_id, upsert
-from tidemark.plans.workspace import settle
+from tidemark.plans.workspace import prepare, settle
 from tidemark.schemas import EVENTS, same_columns
 from tidemark.sources.files import delete, exists
 
@@ -24,7 +24,7 @@ def create_if_absent(spark: SparkSession, path: str, schema=EVENTS) -> bool:
         if not same_columns(present, schema):
             raise ValueError(f"table at {path} has columns {present.simpleString()}, not {schema.simpleString()}")
         return False
-    spark.createDataFrame([], schema).write.parquet(path)
+    prepare(spark).createDataFrame([], schema).write.parquet(path)
     return True
 
 
@@ -34,6 +34,7 @@ def by_day(df: DataFrame, ts="timestamp") -> DataFrame:
 
 def write_by_day(df: DataFrame, path: str) -> None:
     """Write whole days, replacing those present. Large days are split over tasks, small ones merged."""
+    prepare(df.sparkSession)
     dated = df if DAY in df.columns else by_day(df)
     (
         dated.hint("rebalance", DAY)
