@@ -29,13 +29,12 @@ OFFSETS = T.StructType(
     ]
 )
 
-# Read attempts: a 'start' row when a read begins, a 'done' row when its batch is finished.
+# Reads that were begun and not finished; a row goes when its batch is done.
 ATTEMPTS = T.StructType(
     [
         T.StructField("consumer_id", T.StringType(), False),
         T.StructField("index_name", T.StringType(), False),
         T.StructField("attempt", T.LongType()),
-        T.StructField("state", T.StringType()),
         T.StructField("at", T.TimestampType()),
     ]
 )

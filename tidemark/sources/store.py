@@ -1,4 +1,4 @@
-"""The offset store: an append-only commit log, read attempts and the ledger of handled events.
+"""The offset store: an append-only commit log, marks of open reads and the ledger of handled events.
 
 Each write is one directory named after what it records (consumer, index, commit number), so
 writing it again replaces it, and consumers never write to each other's directories. Nothing is
@@ -73,6 +73,9 @@ class OffsetStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", self.path(table)).parquet(folder)
 
+    def _one_row(self) -> DataFrame:
+        return self.spark.range(0, 1, 1, 1)
+
     def _numbers(self, folder: str, name: str) -> list[int]:
         return [int(n.split("=")[1]) for n in child_names(self.spark, folder) if n.startswith(f"{name}=")]
 
@@ -95,16 +98,13 @@ class OffsetStore:
     def handled_by(self, consumer_id: str, index_name: str) -> DataFrame:
         return self._mine("ledger", LEDGER, consumer_id, index_name)
 
-    def attempts(self) -> DataFrame:
+    def open_attempts(self) -> DataFrame:
+        """Reads that were begun and not finished."""
         return self._read("attempts", ATTEMPTS)
 
     def latest(self) -> DataFrame:
         return ops.latest_offsets(self.log())
 
-    def open_attempts(self) -> DataFrame:
-        rows = self.attempts()
-        return ops.open_attempts(rows.filter("state = 'start'"), rows.filter("state = 'done'"))
-
     # --- one consumer
 
     def load(self, consumer_id: str, index_name: str, before: int | None = None) -> Position:
@@ -113,9 +113,10 @@ class OffsetStore:
         ``before`` looks only at earlier commit numbers, which is what a replayed commit builds on.
         This is the only offset row that reaches the driver. As a constant it can be pushed down.
         """
-        started = self._mine("attempts", ATTEMPTS, consumer_id, index_name)
-        started = ops.open_attempts(started.filter("state = 'start'"), started.filter("state = 'done'"))
-        query_start = started.agg(micros(F.min("at")).alias("us")).first().us
+        query_start = None
+        if self._numbers(self._folder("attempts", consumer_id, index_name), "attempt"):
+            began = self._mine("attempts", ATTEMPTS, consumer_id, index_name)
+            query_start = began.agg(micros(F.min("at")).alias("us")).first().us
         folder = self._folder(OFFSET_TABLE, consumer_id, index_name)
         numbers = [n for n in self._numbers(folder, "commit_seq") if before is None or n < before]
         for number in sorted(numbers, reverse=True):
@@ -147,7 +148,7 @@ class OffsetStore:
         self._save(consumer_id, index_name, position, updated, False)
 
     def _save(self, consumer_id, index_name, position, updated, deleted) -> None:
-        row = self.spark.range(1).select(
+        row = self._one_row().select(
             as_bound(position.micros).alias("last_processed_timestamp"),
             F.lit(position.doc_id).cast("string").alias("last_processed_doc_id"),
             (F.current_timestamp() if updated is None else as_bound(updated)).alias("last_updated"),
@@ -157,7 +158,7 @@ class OffsetStore:
             F.lit(position.epoch).alias("epoch"),
             F.lit(deleted).alias("deleted"),
         )
-        self._write(row.coalesce(1), OFFSET_TABLE, OFFSETS, consumer_id, index_name, position.commit_seq)
+        self._write(row, OFFSET_TABLE, OFFSETS, consumer_id, index_name, position.commit_seq)
 
     def record_handled(self, consumer_id: str, index_name: str, commit_seq: int, events: DataFrame, epoch=0) -> None:
         rows = events.select("doc_id", "timestamp", F.lit(epoch).alias("epoch"))
@@ -173,7 +174,7 @@ class OffsetStore:
     def seek(self, consumer_id: str, index_name: str, to) -> Position:
         """Move to a time (micros, datetime or ISO text). The total is kept, the epoch is raised."""
         now = self.load(consumer_id, index_name)
-        us = self.spark.range(1).select(micros(as_bound(to)).alias("us")).first().us
+        us = self._one_row().select(micros(as_bound(to)).alias("us")).first().us
         moved = Position(us, None, now.total, None, now.epoch + 1, now.commit_seq + 1, us)
         self.save(consumer_id, index_name, moved)
         return moved
@@ -184,24 +185,18 @@ class OffsetStore:
     # --- read attempts
 
     def mark_start(self, consumer_id: str, index_name: str, at=None) -> int:
-        """Note that a read begins. Returns the attempt number to clear."""
-        attempt = max(self._numbers(self._folder("attempts", consumer_id, index_name), "attempt"), default=-1) + 1
-        self._write_attempt(consumer_id, index_name, attempt, "start", at)
+        """Note that a read begins; earlier unfinished reads keep their own mark."""
+        folder = self._folder("attempts", consumer_id, index_name)
+        attempt = max(self._numbers(folder, "attempt"), default=-1) + 1
+        row = self._one_row().select((F.current_timestamp() if at is None else as_bound(at)).alias("at"))
+        row.write.mode("overwrite").parquet(f"{folder}/{_part('attempt', attempt)}")
         return attempt
 
     def clear_start(self, consumer_id: str, index_name: str) -> None:
-        """Note that a read and its whole batch are finished. Closes failed earlier attempts too."""
+        """The read and its whole batch are finished: remove its mark, and those of failed reads before it."""
         folder = self._folder("attempts", consumer_id, index_name)
-        numbers = sorted(self._numbers(folder, "attempt"))
-        for number in numbers[:-1]:
+        for number in self._numbers(folder, "attempt"):
             delete(self.spark, f"{folder}/{_part('attempt', number)}")
-        if numbers:
-            self._write_attempt(consumer_id, index_name, numbers[-1], "done", None)
-
-    def _write_attempt(self, consumer_id, index_name, attempt, state, at) -> None:
-        folder = self._folder("attempts", consumer_id, index_name)
-        row = self.spark.range(1).select((F.current_timestamp() if at is None else as_bound(at)).alias("at"))
-        row.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{_part('attempt', attempt)}/{_part('state', state)}")
 
     def start_columns(self) -> DataFrame:
         """Per live consumer: the plain effective start and the one a reader may safely use."""
