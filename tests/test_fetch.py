@@ -74,15 +74,15 @@ def test_resume_bound_reaches_the_scan(spark, folder, capsys):
 # Consumers over shared events: both routes against a plain loop.
 
 
-def shared(spark, seed, n_events=300, n_consumers=9):
+def shared(spark, seed, n_events=300, n_consumers=9, step=1):
     rng = random.Random(seed)
-    # two thirds of the events are in one index, times are often equal
-    rows = [(rng.choice(["hot", "hot", "cold"]), rng.randrange(40), i) for i in range(n_events)]
+    # two thirds of the events are in one index, times are often equal; step 1500 spreads them over hours
+    rows = [(rng.choice(["hot", "hot", "cold"]), rng.randrange(40) * step, i) for i in range(n_events)]
     marks = []
     for c in range(n_consumers):
         for index in ("hot", "cold"):
             kind = rng.randrange(4)
-            ts = None if kind == 0 else rng.randrange(-2, 42)
+            ts = None if kind == 0 else rng.randrange(-2, 42) * step
             marks.append((f"c{c}", index, ts, rng.randrange(n_events) if kind > 1 else None))
     ev = spark.createDataFrame(rows, "index_name string, t long, id long").select(
         "index_name", F.timestamp_seconds("t").alias("timestamp"), F.col("id").alias("doc_id")
@@ -104,9 +104,9 @@ def due(rows, mark):
 
 
 @pytest.mark.parametrize("max_marks", [256, 0])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_pending_per_consumer(spark, seed, max_marks):
-    rows, marks, ev, off = shared(spark, seed)
+@pytest.mark.parametrize("seed, step", [(1, 1), (2, 1500)])
+def test_pending_per_consumer(spark, seed, step, max_marks):
+    rows, marks, ev, off = shared(spark, seed, step=step)
     got = fetch.pending_per_consumer(ev, off, 7, max_marks=max_marks).collect()
     want = {(m[0], m[1], i, n + 1) for m in marks for n, (_, i) in enumerate(due(rows, m)[:7])}
     assert {(r.consumer_id, r.index_name, r.doc_id, r.rn) for r in got} == want
@@ -114,15 +114,28 @@ def test_pending_per_consumer(spark, seed, max_marks):
 
 
 @pytest.mark.parametrize("max_marks", [256, 0])
-@pytest.mark.parametrize("seed", [3, 4])
-def test_offset_lag(spark, seed, max_marks):
-    rows, marks, ev, off = shared(spark, seed)
+@pytest.mark.parametrize("seed, step", [(3, 1), (4, 1500)])
+def test_offset_lag(spark, seed, step, max_marks):
+    rows, marks, ev, off = shared(spark, seed, step=step)
     newest = {x: max(t for y, t, _ in rows if x == y) for x in ("hot", "cold")}
     got = {(r.consumer_id, r.index_name): (r.lag_n, r.lag_s) for r in offset_lag(ev, off, max_marks=max_marks).collect()}
     want = {(m[0], m[1]): (len(due(rows, m)), max(0, newest[m[1]] - (m[2] or 0))) for m in marks}
     assert got == want
 
 
+def test_few_consumers_far_apart(spark):
+    """Most hours lie between two positions and are not needed."""
+    rows, _, ev, _ = shared(spark, 6, n_events=500, step=1500)
+    marks = [("early", "hot", 1500, None), ("late", "hot", 45_000, 3), ("end", "hot", 10**6, 1)]
+    off = spark.createDataFrame(marks, "consumer_id string, index_name string, t long, last_id long").select(
+        "consumer_id", "index_name", F.timestamp_seconds("t").alias("last_ts"), "last_id"
+    )
+    got = fetch.pending_per_consumer(ev, off, 40).collect()
+    want = {(m[0], i, n + 1) for m in marks for n, (_, i) in enumerate(due(rows, m)[:40])}
+    assert {(r.consumer_id, r.doc_id, r.rn) for r in got} == want
+    assert {r.consumer_id: r.lag_n for r in offset_lag(ev, off).collect()} == {m[0]: len(due(rows, m)) for m in marks}
+
+
 def test_index_with_first_runs_only_and_index_without_events(spark):
     _, _, ev, _ = shared(spark, 5)
     off = spark.createDataFrame(

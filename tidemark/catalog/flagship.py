@@ -10,4 +10,4 @@ def flagship(spark, sf_dir):
     events = ev(spark, sf_dir)
     stored = settle(offsets(events), "offsets")
     batches = pending_per_consumer(events.select("index_name", *ORDER), stored, K, ORDER)
-    return advance_offsets(batches, stored, OWNER, ORDER)
+    return advance_offsets(settle(batches, "batches"), stored, OWNER, ORDER)

@@ -84,15 +84,18 @@ def offsets(events):
         .otherwise(at("2024-01-10 00:00:00"))
     )
     past = (F.col("consumer_id") != "c3") & (F.col("ts") < cut)
-    newest = F.max(F.when(past, F.struct("ts", "event_id")))
-    grouped = events.groupBy(*OWNER).agg(newest.alias("p"), F.count_if(past).alias("total"))
+    done = F.when(past, F.col("ts"))
+    grouped = events.groupBy(*OWNER).agg(
+        F.max(done).alias("last_ts"), F.max_by("event_id", done).alias("last_id"), F.count_if(past).alias("total")
+    )
+    last = F.col("last_ts")
     return grouped.select(
         *OWNER,
-        F.col("p.ts").alias("last_ts"),
-        F.col("p.event_id").alias("last_id"),
+        "last_ts",
+        "last_id",
         "total",
-        F.when(F.col("consumer_id") == "c1", F.col("p.ts") - F.expr("INTERVAL 1 DAY"))
-        .when(F.col("consumer_id") == "c2", F.col("p.ts") + F.expr("INTERVAL 1 HOUR"))
+        F.when(F.col("consumer_id") == "c1", last - F.expr("INTERVAL 1 DAY"))
+        .when(F.col("consumer_id") == "c2", last + F.expr("INTERVAL 1 HOUR"))
         .alias("query_start"),
     )
 

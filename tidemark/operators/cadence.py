@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.joins import attach_per_key
 from tidemark.plans.positions import with_position
 from tidemark.plans.workspace import settle
 from tidemark.schemas import EVENT_ORDER
@@ -35,11 +34,9 @@ def commit_points_count(events: DataFrame, n=COMMIT_EVERY, keys=("consumer_id",)
 
 def commit_points_final(events: DataFrame, n=COMMIT_EVERY, keys=("consumer_id",), order=EVENT_ORDER) -> DataFrame:
     """As :func:`commit_points_count`, and the last event of a key commits what is left."""
-    ranked = settle(with_position(events, keys, order, "_rn"), "ranked")
-    totals = ranked.groupBy(*keys).agg(F.max("_rn").alias("_total"))
+    ranked = with_position(events, keys, order, "_rn", "_total")
     return (
-        attach_per_key(ranked, totals, keys, [order[1]])
-        .filter((F.col("_rn") % n == 0) | (F.col("_rn") == F.col("_total")))
+        ranked.filter((F.col("_rn") % n == 0) | (F.col("_rn") == F.col("_total")))
         .withColumn("commit_no", F.ceil(F.col("_rn") / n).cast("long"))
         .drop("_rn", "_total")
     )

@@ -5,9 +5,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
-from tidemark.functions.timestamps import as_bound, back_off, exact_text
+from tidemark.functions.timestamps import as_bound, back_off
 from tidemark.operators.dedup import drop_seen
-from tidemark.operators.marks import bounded_marks, mark_struct, marks_by_index, slot_of_event
+from tidemark.operators.marks import (
+    as_rank_marks,
+    bounded_marks,
+    bucket_counts,
+    in_hours,
+    marks_by,
+    milestones,
+    since,
+    slot_of_event,
+    slot_of_mark,
+    with_bucket,
+)
 from tidemark.plans.positions import events_up_to, with_position
 from tidemark.plans.topk import first_k
 from tidemark.plans.workspace import settle
@@ -72,36 +83,26 @@ def pending_per_consumer(
     ``offsets``: consumer_id, ``index``, last_ts, last_id; a null last_ts is a first run. Consumers
     of one index share its events.
     """
-    offsets = settle(offsets.select("consumer_id", index, "last_ts", "last_id"), "offsets")
-    if bounded_marks(offsets, index, max_marks):
-        return _pending_by_slot(events, offsets, k, order, index)
-    return _pending_by_rank(events, offsets, k, order, index)
+    offsets = settle(with_bucket(offsets.select("consumer_id", index, "last_ts", "last_id")), "offsets")
+    ahead = since(events, offsets, order)
+    hours = milestones(bucket_counts(ahead.select(index, order[0]), order, index), offsets, index)
+    # An hour is read if a consumer stands in it, or if the hours between it and the last such hour
+    # do not yet hold k events.
+    near = hours.filter((F.col("n") > 0) & (F.col("is_mark") | (F.col("up_to") - F.col("n") - F.col("anchor") < k)))
+    ahead = in_hours(ahead, near, order, index).drop("bucket")
+    if bounded_marks(offsets, [index], max_marks):
+        return _pending_by_slot(ahead, offsets, k, order, index)
+    return _pending_by_rank(settle(ahead, "ahead"), offsets, k, order, index)
 
 
 def _pending_by_slot(events, offsets, k, order, index):
     # Each event falls into one slot: the number of positions of its index that lie before it. A
     # consumer wants the first k events of all slots from its own on, so k per slot is enough, and
     # no event is paired with every consumer.
-    marks = marks_by_index(offsets, index)
-    stored = offsets.schema["last_ts"].dataType
-    low = offsets.agg(F.min("last_ts").alias("ts"), F.max(F.col("last_ts").isNull()).alias("any_first"))
-    lowest = low.select(F.when(~F.col("any_first"), exact_text(F.col("ts"), stored)).alias("ts")).first().ts
-    if lowest is not None:
-        events = events.filter(F.col(order[0]) >= as_bound(lowest, stored))
-    placed = (
-        events.join(F.broadcast(marks), index)
-        .filter(F.col("has_first") | (F.col(order[0]) >= F.get("marks", F.lit(0))["ts"]))
-        .withColumn("slot", slot_of_event(order))
-        .drop("marks", "has_first")
-    )
+    marks = F.broadcast(marks_by(offsets, [index]))
+    placed = events.join(marks, index).withColumn("slot", slot_of_event(order)).drop("marks")
     candidates = first_k(placed, [index, "slot"], order, k).drop("rn")
-    wanted = offsets.join(F.broadcast(marks), index).select(
-        "consumer_id",
-        index,
-        F.when(F.col("last_ts").isNull(), F.lit(0))
-        .otherwise(F.array_position("marks", mark_struct()).cast("int"))
-        .alias("from_slot"),
-    )
+    wanted = offsets.join(marks, index).select("consumer_id", index, slot_of_mark().alias("from_slot"))
     mine = candidates.join(F.broadcast(wanted), index).filter(F.col("slot") >= F.col("from_slot"))
     w = W.partitionBy("consumer_id", index).orderBy(*order)
     return mine.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("slot", "from_slot")
@@ -109,14 +110,7 @@ def _pending_by_slot(events, offsets, k, order, index):
 
 def _pending_by_rank(events, offsets, k, order, index):
     # Number the events of each index once; a position becomes a rank and its batch a rank range.
-    marks = offsets.select(
-        "consumer_id",
-        index,
-        F.col("last_ts").alias(order[0]),
-        F.col("last_id").alias(order[1]),
-        (F.col("last_ts").isNotNull() & F.col("last_id").isNull()).cast("int").alias("_tail"),
-    )
-    before = events_up_to(events, marks, [index], order, ["consumer_id"])
+    before = events_up_to(events, as_rank_marks(offsets, [index], order), [index], order, ["consumer_id"])
     wanted = before.select(
         "consumer_id", index, F.posexplode(F.sequence(F.col("before") + 1, F.col("before") + k)).alias("rn", "_rank")
     ).withColumn("rn", F.col("rn") + 1)

@@ -1,18 +1,88 @@
-"""Positions of many consumers over one index, as a small sorted array per index."""
+"""Positions of many consumers over shared indexes.
+
+A first narrow pass counts events per index and hour. From those counts follows which hours hold
+any consumer's next events, so that only these are read, placed and ordered.
+"""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.plans.joins import BROADCAST_ROWS
+from tidemark.functions.timestamps import as_bound, exact_text
+from tidemark.plans.joins import BROADCAST_ROWS, attach_per_key
+from tidemark.plans.workspace import settle
 
-# More distinct positions than this on one index are handled by ranking instead.
+# More distinct positions than this in one group are handled by ranking instead.
 MAX_MARKS = 256
+BUCKET_SECONDS = 3600
+# The bucket of a consumer that starts from nothing lies before all others.
+BEFORE_ALL = -(2**62)
+
+
+def bucket_of(ts):
+    return F.floor(F.unix_seconds(ts.cast("timestamp")) / BUCKET_SECONDS).cast("long")
+
+
+def bucket_counts(events: DataFrame, order, index: str) -> DataFrame:
+    """Events per (index, hour) and the newest of them: as many rows as there are hours."""
+    counted = events.groupBy(index, bucket_of(F.col(order[0])).alias("bucket"))
+    return settle(counted.agg(F.count(F.lit(1)).alias("n"), F.max(order[0]).alias("newest")), "counts")
+
+
+def milestones(counts: DataFrame, offsets: DataFrame, index: str) -> DataFrame:
+    """The hours of each index with running counts, and the hours in which a consumer stands.
+
+    ``anchor`` is the count up to and including the last such hour before this one.
+    """
+    stands = offsets.select(index, "bucket").distinct().withColumn("is_mark", F.lit(True))
+    hours = counts.join(stands, [index, "bucket"], "full").select(
+        index,
+        "bucket",
+        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("is_mark", F.lit(False)).alias("is_mark"),
+    )
+    w = W.partitionBy(index).orderBy("bucket")
+    up_to = hours.withColumn("up_to", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    passed = F.last(F.when(F.col("is_mark"), F.col("up_to")), ignorenulls=True)
+    return up_to.withColumn("anchor", passed.over(w.rowsBetween(W.unboundedPreceding, -1)))
+
+
+def with_bucket(offsets: DataFrame) -> DataFrame:
+    return offsets.withColumn("bucket", F.coalesce(bucket_of(F.col("last_ts")), F.lit(BEFORE_ALL)))
 
 
-def bounded_marks(offsets: DataFrame, index: str, max_marks=None) -> bool:
-    """Are the positions few enough, per index and in all, to send to every task?"""
+def lowest_position(offsets: DataFrame):
+    """The earliest position as a text for a scan bound; None if a consumer starts from nothing."""
+    stored = offsets.schema["last_ts"].dataType
+    low = offsets.agg(F.min("last_ts").alias("ts"), F.max(F.col("last_ts").isNull()).alias("any_first"))
+    return low.select(F.when(~F.col("any_first"), exact_text(F.col("ts"), stored)).alias("ts")).first().ts
+
+
+def since(events: DataFrame, offsets: DataFrame, order) -> DataFrame:
+    """Leave out what lies before every position."""
+    lowest = lowest_position(offsets)
+    if lowest is None:
+        return events
+    return events.filter(F.col(order[0]) >= as_bound(lowest, events.schema[order[0]].dataType))
+
+
+def in_hours(events: DataFrame, hours: DataFrame, order, index: str) -> DataFrame:
+    """The events of the given (index, bucket) rows. The span they cover bounds the scan."""
+    hours = settle(hours.select(index, "bucket"), "hours")
+    span = hours.filter(F.col("bucket") > BEFORE_ALL).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
+    if span.low is None:
+        return events.limit(0).withColumn("bucket", F.lit(BEFORE_ALL))
+    ts, stored = F.col(order[0]), events.schema[order[0]].dataType
+    first = as_bound(span.low * BUCKET_SECONDS * 1_000_000, stored)
+    last = as_bound((span.high + 1) * BUCKET_SECONDS * 1_000_000, stored)
+    bounded = events.filter((ts >= first) & (ts < last)).withColumn("bucket", bucket_of(ts))
+    return attach_per_key(bounded, hours, [index, "bucket"], [order[1]], "inner")
+
+
+def bounded_marks(offsets: DataFrame, group, max_marks=None) -> bool:
+    """Are the positions few enough, per group and in all, to send to every task?"""
     limit = MAX_MARKS if max_marks is None else max_marks
-    size = offsets.groupBy(index).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    size = offsets.groupBy(*group).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
     return size.most is None or (size.most <= limit and size.all <= BROADCAST_ROWS)
 
 
@@ -23,15 +93,30 @@ def mark_struct():
     )
 
 
-def marks_by_index(offsets: DataFrame, index: str) -> DataFrame:
-    """Per index: its distinct positions in order, and whether a consumer starts from nothing."""
-    return offsets.groupBy(index).agg(
-        F.array_sort(F.collect_set(F.when(F.col("last_ts").isNotNull(), mark_struct()))).alias("marks"),
-        F.max(F.col("last_ts").isNull()).alias("has_first"),
+def marks_by(offsets: DataFrame, group) -> DataFrame:
+    """Per group: its distinct positions in order."""
+    return offsets.groupBy(*group).agg(
+        F.array_sort(F.collect_set(F.when(F.col("last_ts").isNotNull(), mark_struct()))).alias("marks")
     )
 
 
 def slot_of_event(order):
-    """How many positions of the event's index lie before the event."""
+    """How many positions of the event's group lie before the event."""
     event = F.struct(F.col(order[0]).alias("ts"), F.lit(0).alias("tail"), F.col(order[1]).alias("id"))
     return F.size(F.filter("marks", lambda m: m < event))
+
+
+def slot_of_mark():
+    """The slot of the first events after a position (0 for a start from nothing)."""
+    return F.when(F.col("last_ts").isNull(), F.lit(0)).otherwise(F.array_position("marks", mark_struct()).cast("int"))
+
+
+def as_rank_marks(offsets: DataFrame, group, order) -> DataFrame:
+    """Positions as rows that sort among the events."""
+    return offsets.select(
+        "consumer_id",
+        *group,
+        F.col("last_ts").alias(order[0]),
+        F.col("last_id").alias(order[1]),
+        (F.col("last_ts").isNotNull() & F.col("last_id").isNull()).cast("int").alias("_tail"),
+    )

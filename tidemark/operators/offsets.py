@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import resume_or_first
-from tidemark.functions.timestamps import as_bound, epoch, to_instant
+from tidemark.functions.timestamps import as_bound, epoch, exact_text, to_instant
 from tidemark.operators.dedup import drop_seen
 from tidemark.plans.joins import attach_per_key
+from tidemark.plans.workspace import settle
 from tidemark.schemas import CONSUMER_KEY, EVENT_ORDER
 
 
@@ -55,15 +56,34 @@ def pending_of_owner(events: DataFrame, offsets: DataFrame, keys=CONSUMER_KEY, o
     return joined.filter(resume_or_first(ts, tie, F.col("last_ts"), F.col("last_id"))).drop("last_ts", "last_id")
 
 
+def newest_per_key(events: DataFrame, keys=CONSUMER_KEY, order=EVENT_ORDER) -> DataFrame:
+    """The newest (time, id) of each key and the key's number of events ``n``.
+
+    The newest time is a plain hash aggregate. Only events at that time are then looked at for the
+    id, and the earliest such time bounds the second scan; comparing pairs throughout would sort
+    every row by its key. ``events`` is evaluated twice: settle it first if it is costly.
+    """
+    ts, kind = F.col(order[0]), events.schema[order[0]].dataType
+    top = settle(events.groupBy(*keys).agg(F.max(ts).alias("_top"), F.count(F.lit(1)).alias("n")), "top")
+    low = top.agg(exact_text(F.min("_top"), kind).alias("low")).first().low
+    last = events.select(*keys, *order)
+    if low is not None:
+        last = last.filter(ts >= as_bound(low, kind))
+    at_top = attach_per_key(last, top.select(*keys, "_top"), keys, [order[1]], "inner").filter(ts == F.col("_top"))
+    ids = at_top.groupBy(*keys).agg(F.max(order[1]).alias(order[1]))
+    return top.join(ids, list(keys)).select(*keys, F.col("_top").alias(order[0]), order[1], "n")
+
+
 def advance_offsets(events: DataFrame, offsets: DataFrame, keys=CONSUMER_KEY, order=EVENT_ORDER) -> DataFrame:
     """Every offset after its consumer has handled ``events``.
 
     The position is the larger of the stored and the newest handled (time, id) pair, so both parts
     come from one event and it never goes back. The total grows by the events handled.
     """
-    handled = events.groupBy(*keys).agg(
-        F.max(F.struct(F.col(order[0]).alias("last_ts"), F.col(order[1]).alias("last_id"))).alias("_new"),
-        F.count(F.lit(1)).alias("_n"),
+    handled = newest_per_key(events, keys, order).select(
+        *keys,
+        F.struct(F.col(order[0]).alias("last_ts"), F.col(order[1]).alias("last_id")).alias("_new"),
+        F.col("n").alias("_n"),
     )
     stored = offsets.select(
         *keys, F.when(F.col("last_ts").isNotNull(), F.struct("last_ts", "last_id")).alias("_old"), "total"

@@ -4,7 +4,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import as_bound, epoch, micros
-from tidemark.operators.marks import bounded_marks, mark_struct, marks_by_index, slot_of_event
+from tidemark.operators.marks import (
+    as_rank_marks,
+    bounded_marks,
+    bucket_counts,
+    in_hours,
+    marks_by,
+    milestones,
+    since,
+    slot_of_event,
+    slot_of_mark,
+    with_bucket,
+)
 from tidemark.operators.offsets import latest_offsets
 from tidemark.plans.joins import attach_per_key
 from tidemark.plans.positions import events_up_to
@@ -52,54 +63,50 @@ def offset_lag(events: DataFrame, offsets: DataFrame, order=EVENT_ORDER, index="
 
     ``offsets``: consumer_id, ``index``, last_ts, last_id (null last_ts = from the beginning).
     """
-    offsets = settle(offsets.select("consumer_id", index, "last_ts", "last_id"), "offsets")
-    slim = events.select(index, *order)
-    if bounded_marks(offsets, index, max_marks):
-        counted = _lag_by_slot(slim, offsets, order, index)
-    else:
-        counted = _lag_by_rank(slim, offsets, order, index)
+    offsets = settle(with_bucket(offsets.select("consumer_id", index, "last_ts", "last_id")), "offsets")
+    ahead = since(events.select(index, *order), offsets, order)
+    counts = bucket_counts(ahead, order, index)
+    newest = counts.groupBy(index).agg(F.sum("n").alias("_all"), F.max("newest").alias("newest"))
+    stands = milestones(counts, offsets, index).filter("is_mark").select(index, "bucket", "n", "up_to")
+    # whole hours after the position come from the counts, the hour it stands in is looked into
+    hours = settle(stands, "stands")
+    inside = in_hours(ahead, hours.filter("n > 0"), order, index)
+    placed = offsets.filter(F.col("last_ts").isNotNull())
+    count_inside = _inside_by_slot if bounded_marks(placed, [index, "bucket"], max_marks) else _inside_by_rank
+    rest = settle(count_inside(inside, placed, order, index), "inside")
     start = F.coalesce(F.col("last_ts"), epoch(offsets.schema["last_ts"].dataType))
     behind = F.floor((micros(F.col("newest")) - micros(start)) / F.lit(1_000_000))
-    return offsets.join(counted, ["consumer_id", index], "left").select(
-        "consumer_id",
-        index,
-        F.coalesce("lag_n", F.lit(0)).cast("long").alias("lag_n"),
-        F.greatest(F.coalesce(behind, F.lit(0)), F.lit(0)).cast("long").alias("lag_s"),
+    later = F.coalesce(F.col("_all"), F.lit(0)) - F.coalesce(F.col("up_to"), F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    return (
+        offsets.join(hours.select(index, "bucket", "up_to"), [index, "bucket"], "left")
+        .join(rest, ["consumer_id", index], "left")
+        .join(newest, index, "left")
+        .select(
+            "consumer_id",
+            index,
+            later.cast("long").alias("lag_n"),
+            F.greatest(F.coalesce(behind, F.lit(0)), F.lit(0)).cast("long").alias("lag_s"),
+        )
     )
 
 
-def _lag_by_slot(events, offsets, order, index):
-    # One pass: count events between neighbouring positions, then add up the slots after each.
-    marks = marks_by_index(offsets, index)
-    slots = (
-        events.join(F.broadcast(marks), index)
-        .groupBy(index, slot_of_event(order).alias("slot"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max(order[0]).alias("newest"))
-    )
-    wanted = offsets.join(F.broadcast(marks), index).select(
-        "consumer_id",
-        index,
-        F.when(F.col("last_ts").isNull(), 0).otherwise(F.array_position("marks", mark_struct())).alias("from_slot"),
-    )
-    return (
-        slots.join(F.broadcast(wanted), index)
-        .groupBy("consumer_id", index)
-        .agg(F.sum(F.when(F.col("slot") >= F.col("from_slot"), F.col("n"))).alias("lag_n"), F.max("newest").alias("newest"))
-    )
+def _inside_by_slot(events, offsets, order, index):
+    """Per consumer, the events of its hour after it: counted between neighbouring positions, then added up."""
+    group = [index, "bucket"]
+    marks = F.broadcast(marks_by(offsets, group))
+    slots = events.join(marks, group).groupBy(*group, slot_of_event(order).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = offsets.join(marks, group).select("consumer_id", *group, slot_of_mark().alias("from_slot"))
+    mine = slots.join(F.broadcast(wanted), group).filter(F.col("slot") >= F.col("from_slot"))
+    return mine.groupBy("consumer_id", index).agg(F.sum("n").alias("_inside"))
 
 
-def _lag_by_rank(events, offsets, order, index):
-    marks = offsets.select(
-        "consumer_id",
-        index,
-        F.col("last_ts").alias(order[0]),
-        F.col("last_id").alias(order[1]),
-        (F.col("last_ts").isNotNull() & F.col("last_id").isNull()).cast("int").alias("_tail"),
-    )
-    before = events_up_to(events, marks, [index], order, ["consumer_id"])
-    totals = events.groupBy(index).agg(F.count(F.lit(1)).alias("_all"), F.max(order[0]).alias("newest"))
-    return before.join(settle(totals, "totals"), index).select(
-        "consumer_id", index, (F.col("_all") - F.col("before")).alias("lag_n"), "newest"
+def _inside_by_rank(events, offsets, order, index):
+    group = [index, "bucket"]
+    events = settle(events, "inside")
+    before = events_up_to(events, as_rank_marks(offsets, group, order), group, order, ["consumer_id"])
+    totals = events.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    return before.join(settle(totals, "totals"), group).select(
+        "consumer_id", index, (F.col("_n") - F.col("before")).alias("_inside")
     )
 
 

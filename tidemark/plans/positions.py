@@ -31,8 +31,11 @@ def _join_parts(laid: DataFrame, parts: DataFrame, keys) -> DataFrame:
     return laid.join(settle(parts, "parts"), [*keys, "_part"])
 
 
-def with_position(df: DataFrame, keys, order, name="rn") -> DataFrame:
-    """Number the rows 1, 2, ... within each key. ``order`` should tell rows of one key apart."""
+def with_position(df: DataFrame, keys, order, name="rn", total=None) -> DataFrame:
+    """Number the rows 1, 2, ... within each key. ``order`` should tell rows of one key apart.
+
+    ``total`` names a further column for the number of rows of the key.
+    """
     keys = list(keys)
     laid = _lay_out(df, keys, order)
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -40,8 +43,10 @@ def with_position(df: DataFrame, keys, order, name="rn") -> DataFrame:
         laid.groupBy(*keys, "_part")
         .agg(F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
     )
+    if total:
+        parts = parts.withColumn(total, F.sum("_n").over(W.partitionBy(*keys)))
+    parts = parts.drop("_n")
     numbered = _join_parts(laid, parts, keys)
     return numbered.withColumn(name, F.col("_before") + F.col("_slot") - F.col("_first") + 1).drop(
         "_slot", "_part", "_first", "_before"
