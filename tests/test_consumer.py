@@ -59,9 +59,10 @@ def test_old_backlog_is_read_and_seek_delivers_again(spark, store):
 
 
 def test_seek_is_exact_although_reads_start_early(spark, store):
-    consumer = reader(spark, store, [("a", 0), ("b", 10), ("c", 20), ("d", 21)], batch_size=1)
-    consumer.drain()
+    consumer = reader(spark, store, [("a", 0), ("b", 10), ("c", 20), ("d", 21)])
+    consumer.consume()
     consumer.seek(T0 + 10 * SECOND)
+    consumer.batch_size = 1
     assert consumer.drain() == 2
     handled = store.handled_by("prod-consumer-1", "events").filter("epoch = 1")
     assert sorted(ids(handled)) == ["c", "d"]

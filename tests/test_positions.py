@@ -132,3 +132,16 @@ def test_first_k(spark):
     rows, frame = skewed(spark, 2000)
     got = {(r.consumer_id, r.doc_id, r.rn) for r in first_k(frame, ["consumer_id"], ["timestamp", "doc_id"], 9).collect()}
     assert got == {(k, i, n) for k, seq in per_key(rows).items() for n, (_, i) in enumerate(seq[:9], 1)}
+
+
+def test_scratch_can_be_discarded(spark):
+    from tidemark.plans.workspace import fresh_path, settle
+    from tidemark.sources.files import delete, exists
+
+    kept = settle(spark.range(3), "kept")
+    assert kept.count() == 3
+    path = fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert exists(spark, path)
+    delete(spark, path)
+    assert not exists(spark, path)

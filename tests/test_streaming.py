@@ -84,6 +84,16 @@ def test_late_rows_within_and_far_beyond_the_watermark(spark, folder):
     assert sorted(ids(spark.read.parquet(folder + "/sink"))) == ["a", "b", "c", "d", "late"]
 
 
+def test_exact_cut_behind_the_stored_position(spark, folder):
+    """The first batch has no position yet; after it, thirty seconds behind is out."""
+    add_file(spark, folder + "/in", [("a", 100), ("early", 10)])
+    add_file(spark, folder + "/in", [("late", 71), ("too-late", 70), ("b", 90)])
+    store, run = pipeline(spark, folder, safety_seconds=30)
+    run.run(source(spark, folder))
+    assert sorted(ids(spark.read.parquet(folder + "/sink"))) == ["a", "b", "early", "late"]
+    assert (store.load("c", "events").doc_id, store.load("c", "events").total) == ("a", 4)
+
+
 def test_seek_begins_a_new_checkpoint(spark, folder):
     add_file(spark, folder + "/in", [("a", 0), ("b", 10), ("c", 20)])
     store, first = pipeline(spark, folder)

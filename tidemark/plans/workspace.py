@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.files import delete
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Only a local session may fall back to a temporary one."""
@@ -25,8 +27,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete what this application has settled. Call it when its results have been written."""
+    delete(spark, _scratch(spark))
 
 
 def settle(df: DataFrame, label: str = "step") -> DataFrame:

@@ -23,6 +23,10 @@ COMMIT_DELAY_SECONDS = 1.0
 RESTART_WAIT_SECONDS = 5.0
 POLL_SECONDS = 2
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+MEMORY_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+DISK_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Micro-batches of epoch e are numbered from e * EPOCH_SPAN, after all commits of earlier epochs.
 EPOCH_SPAN = 1_000_000_000
 
@@ -56,12 +60,21 @@ def run_to_end(start: Callable[[], StreamingQuery], restarts=3, wait=RESTART_WAI
 def dedup_stream(stream: DataFrame, delay: str, key=("doc_id",), ts="timestamp") -> DataFrame:
     """One copy of each event within ``delay`` of event time. State older than that is dropped.
 
-    The watermark bounds the state; it is not an exact cut for late rows.
+    The watermark bounds the state; it is not an exact cut for late rows. The state grows with the
+    events of one ``delay``, so it is kept on disk unless the session names another store.
     """
+    if stream.sparkSession.conf.get(STATE_STORE, None) in (None, MEMORY_STORE):
+        stream.sparkSession.conf.set(STATE_STORE, DISK_STORE)
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
 class EventPipeline:
+    """Processes a stream for one (consumer, index).
+
+    ``dedup_delay`` keeps one copy of each event within that delay. ``safety_seconds`` leaves out
+    events that come more than that behind the stored position, as a batch read would.
+    """
+
     def __init__(
         self,
         store: OffsetStore,
@@ -72,9 +85,11 @@ class EventPipeline:
         process: Callable[[DataFrame], DataFrame] | None = None,
         prefix: str | None = None,
         dedup_delay: str | None = None,
+        safety_seconds: int | None = None,
     ):
         self.store, self.consumer_id, self.index_name = store, consumer_id, index_name
         self.sink, self.process, self.prefix, self.dedup_delay = sink, process, prefix, dedup_delay
+        self.safety_seconds = safety_seconds
         # A seek raises the epoch and so begins a new checkpoint; restarts keep the old one.
         at = store.load(consumer_id, index_name)
         self.epoch, self.floor = at.epoch, at.floor
@@ -90,6 +105,10 @@ class EventPipeline:
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         """The whole effect of one micro-batch; safe to repeat."""
         number = self.epoch * EPOCH_SPAN + batch_id
+        before = self.store.load(self.consumer_id, self.index_name, before=number)
+        if self.safety_seconds is not None and before.doc_id is not None:
+            cut = before.micros - self.safety_seconds * 1_000_000
+            batch = batch.filter(P.after(F.col("timestamp"), as_bound(cut)))
         batch.persist()
         try:
             result = self.process(batch) if self.process else batch
@@ -102,7 +121,6 @@ class EventPipeline:
             batch.unpersist()
         if row.n == 0:
             return
-        before = self.store.load(self.consumer_id, self.index_name, before=number)
         top = (row.top.us, row.top.id)
         if not before.is_new and (before.micros, before.doc_id or "") > top:
             top = (before.micros, before.doc_id)
