@@ -88,6 +88,24 @@ def test_exact_mode_and_prefix(spark, store):
     assert consumer.consume().events.count() == 3
 
 
+def test_copies_in_one_batch_are_handled_once(spark, store):
+    consumer = reader(spark, store, [("a", 0), ("a", 0), ("b", 1), ("a", 5)])
+    assert sorted(ids(consumer.consume().events)) == ["a", "b"]
+    assert consumer.consume().events.isEmpty()
+    assert consumer.position().total == 2
+
+
+def test_default_ids_and_read_only_form(spark, store):
+    rows = events(spark, [("completion_1", 1), ("other", 2)])
+    first = Consumer.read_only(store, lambda: rows, "events")
+    assert first.consumer_id == "readonly-consumer-events"
+    assert ids(first.consume().events) == ["completion_1"]
+    made = {Consumer(store, lambda: rows, None, "events").consumer_id for _ in range(2)}
+    assert len(made) == 2 and all(m.startswith("consumer-") and len(m) == 17 for m in made)
+    assert store.stats().first().docs == 1 and store.stats().first().bytes > 0
+    assert OffsetStore(spark, store.root + "-none").stats().first().docs == 0
+
+
 def test_manual_commit(spark, store):
     consumer = reader(spark, store, [("a", 0)])
     batch = consumer.consume(commit=False)

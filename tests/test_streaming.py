@@ -94,6 +94,17 @@ def test_exact_cut_behind_the_stored_position(spark, folder):
     assert (store.load("c", "events").doc_id, store.load("c", "events").total) == ("a", 4)
 
 
+def test_handled_events_are_skipped_however_old(spark, folder):
+    add_file(spark, folder + "/in", [("a", 0)] + [("hot", 5)] * 40)
+    add_file(spark, folder + "/in", [("b", 10_000)])
+    add_file(spark, folder + "/in", [("a", 0), ("hot", 5), ("c", 20_000), ("c", 20_000)])
+    store, run = pipeline(spark, folder, Flaky, skip_handled=True)
+    run.fail = (2, "sink")
+    run.run(source(spark, folder), wait=0)
+    assert sorted(ids(spark.read.parquet(folder + "/sink"))) == ["a", "b", "c", "hot"]
+    assert store.load("c", "events").total == 4
+
+
 def test_seek_begins_a_new_checkpoint(spark, folder):
     add_file(spark, folder + "/in", [("a", 0), ("b", 10), ("c", 20)])
     store, first = pipeline(spark, folder)

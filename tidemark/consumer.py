@@ -1,15 +1,17 @@
 """A named consumer that reads a growing table in batches and remembers how far it got."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
+from tidemark.functions.text import CONSUMER_PREFIX, READ_ONLY_PREFIX
 from tidemark.functions.timestamps import SAFETY_SECONDS, as_bound, micros
-from tidemark.operators.dedup import drop_seen
+from tidemark.operators.dedup import dedup_events, drop_seen
 from tidemark.operators.failures import prefix_before_failure
-from tidemark.operators.fetch import BATCH_SIZE, next_batch
+from tidemark.operators.fetch import BATCH_SIZE, ID_PREFIX, next_batch
 from tidemark.plans.workspace import settle
 from tidemark.sources.store import OffsetStore, Position
 
@@ -26,14 +28,15 @@ class Consumer:
 
     With ``safety_seconds`` each read starts that much before the last position and leaves out what
     the ledger holds, so late events are met. With None it goes on exactly after the last event.
-    ``batch_size`` None takes all that is pending in one distributed batch.
+    ``batch_size`` None takes all that is pending in one distributed batch. Without a
+    ``consumer_id`` a random one is made.
     """
 
     def __init__(
         self,
         store: OffsetStore,
         events: Callable[[], DataFrame],
-        consumer_id: str,
+        consumer_id: str | None,
         index_name: str,
         prefix: str | None = None,
         batch_size: int | None = BATCH_SIZE,
@@ -41,10 +44,17 @@ class Consumer:
         sink: str | None = None,
     ):
         self.store, self.events = store, events
-        self.consumer_id, self.index_name = consumer_id, index_name
+        self.consumer_id = consumer_id or f"{CONSUMER_PREFIX}{uuid.uuid4().hex[:8]}"
+        self.index_name = index_name
         self.prefix, self.batch_size, self.safety_seconds, self.sink = prefix, batch_size, safety_seconds, sink
         self.session_start = self.position().commit_seq + 1
 
+    @classmethod
+    def read_only(cls, store, events, index_name, consumer_id=None, prefix=ID_PREFIX, **options):
+        """Documents of one id prefix, each exactly after the one before it."""
+        name = consumer_id or f"{READ_ONLY_PREFIX}{index_name}"
+        return cls(store, events, name, index_name, prefix=prefix, safety_seconds=None, **options)
+
     def position(self) -> Position:
         return self.store.load(self.consumer_id, self.index_name)
 
@@ -73,7 +83,10 @@ class Consumer:
         """Mark the read and fetch the next batch. Nothing moves until it is committed."""
         at = self.position()
         attempt = self.store.mark_start(self.consumer_id, self.index_name)
-        return Batch(settle(next_batch(self.pending(at), self.batch_size), "batch"), at, attempt)
+        events = next_batch(self.pending(at), self.batch_size)
+        if self.safety_seconds is not None:
+            events = dedup_events(events)
+        return Batch(settle(events, "batch"), at, attempt)
 
     def commit(self, batch: Batch, done: DataFrame | None = None) -> Position:
         """Record ``done`` (default: the whole batch) as handled and move the position.

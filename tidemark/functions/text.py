@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 EVENT_LINE = "Processing event: %s - Type: %s - User: %s - Data: %s"
 PAYLOAD = "Sample data for %s event by %s at %s"
 CONSUMER_PREFIX = "consumer-"
+READ_ONLY_PREFIX = "readonly-consumer-"
 
 
 def offset_key(consumer_id: Column, index_name: Column) -> Column:

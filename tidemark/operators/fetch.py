@@ -9,9 +9,9 @@ from tidemark.functions.timestamps import as_bound, back_off
 from tidemark.operators.dedup import drop_seen
 from tidemark.operators.marks import (
     as_rank_marks,
-    bounded_marks,
     bucket_counts,
     in_hours,
+    look_at,
     marks_by,
     milestones,
     since,
@@ -84,13 +84,14 @@ def pending_per_consumer(
     of one index share its events.
     """
     offsets = settle(with_bucket(offsets.select("consumer_id", index, "last_ts", "last_id")), "offsets")
-    ahead = since(events, offsets, order)
+    positions = look_at(offsets, [index])
+    ahead = since(events, positions.earliest, order)
     hours = milestones(bucket_counts(ahead.select(index, order[0]), order, index), offsets, index)
     # An hour is read if a consumer stands in it, or if the hours between it and the last such hour
     # do not yet hold k events.
     near = hours.filter((F.col("n") > 0) & (F.col("is_mark") | (F.col("up_to") - F.col("n") - F.col("anchor") < k)))
-    ahead = in_hours(ahead, near, order, index).drop("bucket")
-    if bounded_marks(offsets, [index], max_marks):
+    ahead = in_hours(ahead, settle(near.select(index, "bucket"), "hours"), order, index).drop("bucket")
+    if positions.bounded(max_marks):
         return _pending_by_slot(ahead, offsets, k, order, index)
     return _pending_by_rank(settle(ahead, "ahead"), offsets, k, order, index)
 

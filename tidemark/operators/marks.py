@@ -4,6 +4,8 @@ A first narrow pass counts events per index and hour. From those counts follows
 any consumer's next events, so that only these are read, placed and ordered.
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,39 +53,50 @@ def with_bucket(offsets: DataFrame) -> DataFrame:
     return offsets.withColumn("bucket", F.coalesce(bucket_of(F.col("last_ts")), F.lit(BEFORE_ALL)))
 
 
-def lowest_position(offsets: DataFrame):
-    """The earliest position as a text for a scan bound; None if a consumer starts from nothing."""
+class Positions(NamedTuple):
+    """What is known of all positions: the most in one group, how many, and the earliest."""
+
+    most: int
+    all: int
+    earliest: str | None  # None if a consumer starts from nothing
+
+    def bounded(self, max_marks=None) -> bool:
+        """Few enough, per group and in all, to send to every task?"""
+        return self.most <= (MAX_MARKS if max_marks is None else max_marks) and self.all <= BROADCAST_ROWS
+
+
+def look_at(offsets: DataFrame, group) -> Positions:
     stored = offsets.schema["last_ts"].dataType
-    low = offsets.agg(F.min("last_ts").alias("ts"), F.max(F.col("last_ts").isNull()).alias("any_first"))
-    return low.select(F.when(~F.col("any_first"), exact_text(F.col("ts"), stored)).alias("ts")).first().ts
+    groups = offsets.groupBy(*group).agg(
+        F.count("last_ts").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("last_ts").alias("ts")
+    )
+    row = groups.agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("most"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("all"),
+        F.when(F.sum("n") == F.sum("rows"), exact_text(F.min("ts"), stored)).alias("earliest"),
+    ).first()
+    return Positions(row.most, row.all, row.earliest)
 
 
-def since(events: DataFrame, offsets: DataFrame, order) -> DataFrame:
+def since(events: DataFrame, earliest, order) -> DataFrame:
     """Leave out what lies before every position."""
-    lowest = lowest_position(offsets)
-    if lowest is None:
+    if earliest is None:
         return events
-    return events.filter(F.col(order[0]) >= as_bound(lowest, events.schema[order[0]].dataType))
+    return events.filter(F.col(order[0]) >= as_bound(earliest, events.schema[order[0]].dataType))
 
 
 def in_hours(events: DataFrame, hours: DataFrame, order, index: str) -> DataFrame:
-    """The events of the given (index, bucket) rows. The span they cover bounds the scan."""
-    hours = settle(hours.select(index, "bucket"), "hours")
-    span = hours.filter(F.col("bucket") > BEFORE_ALL).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
-    if span.low is None:
+    """The events of the given settled (index, bucket) rows. The span they cover bounds the scan."""
+    span = hours.agg(
+        F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.count(F.lit(1)).alias("rows")
+    ).first()
+    if span.rows == 0:
         return events.limit(0).withColumn("bucket", F.lit(BEFORE_ALL))
     ts, stored = F.col(order[0]), events.schema[order[0]].dataType
     first = as_bound(span.low * BUCKET_SECONDS * 1_000_000, stored)
     last = as_bound((span.high + 1) * BUCKET_SECONDS * 1_000_000, stored)
     bounded = events.filter((ts >= first) & (ts < last)).withColumn("bucket", bucket_of(ts))
-    return attach_per_key(bounded, hours, [index, "bucket"], [order[1]], "inner")
-
-
-def bounded_marks(offsets: DataFrame, group, max_marks=None) -> bool:
-    """Are the positions few enough, per group and in all, to send to every task?"""
-    limit = MAX_MARKS if max_marks is None else max_marks
-    size = offsets.groupBy(*group).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
-    return size.most is None or (size.most <= limit and size.all <= BROADCAST_ROWS)
+    return attach_per_key(bounded, hours, [index, "bucket"], [order[1]], "inner", counted=span.rows)
 
 
 def mark_struct():

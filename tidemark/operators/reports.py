@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.timestamps import as_bound, epoch, micros
 from tidemark.operators.marks import (
     as_rank_marks,
-    bounded_marks,
     bucket_counts,
     in_hours,
+    look_at,
     marks_by,
     milestones,
     since,
@@ -64,15 +64,16 @@ def offset_lag(events: DataFrame, offsets: DataFrame, order=EVENT_ORDER, index="
     ``offsets``: consumer_id, ``index``, last_ts, last_id (null last_ts = from the beginning).
     """
     offsets = settle(with_bucket(offsets.select("consumer_id", index, "last_ts", "last_id")), "offsets")
-    ahead = since(events.select(index, *order), offsets, order)
+    positions = look_at(offsets, [index, "bucket"])
+    ahead = since(events.select(index, *order), positions.earliest, order)
     counts = bucket_counts(ahead, order, index)
     newest = counts.groupBy(index).agg(F.sum("n").alias("_all"), F.max("newest").alias("newest"))
     stands = milestones(counts, offsets, index).filter("is_mark").select(index, "bucket", "n", "up_to")
     # whole hours after the position come from the counts, the hour it stands in is looked into
     hours = settle(stands, "stands")
-    inside = in_hours(ahead, hours.filter("n > 0"), order, index)
+    inside = in_hours(ahead, hours.filter("n > 0").select(index, "bucket"), order, index)
     placed = offsets.filter(F.col("last_ts").isNotNull())
-    count_inside = _inside_by_slot if bounded_marks(placed, [index, "bucket"], max_marks) else _inside_by_rank
+    count_inside = _inside_by_slot if positions.bounded(max_marks) else _inside_by_rank
     rest = settle(count_inside(inside, placed, order, index), "inside")
     start = F.coalesce(F.col("last_ts"), epoch(offsets.schema["last_ts"].dataType))
     behind = F.floor((micros(F.col("newest")) - micros(start)) / F.lit(1_000_000))

@@ -15,15 +15,22 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def attach_per_key(rows: DataFrame, per_key: DataFrame, keys, spread_on, how="left", broadcast_rows=BROADCAST_ROWS):
+def attach_per_key(
+    rows: DataFrame, per_key: DataFrame, keys, spread_on, how="left", broadcast_rows=BROADCAST_ROWS, counted=None
+):
     """Join ``rows`` to ``per_key``, which has at most one row per key.
 
     A checked-small ``per_key`` is broadcast, so ``rows`` are not shuffled. Otherwise each key is
     split into ``SALTS`` parts by ``spread_on``, so that a hot key does not land in one task.
+    ``counted`` is the number of rows of a ``per_key`` that is already settled.
     """
     keys = list(keys)
-    per_key = settle(per_key, "per-key")
-    if fits_broadcast(per_key, broadcast_rows):
+    if counted is None:
+        per_key = settle(per_key, "per-key")
+        small = fits_broadcast(per_key, broadcast_rows)
+    else:
+        small = counted <= broadcast_rows
+    if small:
         return rows.join(F.broadcast(per_key), keys, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(SALTS)))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))

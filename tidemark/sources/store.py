@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.timestamps import as_bound, effective_start, micros, safe_start
 from tidemark.operators import offsets as ops
+from tidemark.operators.reports import table_stats
 from tidemark.plans.workspace import prepare
 from tidemark.schemas import ATTEMPTS, LEDGER, OFFSETS
 from tidemark.sources.files import child_names, delete, exists
@@ -92,6 +93,12 @@ class OffsetStore:
     def log(self) -> DataFrame:
         return self._read(OFFSET_TABLE, OFFSETS)
 
+    def stats(self) -> DataFrame:
+        """Records and stored bytes of the offset table."""
+        if not exists(self.spark, self.path(OFFSET_TABLE)):
+            return self.spark.sql("SELECT 0L AS docs, 0L AS bytes")
+        return table_stats(self.log())
+
     def ledger(self) -> DataFrame:
         return self._read("ledger", LEDGER)
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import predicates as P
 from tidemark.functions.timestamps import as_bound, micros
+from tidemark.operators.dedup import dedup_events, drop_seen
 from tidemark.sources.store import OffsetStore
 
 # Retry of a commit, wait after a failed loop, polling interval.
@@ -73,6 +74,8 @@ class EventPipeline:
 
     ``dedup_delay`` keeps one copy of each event within that delay. ``safety_seconds`` leaves out
     events that come more than that behind the stored position, as a batch read would.
+    ``skip_handled`` leaves out whatever the ledger holds, however old: no state, and copies of one
+    event merge before the shuffle.
     """
 
     def __init__(
@@ -86,10 +89,11 @@ class EventPipeline:
         prefix: str | None = None,
         dedup_delay: str | None = None,
         safety_seconds: int | None = None,
+        skip_handled: bool = False,
     ):
         self.store, self.consumer_id, self.index_name = store, consumer_id, index_name
         self.sink, self.process, self.prefix, self.dedup_delay = sink, process, prefix, dedup_delay
-        self.safety_seconds = safety_seconds
+        self.safety_seconds, self.skip_handled = safety_seconds, skip_handled
         # A seek raises the epoch and so begins a new checkpoint; restarts keep the old one.
         at = store.load(consumer_id, index_name)
         self.epoch, self.floor = at.epoch, at.floor
@@ -109,6 +113,10 @@ class EventPipeline:
         if self.safety_seconds is not None and before.doc_id is not None:
             cut = before.micros - self.safety_seconds * 1_000_000
             batch = batch.filter(P.after(F.col("timestamp"), as_bound(cut)))
+        if self.skip_handled:
+            handled = self.store.handled_by(self.consumer_id, self.index_name)
+            handled = handled.filter((F.col("epoch") == self.epoch) & (F.col("commit_seq") < number))
+            batch = drop_seen(dedup_events(batch), handled, ["doc_id"])
         batch.persist()
         try:
             result = self.process(batch) if self.process else batch
