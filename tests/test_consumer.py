@@ -180,6 +180,24 @@ def test_store_keys_deletes_and_replays(spark, store):
     assert store.load("a_b", "c", before=0).commit_seq == -1
 
 
+def test_compaction_changes_no_result(spark, store):
+    rows = [(f"e{i}", i) for i in range(9)]
+    consumer = reader(spark, store, rows, batch_size=3)
+    for _ in range(2):
+        consumer.consume()
+    at = consumer.position()
+    for _ in range(2):
+        store.compact("prod-consumer-1", "events", keep=1)
+        assert consumer.position() == at
+        assert store.log().count() == 1
+        assert sorted(ids(store.ledger())) == [f"e{i}" for i in range(6)]
+    assert sorted(ids(consumer.consume().events)) == ["e6", "e7", "e8"]
+    store.compact("prod-consumer-1", "events", keep=1)
+    assert store.ledger().select("commit_seq").distinct().count() == 1
+    assert store.ledger().count() == 9
+    assert consumer.consume().events.isEmpty()
+
+
 def test_unreadable_store_raises(spark, store, folder):
     import pathlib
 

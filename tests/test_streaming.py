@@ -7,7 +7,7 @@ from tidemark import OffsetStore
 from tidemark.schemas import EVENTS
 from tidemark.sources.events import stream_events
 from tidemark.sources.tables import create_if_absent
-from tidemark.streaming.pipeline import EPOCH_SPAN, EventPipeline, dedup_stream, run_to_end, with_backoff
+from tidemark.streaming.pipeline import EPOCH_SPAN, EventPipeline, ProgressMarks, dedup_stream, run_to_end, with_backoff
 
 
 def add_file(spark, path, rows):
@@ -141,10 +141,31 @@ def test_polling_trigger(spark, folder):
         query.processAllAvailable()
         assert store.load("c", "events").total == 2
         assert query.lastProgress is not None
+        status = run.status().first()
+        assert (status.session_processed, status.total_processed, status.last_doc_id) == (2, 2, "b")
     finally:
         query.stop()
 
 
+def test_progress_marks(spark, folder):
+    import time
+
+    for start in (0, 30, 60):
+        add_file(spark, folder + "/in", [(f"e{start + i}", start + i) for i in range(30)])
+    marks = []
+    listener = ProgressMarks(marks.append, every=50)
+    spark.streams.addListener(listener)
+    try:
+        pipeline(spark, folder)[1].run(source(spark, folder))
+        for _ in range(100):
+            if marks:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert marks == [60]
+
+
 def test_dedup_needs_no_more_than_the_key(spark, folder):
     add_file(spark, folder + "/in", [("a", 0), ("a", 1)])
     stream = dedup_stream(stream_events(spark, folder + "/in", EVENTS), "1 hour")

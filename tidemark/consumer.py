@@ -160,14 +160,4 @@ class Consumer:
 
     def status(self) -> DataFrame:
         """Id, index, session and lifetime totals, and the last position, as one row."""
-        at = self.position()
-        handled = self.store.handled_by(self.consumer_id, self.index_name)
-        handled = handled.filter(F.col("commit_seq") >= self.session_start)
-        return handled.agg(F.count(F.lit(1)).alias("session_processed")).select(
-            F.lit(self.consumer_id).alias("consumer_id"),
-            F.lit(self.index_name).alias("index_name"),
-            "session_processed",
-            F.lit(at.total).alias("total_processed"),
-            as_bound(at.micros).alias("last_timestamp"),
-            F.lit(at.doc_id).cast("string").alias("last_doc_id"),
-        )
+        return self.store.status(self.consumer_id, self.index_name, self.session_start)

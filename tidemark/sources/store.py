@@ -189,6 +189,40 @@ class OffsetStore:
     def reset(self, consumer_id: str, index_name: str) -> Position:
         return self.seek(consumer_id, index_name, 0)
 
+    def status(self, consumer_id: str, index_name: str, session_start: int = 0) -> DataFrame:
+        """Id, index, events handled since commit ``session_start`` and ever, and the position, as one row."""
+        at = self.load(consumer_id, index_name)
+        session = self.handled_by(consumer_id, index_name).filter(F.col("commit_seq") >= session_start)
+        return session.agg(F.count(F.lit(1)).alias("session_processed")).select(
+            F.lit(consumer_id).alias("consumer_id"),
+            F.lit(index_name).alias("index_name"),
+            "session_processed",
+            F.lit(at.total).alias("total_processed"),
+            as_bound(at.micros).alias("last_timestamp"),
+            F.lit(at.doc_id).cast("string").alias("last_doc_id"),
+        )
+
+    def compact(self, consumer_id: str, index_name: str, keep: int = 1000) -> None:
+        """Merge the ledger directories of committed commits into one, and keep the newest ``keep`` offset records.
+
+        The merged rows go to a new directory, numbered below all commits, before the old ones are
+        removed. A crash in between leaves rows twice, which the next run merges; none are lost.
+        Session counts start anew, so run it between sessions.
+        """
+        log = self._folder(OFFSET_TABLE, consumer_id, index_name)
+        for number in sorted(self._numbers(log, "commit_seq"))[:-keep]:
+            delete(self.spark, f"{log}/{_part('commit_seq', number)}")
+        committed = self.load(consumer_id, index_name).commit_seq
+        folder = self._folder("ledger", consumer_id, index_name)
+        merged = sorted(n for n in self._numbers(folder, "commit_seq") if n <= committed)
+        if len(merged) < 2:
+            return
+        rows = self.handled_by(consumer_id, index_name).filter(F.col("commit_seq") <= committed)
+        once = rows.groupBy("doc_id", "epoch").agg(F.max("timestamp").alias("timestamp"))
+        self._write(once, "ledger", LEDGER, consumer_id, index_name, min(merged[0], 0) - 1)
+        for number in merged:
+            delete(self.spark, f"{folder}/{_part('commit_seq', number)}")
+
     # --- read attempts
 
     def mark_start(self, consumer_id: str, index_name: str, at=None) -> int:

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidemark.functions import predicates as P
 from tidemark.functions.timestamps import as_bound, micros
+from tidemark.operators.cadence import REPORT_EVERY
 from tidemark.operators.dedup import dedup_events, drop_seen
 from tidemark.sources.store import OffsetStore
 
@@ -69,6 +70,29 @@ def dedup_stream(stream: DataFrame, delay: str, key=("doc_id",), ts="timestamp")
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
+class ProgressMarks(StreamingQueryListener):
+    """Calls ``report(total)`` each time a query's events pass another multiple of ``every``."""
+
+    def __init__(self, report: Callable[[int], None], every: int = REPORT_EVERY):
+        self.report, self.every, self.totals = report, every, {}
+
+    def onQueryStarted(self, event):
+        self.totals.setdefault(event.id, 0)
+
+    def onQueryProgress(self, event):
+        before = self.totals.get(event.progress.id, 0)
+        after = before + event.progress.numInputRows
+        self.totals[event.progress.id] = after
+        if after // self.every > before // self.every:
+            self.report(after)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
 class EventPipeline:
     """Processes a stream for one (consumer, index).
 
@@ -96,7 +120,7 @@ class EventPipeline:
         self.safety_seconds, self.skip_handled = safety_seconds, skip_handled
         # A seek raises the epoch and so begins a new checkpoint; restarts keep the old one.
         at = store.load(consumer_id, index_name)
-        self.epoch, self.floor = at.epoch, at.floor
+        self.epoch, self.floor, self.session_start = at.epoch, at.floor, at.commit_seq + 1
         self.checkpoint = f"{checkpoint}/epoch={self.epoch}"
 
     def shape(self, stream: DataFrame) -> DataFrame:
@@ -145,6 +169,10 @@ class EventPipeline:
     def after_sink(self, batch_id: int) -> None:
         """Called between the sink write and the commit records. Tests fail here."""
 
+    def status(self) -> DataFrame:
+        """As the batch consumer's; how fast it runs is in the query's ``lastProgress``."""
+        return self.store.status(self.consumer_id, self.index_name, self.session_start)
+
     def start(self, stream: DataFrame, poll_seconds: float | None = None) -> StreamingQuery:
         """Start the query: to the end of what is there, or polling when ``poll_seconds`` is given."""
         trigger = {"availableNow": True} if poll_seconds is None else {"processingTime": f"{poll_seconds} seconds"}
