@@ -18,7 +18,7 @@ BATCHED_COMMIT_SECONDS = 30
 REPORT_EVERY = 50
 
 # Rows of one key folded in one task, and block summaries combined in one task.
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 200_000
 BLOCK_FAN = 1_000
 
 
@@ -88,7 +88,8 @@ def commit_points_count_or_time(
         return pd.DataFrame({**first, "_block": [pdf["_block"].iloc[0]], "_map": [exits.astype(np.int64).tolist()]})
 
     table = settle(
-        blocks.groupBy(*keys, "_block").applyInPandas(maps, f"{key_ddl}, _block bigint, _map array<bigint>"), "block-maps"
+        blocks.drop("_id").groupBy(*keys, "_block").applyInPandas(maps, f"{key_ddl}, _block bigint, _map array<bigint>"),
+        "block-maps",
     )
     count = table.agg(F.max("_block").alias("top")).first().top
     entries = settle(_entries(table, keys, key_ddl, 0 if count is None else count + 1, fan), "entries")
