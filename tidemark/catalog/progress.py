@@ -32,7 +32,9 @@ from tidemark.operators.dedup import dedup_events as dedup
 from tidemark.operators.dedup import drop_seen, processed_flag as flag
 from tidemark.operators.upsert import ingest, newest_per_id, upsert, upsert_outcome as outcome
 from tidemark.plans.workspace import fresh_path
+from tidemark.sources.events import scan_events
 from tidemark.sources.store import OffsetStore, append_commits
+from tidemark.sources.tables import to_declared, upsert_into, write_by_day
 
 # --- upserts
 
@@ -79,6 +81,36 @@ def upsert_outcome(spark, sf_dir):
     return outcome(_existing(events), _incoming(events), "event_id")
 
 
+@query(
+    f"""SELECT doc_id, ts, props || ' again' AS data FROM resent
+        UNION ALL
+        SELECT doc_id, ts, props AS data FROM ev
+        WHERE ts < TIMESTAMP '{BOUND}' AND doc_id NOT IN (SELECT doc_id FROM resent)""",
+    EV_SQL,
+    NEW_SQL,
+)
+def upsert_table(spark, sf_dir):
+    """The same on a stored table laid out by day; some re-sent events move to the next day."""
+    events = ev(spark, sf_dir)
+    path = fresh_path(spark, "events")
+
+    def declared(rows, data):
+        return to_declared(
+            rows.select(
+                "doc_id",
+                F.col("event_id").alias("queryid"),
+                F.col("ts").alias("timestamp"),
+                "event_type",
+                "user_id",
+                data.alias("data"),
+            )
+        )
+
+    write_by_day(declared(events.filter(F.col("ts") < at(BOUND)), F.col("props")), path)
+    upsert_into(spark, path, declared(resent(events), F.concat("props", F.lit(" again"))))
+    return scan_events(spark, path).select("doc_id", F.col("timestamp").cast(NTZ).alias("ts"), "data")
+
+
 ISO_SQL = r"""regexp_replace(regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\.000000$', ''), '(\.\d{3})000$', '\1') || 'Z'"""
 
 
