@@ -65,11 +65,12 @@ def newest_per_key(events: DataFrame, keys=CONSUMER_KEY, order=EVENT_ORDER) -> D
     """
     ts, kind = F.col(order[0]), events.schema[order[0]].dataType
     top = settle(events.groupBy(*keys).agg(F.max(ts).alias("_top"), F.count(F.lit(1)).alias("n")), "top")
-    low = top.agg(exact_text(F.min("_top"), kind).alias("low")).first().low
+    seen = top.agg(exact_text(F.min("_top"), kind).alias("low"), F.count(F.lit(1)).alias("keys")).first()
     last = events.select(*keys, *order)
-    if low is not None:
-        last = last.filter(ts >= as_bound(low, kind))
-    at_top = attach_per_key(last, top.select(*keys, "_top"), keys, [order[1]], "inner").filter(ts == F.col("_top"))
+    if seen.low is not None:
+        last = last.filter(ts >= as_bound(seen.low, kind))
+    per_key = top.select(*keys, "_top")
+    at_top = attach_per_key(last, per_key, keys, [order[1]], "inner", counted=seen.keys).filter(ts == F.col("_top"))
     ids = at_top.groupBy(*keys).agg(F.max(order[1]).alias(order[1]))
     return top.join(ids, list(keys)).select(*keys, F.col("_top").alias(order[0]), order[1], "n")
 

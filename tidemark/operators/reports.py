@@ -45,7 +45,14 @@ def commit_backlog(log: DataFrame, ledger: DataFrame, as_of, last_ts="last_ts",
     newest = latest_offsets(log, keys).select(*keys, F.col("commit_seq").alias("_committed"), F.col(last_ts).alias("_at"))
     newest = settle(newest, "newest")
     since = (
-        attach_per_key(ledger.select(*keys, "commit_seq", *spread_on), newest.drop("_at"), keys, spread_on, "inner")
+        attach_per_key(
+            ledger.select(*keys, "commit_seq", *spread_on),
+            newest.drop("_at"),
+            keys,
+            spread_on,
+            "inner",
+            counted=newest.count(),
+        )
         .filter(F.col("commit_seq") > F.col("_committed"))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("uncommitted"))
