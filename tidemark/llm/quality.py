@@ -24,6 +24,7 @@ BOILERPLATE = (
 )
 ENDED = r"[.!?:;,\x{2026}\x{3002}\x{FF01}\x{FF1F})\]\x{22}'\x{201D}\x{2019}\x{BB}]\s*$"
 LETTERS = r"[^\p{L}]"
+# A line also fails if it has more than one symbol for two words, or if less than half of it is letters.
 # A line without closing punctuation fails only if it is too long for a heading.
 HEADING_WORDS = 12
 
@@ -32,6 +33,10 @@ def _word_chars(text):
     return F.length(F.translate(text, SPACES, ""))
 
 
+def _symbols(text):
+    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+
+
 def _repeated_words(tokens):
     """Words covered by a five-word window that occurs at least twice. Windows are compared by their
     64-bit hash within one document; equal ones stand side by side after one sort, O(n log n)."""
@@ -64,6 +69,7 @@ def line_fails(line):
         F.when(F.regexp_like(lower, F.lit(NAVIGATION)) | F.regexp_like(line, F.lit(SEPARATED)), "navigation")
         .when(F.regexp_like(lower, F.lit(BOILERPLATE)), "boilerplate")
         .when(letters * 2 < _word_chars(line), "punctuation")
+        .when(_symbols(line) * 2 > F.size(words(line)), "punctuation")
         .when(~F.regexp_like(line, F.lit(ENDED)) & (F.size(words(line)) > HEADING_WORDS), "punctuation")
     )
 
@@ -89,7 +95,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         *rest,
         F.size(tokens).cast("long").alias("n_words"),
         _word_chars(body).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        _symbols(body).cast("long").alias("n_symbols"),
         let(wordy, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("n_dup_lines"),
         let(F.col(tokens), _repeated_words).cast("long").alias("n_repeat_words"),
         F.aggregate(failing, F.lit(0).cast("long"), lambda a, x: a + _word_chars(x)).alias("lost_chars"),

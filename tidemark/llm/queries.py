@@ -74,6 +74,7 @@ f AS (
     regexp_matches(low, '{_Q(quality.NAVIGATION)}') OR regexp_matches(line, '{_Q(quality.SEPARATED)}')
     OR regexp_matches(low, '{_Q(quality.BOILERPLATE)}')
     OR length(regexp_replace(line, '{_Q(quality.LETTERS)}', '', 'g')) * 2 < chars
+    OR 2 * (length(line) - length(translate(line, '{quality.SYMBOLS}', ''))) > len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))
     OR (NOT regexp_matches(line, '{_Q(quality.ENDED)}') AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > {quality.HEADING_WORDS}) AS fails
   FROM l),
 s AS (
