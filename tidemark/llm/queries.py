@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import lines, packing, quality, sharding
+from tidemark.llm import lines, packing, quality, secret_scan, sharding
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -19,6 +19,11 @@ def query(sql=None):
     return register
 
 
+@query()
+def op2_secrets(spark, sf_dir):
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 LINES_SQL = rf"""
 WITH l AS (
   SELECT doc_id, source, i, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, line
