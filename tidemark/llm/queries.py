@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import lines, packing, quality, secret_scan, sharding
+from tidemark.llm import lines, packing, quality, secret_scan, sharding, toxicity
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -24,6 +24,20 @@ def op2_secrets(spark, sf_dir):
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+@query()
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (toxicity.fold() == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "threshold",
+        "rejected",
+    )
+
+
 LINES_SQL = rf"""
 WITH l AS (
   SELECT doc_id, source, i, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, line
