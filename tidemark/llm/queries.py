@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import lines, packing, quality, secret_scan, sharding, toxicity
+from tidemark.llm import lines, near, packing, quality, secret_scan, sharding, toxicity
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -68,6 +68,11 @@ def op5_packing(spark, sf_dir):
     )
 
 
+@query()
+def op8_near_dedup(spark, sf_dir):
+    return near.link_groups(table(spark, sf_dir, "documents"), width=2, similarity=80)
+
+
 @query()
 def op9_sharding(spark, sf_dir):
     placed = sharding.shard(table(spark, sf_dir, "documents"), 40)
