@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import lines, near, packing, quality, secret_scan, sharding, toxicity
+from tidemark.llm import lines, near, packing, quality, secret_scan, sharding, suffix, toxicity
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -68,6 +68,17 @@ def op5_packing(spark, sf_dir):
     )
 
 
+@query()
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op8_near_dedup(spark, sf_dir):
     return near.link_groups(table(spark, sf_dir, "documents"), width=2, similarity=80)
