@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import lines, near, packing, quality, secret_scan, sharding, suffix, toxicity
+from tidemark.llm import ann, lines, near, packing, quality, secret_scan, sharding, suffix, toxicity
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -19,6 +19,11 @@ def query(sql=None):
     return register
 
 
+@query()
+def op1_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, 20)
+
+
 @query()
 def op2_secrets(spark, sf_dir):
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
