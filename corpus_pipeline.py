@@ -2,11 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines, packing
+from tidemark.llm import lines, mixing, near, packing, toxicity
 from tidemark.llm.common import free_name, table, text_of
 from tidemark.plans.workspace import settle
 
 
+def drop_toxic(spark, docs, sf_dir):
+    """Documents whose score reaches the threshold of their language go. The classifier learns from the
+    labelled documents of this table."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+
+
 def drop_boilerplate(spark, docs, sf_dir):
     """Lines that stand on many sources go from all but one document. A document of which nothing is left
     goes (its whole text stays in others); one that was empty before stays. n_chars follows the text."""
@@ -16,13 +23,33 @@ def drop_boilerplate(spark, docs, sf_dir):
     return cleaned.filter(~emptied).withColumn("n_chars", n_chars.cast("long")).select(*docs.columns)
 
 
+def drop_copies(spark, docs, sf_dir):
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest id stays; rows that
+    repeat an id and its text count once. Documents without a word stay."""
+    groups = near.link_groups(docs, width=5, similarity=80)
+    at, text_hash = free_name(docs, "_at"), free_name(docs, "_text_hash")
+    # No id is the least long, so that null ids meet as well.
+    never = F.lit(-(1 << 63))
+    stay = groups.filter("kept").select(F.coalesce("doc_id", never).alias(at), F.col("text_hash").alias(text_hash)).distinct()
+    keyed = docs.withColumns({at: F.coalesce(F.col("doc_id").cast("long"), never), text_hash: F.xxhash64(text_of())})
+    return keyed.join(stay, [at, text_hash], "left_semi").dropDuplicates([at, text_hash]).select(*docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """All documents, laid out in the order in which their sources take turns."""
+    return mixing.mixed(docs)
+
+
 def pack_tokens(spark, docs, sf_dir):
     """Pieces of token sequences, as ``packing.pack`` gives them."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("line_dedup", drop_boilerplate),
+    ("near_dedup", drop_copies),
+    ("mixing", mix_sources),
     ("packing", pack_tokens),
 ]
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, lines, near, packing, quality, secret_scan, sharding, suffix, toxicity
+from tidemark.llm import ann, lines, mixing, near, packing, quality, secret_scan, sharding, suffix, toxicity
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -84,9 +84,15 @@ def op6_suffix_dedup(spark, sf_dir):
     )
 
 
+@query()
+def op7_mixing(spark, sf_dir):
+    placed = mixing.schedule(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "source", "bytes", "before", "block", "slot")
+
+
 @query()
 def op8_near_dedup(spark, sf_dir):
-    return near.link_groups(table(spark, sf_dir, "documents"), width=2, similarity=80)
+    return near.link_groups(table(spark, sf_dir, "documents"), width=2, similarity=80).drop("text_hash")
 
 
 @query()
