@@ -3,6 +3,8 @@
 Only built-in column functions; one pass over the documents, no shuffle.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,26 @@ MAX_REPEATED_PERCENT = 20
 MAX_LOST_PERCENT = 50
 
 # What each rule looks for. All patterns mean the same to Java and RE2.
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
+SPACE = r"[\x20\x09-\x0D]"
 NAVIGATION = r"^\s*(home|menu|login|log in|sign in|sign up|search|next|previous|back to top|skip to content|share|contact us|about us)\s*$"
 SEPARATED = r"^[^|>\x{BB}\x{2022}\x{B7}]{0,40}([|>\x{BB}\x{2022}\x{B7}][^|>\x{BB}\x{2022}\x{B7}]{0,40}){2,}$"
 BOILERPLATE = (
-    r"(accept (all )?cookies|uses cookies|enable javascript|all rights reserved|terms of (use|service)"
-    r"|privacy policy|lorem ipsum|click here|subscribe to our|spdx-license-identifier|licensed under the)"
+    "accept cookies",
+    "accept all cookies",
+    "uses cookies",
+    "enable javascript",
+    "all rights reserved",
+    "terms of use",
+    "terms of service",
+    "privacy policy",
+    "lorem ipsum",
+    "click here",
+    "subscribe to our",
+    "spdx-license-identifier",
+    "licensed under the",
 )
-ENDED = r"[.!?:;,\x{2026}\x{3002}\x{FF01}\x{FF1F})\]\x{22}'\x{201D}\x{2019}\x{BB}]\s*$"
+ENDS = ".!?:;,\u2026\u3002\uff01\uff1f)]\"'\u201d\u2019\u00bb"
 LETTERS = r"[^\p{L}]"
 # A line also fails if it has more than one symbol for two words, or if less than half of it is letters.
 # A line without closing punctuation fails only if it is too long for a heading.
@@ -30,18 +44,19 @@ HEADING_WORDS = 12
 
 
 def _word_chars(text):
-    return F.length(F.translate(text, SPACES, ""))
+    return F.length(text) - F.regexp_count(text, F.lit(SPACE))
 
 
 def _symbols(text):
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.regexp_count(text, F.lit(SYMBOL))
 
 
 def _repeated_words(tokens):
     """Words covered by a five-word window that occurs at least twice. Windows are compared by their
     64-bit hash within one document; equal ones stand side by side after one sort, O(n log n)."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, WINDOW)))
+    starts = F.sequence(F.lit(0), F.size(tokens) - WINDOW)
+    window = lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    hashes = let(F.transform(tokens, lambda w: F.xxhash64(w)), window)
 
     def covered(found):
         placed = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -63,14 +78,16 @@ def _repeated_words(tokens):
 
 def line_fails(line):
     """Why a line with a word goes: 'navigation', 'boilerplate', 'punctuation', or null if it stays."""
-    lower = F.lower(line)
     letters = F.length(F.regexp_replace(line, LETTERS, ""))
+    boilerplate = let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(p) for p in BOILERPLATE]))
+    last = F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1))
+    too_many = let(_symbols(line), lambda n: (n > 0) & (n * 2 > F.size(words(line))))
     return (
-        F.when(F.regexp_like(lower, F.lit(NAVIGATION)) | F.regexp_like(line, F.lit(SEPARATED)), "navigation")
-        .when(F.regexp_like(lower, F.lit(BOILERPLATE)), "boilerplate")
+        F.when(F.regexp_like(F.lower(line), F.lit(NAVIGATION)) | F.regexp_like(line, F.lit(SEPARATED)), "navigation")
+        .when(boilerplate, "boilerplate")
         .when(letters * 2 < _word_chars(line), "punctuation")
-        .when(_symbols(line) * 2 > F.size(words(line)), "punctuation")
-        .when(~F.regexp_like(line, F.lit(ENDED)) & (F.size(words(line)) > HEADING_WORDS), "punctuation")
+        .when(too_many, "punctuation")
+        .when((F.instr(F.lit(ENDS), last) == 0) & (F.size(words(line)) > HEADING_WORDS), "punctuation")
     )
 
 

@@ -118,17 +118,17 @@ l AS (
 f AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
     regexp_matches(low, '{_Q(quality.NAVIGATION)}') OR regexp_matches(line, '{_Q(quality.SEPARATED)}')
-    OR regexp_matches(low, '{_Q(quality.BOILERPLATE)}')
+    OR {" OR ".join(f"contains(low, '{x}')" for x in quality.BOILERPLATE)}
     OR length(regexp_replace(line, '{_Q(quality.LETTERS)}', '', 'g')) * 2 < chars
-    OR 2 * (length(line) - length(translate(line, '{quality.SYMBOLS}', ''))) > len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))
-    OR (NOT regexp_matches(line, '{_Q(quality.ENDED)}') AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > {quality.HEADING_WORDS}) AS fails
+    OR 2 * (length(line) - length(regexp_replace(line, '{quality.SYMBOL}', '', 'g'))) > len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))
+    OR (NOT contains('{_Q(quality.ENDS)}', right(rtrim(line, {_SPACE}), 1)) AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > {quality.HEADING_WORDS}) AS fails
   FROM l),
 s AS (
   SELECT doc_id, count(*) FILTER (chars > 0 AND again) AS n_dup_lines,
          coalesce(sum(chars) FILTER (chars > 0 AND fails), 0) AS lost FROM f GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, {_CHARS("t")}::BIGINT AS word_chars,
-         (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
+         (length(t) - length(regexp_replace(t, '{quality.SYMBOL}', '', 'g')))::BIGINT AS n_symbols,
          s.n_dup_lines::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, lost::BIGINT AS lost_chars
   FROM d JOIN s USING (doc_id) LEFT JOIN c USING (doc_id))
 SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed,
