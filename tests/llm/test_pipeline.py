@@ -1,0 +1,81 @@
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemark.llm import lines, mixing, near, toxicity
+from tidemark.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def steps(spark, tmp_path_factory):
+    folder, docs = tmp_path_factory.mktemp("pipeline"), spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        out.append(docs)
+    return out
+
+
+def ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_stages_and_columns(steps):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
+    assert all(df.columns == steps[0].columns for df in steps[:5])
+
+
+def test_toxicity_stage(spark, steps):
+    model = toxicity.fit(steps[0], spark.read.parquet(f"{SF}/labels.parquet"))
+    assert ids(steps[1]) == ids(toxicity.score(steps[0], model).filter("NOT rejected"))
+
+
+def test_line_stage(steps):
+    from test_lines import expected
+
+    rows = [(r.doc_id, r.text, r.source) for r in steps[1].collect()]
+    want = expected(rows, lines.MIN_SITES)
+    got = {r.doc_id: (r.text, r.n_chars) for r in steps[2].collect()}
+    assert got == {d: (x, len(x)) for d, x in want.items() if x.strip() or x == dict((a, b) for a, b, _ in rows)[d]}
+
+
+def test_near_stage(steps):
+    from test_near import expected
+
+    rows = [(r.doc_id, r.text) for r in steps[2].collect()]
+    assert ids(steps[3]) == sorted(d for d, (_, c) in expected(rows, 5, 80).items() if c == d)
+
+
+def test_mixing_stage(steps):
+    assert ids(steps[3]) == ids(steps[4])
+    slot = {r.doc_id: (r.slot, r.before) for r in mixing.schedule(steps[3]).collect()}
+    got = [slot[r.doc_id] for r in mixing.mixed(steps[3]).collect()]
+    assert got == sorted(got)
+
+
+def test_packing_stage(steps):
+    from test_packing import held
+
+    held(steps[5].collect(), {r.doc_id: r.text for r in steps[4].collect()})
+
+
+def test_run_gives_the_rows_of_the_stages(spark, steps):
+    key = ["doc_id", "start", "length", "doc_tokens"]
+    assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).first() == steps[5].agg(F.sum("length")).first()
+    assert set(key) <= set(steps[5].columns)
+
+
+def test_copies_without_ids_and_empty_tables(spark, docs_of):
+    docs = docs_of([(None, "same words here"), (None, "same words here"), (5, "same words here"), (5, "same words here"), (6, ""), (7, None)])
+    left = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert sorted((r.doc_id, r.text) for r in left.collect() if r.text) == [(5, "same words here")] and left.count() == 3
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("op")))
+def test_queries_run_over_the_smallest_tables(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0

@@ -1,0 +1,63 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import secret_scan as s
+from tidemark.llm.trigrams import ANY, build_index, trigram_codes, trigram_query
+
+
+def expected(text):
+    found = []
+    for n, rule in enumerate(s.RULES):
+        for m in re.finditer(rule.pattern, text or "", re.ASCII):
+            if len(m[rule.group]) >= rule.least:
+                found.append((m.start(), n, m.end()))
+    return [(s.RULES[n].kind, a, b) for a, n, b in sorted(found)]
+
+
+PIECES = [
+    "password: hunter22", "PASSWD='abc.def-1'", "Token=xyz", "secret  =  \"AAAAAAA", "api_key:1234567", "APIKEY = q_q_q_q", "paſſword: notascii",
+    "AKIA" + "A1" * 8, "AKIA" + "A" * 15, "deadbeef" * 3, "0123456789abcdef0123456", "-----BEGIN RSA PRIVATE KEY-----", "gho_" + "a1" * 18,
+    "xoxb-123456-abcdef", "AIza" + "x" * 35, "sk_live_" + "0" * 16, "eyJhbGciOi.eyJzdWIiOi." + "c" * 30, "plain words", "é\U0001f600", "\n", "tok en",
+]
+
+
+def holds(query, codes):
+    if query == ANY or isinstance(query, int):
+        return query == ANY or query in codes
+    return (all if query[0] == "and" else any)(holds(q, codes) for q in query[1:])
+
+
+def test_scan_finds_what_a_full_search_finds(docs_of):
+    random.seed(1)
+    texts = [None, "", "x", *PIECES] + [" ".join(random.choices(PIECES, k=8)) for _ in range(200)] + ["filler " * 30_000 + "token=abcdef"]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in s.scan(docs_of(list(enumerate(texts)))).collect()}
+    assert got == {i: expected(t) for i, t in enumerate(texts)}
+    assert {k for spans in got.values() for k, *_ in spans} == {r.kind for r in s.RULES}
+
+
+def test_every_match_satisfies_its_trigram_query():
+    for rule in s.RULES:
+        query = trigram_query(rule.pattern)
+        for piece in PIECES:
+            if re.search(rule.pattern, piece, re.ASCII):
+                assert holds(query, set(map(int, trigram_codes(piece.encode()))))
+    assert trigram_query(r"[0-9a-f]+") == ANY and trigram_query(r"ab|abcd") == ANY and trigram_query("a?b*") == ANY
+    assert trigram_query("abc") == trigram_query("ABC") == (97 << 16) + (98 << 8) + 99
+    assert trigram_query("x(abc|abd)y")[0] == "or"
+
+
+def test_only_candidates_are_searched(docs_of, folder):
+    index = build_index(docs_of([(1, "token=abcdef"), (2, "nothing here"), (3, "pass word AKI A")]), folder + "/index")
+    assert [r.doc_id for r in s.candidates(index).collect()] == [1]
+
+
+def test_null_ids_repeats_clashing_names_and_no_rows(docs_of):
+    docs = docs_of([(None, "token=abcdef"), (1, "token=abcdef"), (1, "token=abcdef"), (1, "nothing")])
+    docs = docs.withColumn("spans", F.lit(1)).withColumn("_mask", F.lit(2)).withColumn("mask", F.lit(3))
+    got = sorted((r.doc_id or 0, len(r.spans)) for r in s.scan(docs).collect())
+    assert got == [(0, 1), (1, 0), (1, 1), (1, 1)]
+    report = s.report(s.scan(docs)).collect()
+    assert {r.spans for r in report} == {"assign:0:12", ""} and sum(r.n_assign for r in report) == 3
+    assert s.scan(docs.limit(0)).count() == 0

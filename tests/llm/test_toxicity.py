@@ -1,0 +1,83 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import toxicity as t
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, docs_of):
+    random.seed(2)
+    word = lambda: "".join(random.choices("abcdefgh", k=5))
+    rows, labels = [], []
+    for i in range(1500):
+        words, toxic = [word() for _ in range(random.randrange(1, 80))], i % 4 == 0
+        if toxic:
+            words.insert(random.randrange(len(words) + 1), random.choice(["Idiot.", "you moron", "scum"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs = docs_of(rows).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").when(F.col("doc_id") % 3 == 1, "en"))
+    return docs, spark.createDataFrame(labels, LABELS)
+
+
+@pytest.fixture(scope="module")
+def model(corpus):
+    return t.fit(*corpus)
+
+
+def test_held_out_accuracy(corpus, model):
+    docs, labels = corpus
+    rows = t.score(docs, model).withColumn("held", t.fold() == 0).join(labels, "doc_id").filter("held").collect()
+    assert len(rows) > 200
+    right = [(r.score >= 0.5) == (r.toxic == 1) for r in rows]
+    assert np.mean(right) > 0.95 and all(0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.rejected == (r.toxic == 1) for r in rows]) > 0.95
+
+
+def test_score_depends_on_the_text_alone(spark, corpus, model):
+    docs, _ = corpus
+    other = docs.withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string"))
+    assert sorted(r.score for r in t.score(docs, model).collect()) == sorted(r.score for r in t.score(other, model).collect())
+
+
+def test_a_window_is_found_wherever_it_stands(model):
+    tables, buckets = model.tables(), t.Buckets()
+    clean = ["abcde fghab"] * 40
+    one = lambda text: t.scores(model, tables, [buckets.of(text)])[0]
+    first, last = one(" ".join(["you moron", *clean])), one(" ".join([*clean, "you moron"]))
+    assert first > 0.5 and last > 0.5 and one(" ".join(clean)) < 0.5
+    together = t.scores(model, tables, [buckets.of(x) for x in ("", "you moron", "abcde", "")])
+    assert together[0] == together[3] == one("") and abs(together[1] - one("you moron")) < 1e-9
+
+
+def test_training_is_repeatable_and_uses_no_held_out_label(spark, corpus):
+    docs, labels = corpus
+    flipped = labels.withColumn("toxic", F.when(t.fold() == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = t.fit(docs, labels, train_rows=300), t.fit(docs, flipped, train_rows=300)
+    assert np.array_equal(a.embed, b.embed) and a.offset == b.offset and a.thresholds == b.thresholds
+
+
+def test_nulls_empty_tables_repeats_and_clashing_names(spark, docs_of, model):
+    docs = docs_of([(1, None), (1, None), (None, ""), (2, "scum " * 30_000)]).withColumn("score", F.lit("x")).withColumn("label", F.lit(1))
+    docs = docs.withColumn("lang", F.lit(None).cast("string"))
+    rows = t.score(docs, model).collect()
+    assert len(rows) == 4 and len({r.score for r in rows if not r.text}) == 1 and rows[0].threshold == 0.5
+    assert max(rows, key=lambda r: len(r.text or "")).rejected
+    assert t.score(docs.limit(0), model).count() == 0
+    nothing = spark.createDataFrame([], LABELS)
+    untrained = t.fit(docs, nothing)
+    assert {r.rejected for r in t.score(docs, untrained).collect()} == {False}
+    unlabelled = spark.createDataFrame([(1, None, None), (None, 1, 1)], LABELS)
+    assert not t.score(docs, t.fit(docs, unlabelled)).filter("rejected").count()
+
+
+def test_thresholds_by_language():
+    scores, labels = np.array([0.9, 0.8, 0.7, 0.2] * 20), np.array([1, 1, 0, 0] * 20)
+    assert t.best_threshold(scores, labels) == pytest.approx(0.75)
+    m = t.train([], [])
+    t.calibrate(m, np.concatenate([scores, scores - 0.15]), np.concatenate([labels, labels]), np.array(["a"] * 80 + ["b"] * 80, dtype=object))
+    assert set(m.thresholds) == {None, "a", "b"} and m.thresholds["a"] > m.thresholds["b"]
