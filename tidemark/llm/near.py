@@ -2,9 +2,9 @@
 
 Equal texts become one node first, so a group of copies costs one row. Nodes that share a band meet in that
 band's bucket. Buckets are never expanded into all pairs: each member is compared with its bucket's leader,
-and what that links is grouped. Then only members of *different* groups that share a bucket are compared,
-until every shared bucket has been settled; so no link between different groups is lost, and a large group
-of near copies costs about one comparison a member.
+and what that links is grouped. Then only members of *different* groups that share a bucket are compared, and
+of these only pairs that exact upper bounds of their intersection leave open. So no link between different
+groups is lost, and a large group of near copies costs a few comparisons a member.
 """
 
 from collections.abc import Iterator
@@ -21,9 +21,11 @@ from tidemark.llm.components import components
 from tidemark.llm.superminhash import bands, mixed, signatures
 from tidemark.plans.workspace import settle
 
-# 32 bands of 5: a pair at similarity 0.8 shares no band with probability 3e-6, one at 0.9 with 1e-12.
-BANDS = 32
-ROWS = 5
+# 42 bands of 6: a pair at similarity 0.8 shares no band with probability 3e-6, one at 0.9 with 1e-14.
+BANDS = 42
+ROWS = 6
+# Buckets of this many open members get a leader to compare against; smaller ones have few pairs anyway.
+LED_MEMBERS = 8
 # Set elements and texts that are put through one call; bounds a task's memory.
 CHUNK_ELEMENTS = 20_000
 CHUNK_SETS = 400
@@ -124,6 +126,64 @@ def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _hashes(width):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = _WordHashes()
+        for part in parts:
+            found = [hashed_shingles(tokens(t), width, memo).view(np.int64) for t in part["text"]]
+            yield pd.DataFrame({"node": part["node"], "hashes": found})
+
+    return run
+
+
+def _against_leader(width):
+    """Which shingles of its leader a node has, as bits, and how many it has besides."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, place = None, None
+        for part in parts:
+            bits, outside = [], []
+            for a, text_a, text_b in zip(part["a"], part["text_a"], part["text_b"], strict=True):
+                if a != key:
+                    key, place = a, {s: i for i, s in enumerate(sorted(shingle_set(tokens(text_a), width)))}
+                own = shingle_set(tokens(text_b), width)
+                mask = np.zeros(-(-len(place) // 64) * 64, dtype=bool)
+                shared = [place[s] for s in own if s in place]
+                mask[shared] = True
+                bits.append(np.packbits(mask).view(np.int64))
+                outside.append(len(own) - len(shared))
+            yield pd.DataFrame({"leader": part["a"], "node": part["b"], "bits": bits, "outside": outside})
+
+    return run
+
+
+def _with_bounds(open_rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``open_rows`` with what bounds an intersection from above: ``sole``, the shingles of the node that no
+    other open node has, and, in larger buckets, the node's part of the leader's shingles (bits, outside)."""
+    open_texts = texts.join(open_rows.select("node").distinct(), "node", "left_semi")
+    hashes = open_texts.mapInPandas(_hashes(width), "node binary, hashes array<long>").select("node", F.explode("hashes").alias("h"))
+    sole = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node")).filter("held = 1")
+    sole = sole.groupBy("node").agg(F.count(F.lit(1)).alias("sole"))
+    led = open_rows.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("leader"))
+    led = settle(led.filter(F.col("held") >= LED_MEMBERS).select("band", "leader"), "leaders")
+    rows = open_rows.join(led, "band", "left")
+    pairs = settle(rows.filter("leader IS NOT NULL").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    parts = settle(with_b.mapInPandas(_against_leader(width), "leader binary, node binary, bits array<long>, outside long"), "parts")
+    return rows.join(sole, "node", "left").join(parts, ["leader", "node"], "left").withColumn("sole", F.coalesce("sole", F.lit(0)))
+
+
+def _may_link(similarity: int):
+    """False only for pairs whose intersection cannot be large enough. Shingles that one node alone has are in
+    no intersection; of the others, those inside the leader's are counted, those outside bounded."""
+    inside = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+    outside = F.greatest(F.lit(0), F.least(F.col("outside_a") - F.col("sole_a"), F.col("outside_b") - F.col("sole_b")))
+    # least() passes over the null of a bucket without a leader.
+    most = F.least(F.col("n_a") - F.col("sole_a"), F.col("n_b") - F.col("sole_b"), inside + outside)
+    return 100 * most >= similarity * (F.col("n_a") + F.col("n_b") - most)
+
+
 def _unlike(pairs: DataFrame, similarity: int) -> DataFrame:
     """Only pairs whose set sizes allow the similarity."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
@@ -176,12 +236,13 @@ def link_groups(docs: DataFrame, doc_id="doc_id", text="text", width: int = 5, s
     checked = checked.unionByName(apart)
     links = links.unionByName(verified(apart, texts, width, similarity))
     grouped = settle(_grouped(members, links), "grouped")
-    # ... and last all members of different groups that share a bucket.
+    # ... and last the members of different groups that share a bucket, unless a bound rules the pair out.
     several = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("band")
     open_rows = settle(grouped.join(several, "band").select("band", "node", "n", "root"), "open")
-    left = open_rows.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = open_rows.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = _unlike(left.join(right, "band").filter("root_a < root_b"), similarity)
+    bounded = settle(_with_bounds(open_rows, texts, width), "bounded")
+    side = lambda k: bounded.select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "root", "sole", "bits", "outside")])
+    rest = side("a").join(side("b"), "band").filter("root_a < root_b").filter(_may_link(similarity))
+    rest = rest.withColumnRenamed("node_a", "a").withColumnRenamed("node_b", "b")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = settle(rest.join(checked, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(rest, texts, width, similarity))
