@@ -509,3 +509,85 @@ def drop_all_seen(spark, sf_dir):
     """Re-sent events against everything ever handled, by whichever consumer."""
     events = ev(spark, sf_dir)
     return drop_seen(resent(events), ledger(events), ["doc_id"]).select("event_id")
+
+
+# --- rows that lack a key or a time
+
+_KEYLESS = "CASE WHEN event_type <> 'error' THEN event_type END"
+
+
+@query(
+    f"""SELECT k, event_id, rn // 100 AS commit_no FROM (
+          SELECT {_KEYLESS} AS k, event_id, row_number() OVER (PARTITION BY {_KEYLESS} ORDER BY ts, event_id) AS rn FROM events)
+        WHERE rn % 100 = 0"""
+)
+def commit_points_null_key(spark, sf_dir):
+    """Events without a key form a group of their own."""
+    key = F.when(F.col("event_type") != "error", F.col("event_type")).alias("k")
+    keyed = raw_events(spark, sf_dir).select(key, *ORDER)
+    return cadence.commit_points_count(keyed, 100, ("k",), ORDER).select("k", "event_id", "commit_no")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN event_type = 'purchase' OR value >= 10 THEN ts END AS ts,
+              CASE WHEN event_type = 'purchase' THEN props || ' again' ELSE props END AS data FROM ev""",
+    EV_SQL,
+)
+def upsert_null_time(spark, sf_dir):
+    """A stored table in which some events have no time; purchases come again, now with one."""
+    events, path = ev(spark, sf_dir), fresh_path(spark, "undated")
+
+    def declared(rows, ts, data):
+        return to_declared(rows.select("doc_id", F.col("event_id").alias("queryid"), ts.alias("timestamp"), "event_type", "user_id", data.alias("data")))
+
+    write_by_day(declared(events, F.when(F.col("value") >= 10, F.col("ts")), F.col("props")), path)
+    upsert_into(spark, path, declared(events.filter("event_type = 'purchase'"), F.col("ts"), F.concat("props", F.lit(" again"))))
+    return scan_events(spark, path).select("doc_id", F.col("timestamp").cast(NTZ).alias("ts"), "data")
+
+
+# --- one store, several writers
+
+
+def _documents(spark, sf_dir):
+    padded = F.lpad(F.col("event_id").cast("string"), 19, "0").alias("doc_id")
+    return raw_events(spark, sf_dir).select(padded, F.col("ts").cast("timestamp").alias("timestamp"))
+
+
+WEEKS = ("2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00")
+
+
+@query(
+    "SELECT event_id, ("
+    + " + ".join(f"(ts >= TIMESTAMP '{w}')::BIGINT" for w in WEEKS)
+    + ")::BIGINT AS commit_seq FROM events WHERE ts IS NOT NULL"
+)
+def compacted_log(spark, sf_dir):
+    """Four weekly runs, compacted after each: every event keeps the number of its commit."""
+    from tidemark.consumer import Consumer
+
+    documents, store = _documents(spark, sf_dir), OffsetStore(spark, fresh_path(spark, "compacted"))
+    for until in (*WEEKS, None):
+        present = documents if until is None else documents.filter(F.col("timestamp") < ts_fn.as_bound(until))
+        Consumer(store, lambda: present, "c0", "events", batch_size=None, safety_seconds=None).consume()
+        store.compact("c0", "events")
+    return store.ledger().select(F.col("doc_id").cast("long").alias("event_id"), F.col("commit_seq").cast("long").alias("commit_seq"))
+
+
+@query("SELECT event_id, 1::BIGINT AS times FROM events WHERE ts IS NOT NULL")
+def resume_batch_then_stream(spark, sf_dir):
+    """The first half of the month by the batch consumer, the rest by a stream on the same store."""
+    from tidemark.consumer import Consumer
+    from tidemark.sources.events import stream_events
+    from tidemark.streaming.pipeline import EventPipeline
+
+    root, documents = fresh_path(spark, "modes"), _documents(spark, sf_dir)
+    documents.repartitionByRange("timestamp").write.parquet(f"{root}/in")
+    store = OffsetStore(spark, f"{root}/store")
+    early = documents.filter(F.col("timestamp") < ts_fn.as_bound(WEEKS[1]))
+    Consumer(store, lambda: early, "c0", "events", batch_size=None, sink=f"{root}/batches").consume()
+    pipeline = EventPipeline(store, "c0", "events", f"{root}/sink", f"{root}/checkpoint", skip_handled=True)
+    pipeline.run(lambda: stream_events(spark, f"{root}/in", documents.schema, files_per_batch=4))
+    written = [spark.read.schema(documents.schema).parquet(f"{root}/{part}").select("doc_id") for part in ("batches", "sink")]
+    return (
+        written[0].unionByName(written[1]).groupBy(F.col("doc_id").cast("long").alias("event_id")).agg(F.count(F.lit(1)).alias("times"))
+    )

@@ -75,10 +75,10 @@ def table_stats_query(spark, sf_dir):
     return table_stats(raw_events(spark, sf_dir)).select("docs")
 
 
-@query()
+@query("SELECT count(*) AS docs, true AS has_bytes FROM events")
 def table_bytes(spark, sf_dir):
-    """Stored bytes depend on the files, which SQL over a view cannot see."""
-    return table_stats(raw_events(spark, sf_dir))
+    """How many bytes are stored depends on the files, which SQL over a view cannot see."""
+    return table_stats(raw_events(spark, sf_dir)).select("docs", (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query("SELECT count(*) AS present, 0::BIGINT AS n FROM events")
@@ -86,7 +86,8 @@ def empty_source(spark, sf_dir):
     """The event table, and a table that is not there yet."""
     present = raw_events(spark, sf_dir).agg(F.count(F.lit(1)).alias("present"))
     absent = scan_if_present(spark, fresh_path(spark, "absent"), RAW).agg(F.count(F.lit(1)).alias("n"))
-    return present.withColumn("_one", F.lit(1)).join(absent.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    rows = present.withColumn("n", F.lit(None).cast("long")).unionByName(absent.withColumn("present", F.lit(None).cast("long")))
+    return rows.agg(F.max("present").alias("present"), F.max("n").alias("n"))
 
 
 @query(f"SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '{BOUND}'")

@@ -64,7 +64,7 @@ def stream_exactly_once(spark, sf_dir):
     """A batch that is written to the sink, fails before its commit and is replayed."""
     folder, root = fresh_path(spark, "once-source"), fresh_path(spark, "once")
     events = _declared(ev(spark, sf_dir))
-    events.repartitionByRange(4, "timestamp").write.parquet(folder)
+    events.repartitionByRange("timestamp").write.parquet(folder)
     pipeline = _FailsOnce(OffsetStore(spark, f"{root}/store"), "c0", "events", f"{root}/sink", f"{root}/checkpoint")
     pipeline.run(lambda: stream_events(spark, folder, events.schema, files_per_batch=1), wait=0)
     written = spark.read.schema(events.schema).parquet(f"{root}/sink")

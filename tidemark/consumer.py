@@ -19,8 +19,8 @@ from tidemark.sources.store import OffsetStore, Position
 class Batch:
     """One fetched batch: the events (written once, so every use sees the same rows) and its context."""
 
-    def __init__(self, events: DataFrame, position: Position, attempt: int):
-        self.events, self.position, self.attempt = events, position, attempt
+    def __init__(self, events: DataFrame, position: Position, attempt: int, number: int):
+        self.events, self.position, self.attempt, self.number = events, position, attempt, number
 
 
 class Consumer:
@@ -59,9 +59,12 @@ class Consumer:
         return self.store.load(self.consumer_id, self.index_name)
 
     def pending(self, position: Position | None = None) -> DataFrame:
-        """All events due from ``position`` (default: the stored one), without a limit."""
+        """All events due from ``position`` (default: the stored one), without a limit.
+
+        An event without a time has no place in the order: it is not delivered, see :meth:`undated`.
+        """
         at = position or self.position()
-        events = self.events()
+        events = self.events().filter(F.col("timestamp").isNotNull())
         if self.prefix:
             events = events.filter(P.has_prefix(F.col("doc_id"), self.prefix))
         ts, doc_id = F.col("timestamp"), F.col("doc_id")
@@ -79,14 +82,18 @@ class Consumer:
         )
         return drop_seen(events.filter(P.after(ts, bound)), handled, ["doc_id"])
 
+    def undated(self) -> DataFrame:
+        """Events that no read delivers, because they have no time."""
+        return self.events().filter(F.col("timestamp").isNull())
+
     def poll(self) -> Batch:
         """Mark the read and fetch the next batch. Nothing moves until it is committed."""
         at = self.position()
         attempt = self.store.mark_start(self.consumer_id, self.index_name)
-        events = next_batch(self.pending(at), self.batch_size)
-        if self.safety_seconds is not None:
-            events = dedup_events(events)
-        return Batch(settle(events, "batch"), at, attempt)
+        # Copies merge before the limit, so a batch of n holds n events.
+        events = next_batch(dedup_events(self.pending(at)), self.batch_size)
+        number = self.store.next_number(self.consumer_id, self.index_name)
+        return Batch(settle(events, "batch"), at, attempt, number)
 
     def commit(self, batch: Batch, done: DataFrame | None = None) -> Position:
         """Record ``done`` (default: the whole batch) as handled and move the position.
@@ -98,6 +105,8 @@ class Consumer:
         row = finished.agg(newest.alias("top"), F.count(F.lit(1)).alias("n")).first()
         before = batch.position
         if row.n == 0:
+            if done is None:
+                self.store.clear_start(self.consumer_id, self.index_name, batch.attempt)
             return before
         top = (row.top.us, row.top.id)
         if not before.is_new and (before.micros, before.doc_id or "") > top:
@@ -107,10 +116,12 @@ class Consumer:
             doc_id=top[1],
             total=before.total + row.n,
             query_start=None,
-            commit_seq=before.commit_seq + 1,
+            commit_seq=batch.number,
         )
         self.store.record_handled(self.consumer_id, self.index_name, after.commit_seq, finished, before.epoch)
         self.store.save(self.consumer_id, self.index_name, after)
+        if done is None or row.n == batch.events.count():
+            self.store.clear_start(self.consumer_id, self.index_name, batch.attempt)
         return after
 
     def consume(
@@ -133,13 +144,11 @@ class Consumer:
             done = settle(kept, "done")
         if self.sink is not None:
             result = process(done) if process else done
-            result.write.mode("overwrite").parquet(f"{self.sink}/commit_seq={batch.position.commit_seq + 1}")
+            result.write.mode("overwrite").parquet(f"{self.sink}/commit_seq={batch.number}")
         elif process is not None:
             process(done).write.format("noop").mode("overwrite").save()
         if commit:
-            self.commit(batch, done)
-            if ok is None or done.count() == batch.events.count():
-                self.store.clear_start(self.consumer_id, self.index_name)
+            self.commit(batch, None if ok is None else done)
         return batch
 
     def drain(self, process=None, most: int | None = None) -> int:

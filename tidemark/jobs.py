@@ -1,4 +1,7 @@
-"""Jobs to submit: ``spark-submit tidemark/jobs.py consume --events ... --store ...``"""
+"""Jobs to submit: ``spark-submit --py-files tidemark.zip tidemark/jobs.py consume --events ... --store ...``
+
+The zip holds the package (``zip -r tidemark.zip tidemark``): tasks of the commit cadence import it.
+"""
 
 import argparse
 import os
@@ -19,6 +22,9 @@ from tidemark.streaming.pipeline import POLL_SECONDS, EventPipeline  # noqa: E40
 
 # Fixed value: the index read and written unless told otherwise.
 DEFAULT_INDEX = "events"
+FILES_PER_BATCH = 1000
+# What a sender may give; the rest is filled in.
+RAW_EVENTS = "doc_id string, queryid string, timestamp string, event_type string, user_id string, data string"
 
 
 def consume(spark, args):
@@ -33,6 +39,7 @@ def consume(spark, args):
     if args.seek:
         consumer.seek(args.seek)
     consumer.drain()
+    store.compact(consumer.consumer_id, args.index)
     consumer.status().show(truncate=False)
 
 
@@ -45,14 +52,17 @@ def stream(spark, args):
         dedup_delay=args.dedup_delay, skip_handled=not args.dedup_delay,  # an upsert rewrites files of its day
     )
     if args.follow:
-        pipeline.start(stream_events(spark, args.events), POLL_SECONDS).awaitTermination()
+        pipeline.start(stream_events(spark, args.events, files_per_batch=args.files_per_batch), POLL_SECONDS).awaitTermination()
     else:
-        pipeline.run(lambda: stream_events(spark, args.events))
+        pipeline.run(lambda: stream_events(spark, args.events, files_per_batch=args.files_per_batch))
+    store.compact(args.consumer, args.index)
 
 
 def load(spark, args):
     """Ingest raw JSON or parquet rows into the event table."""
-    raw = spark.read.format(args.format).load(args.raw)
+    # JSON gets a schema, so that it is read once; parquet brings its own.
+    reader = spark.read.format(args.format)
+    raw = (reader.schema(RAW_EVENTS) if args.format == "json" else reader).load(args.raw)
     incoming = ingest(raw)
     if exists(spark, args.events):
         upsert_into(spark, args.events, incoming)
@@ -82,9 +92,10 @@ def parser():
             job.add_argument("--consumer", required=name == "stream")
             job.add_argument("--prefix", help="handle only ids with this prefix, strictly in order")
             job.add_argument("--sink", required=name == "stream")
-    jobs.choices["consume"].add_argument("--batch-size", type=int, default=50, help="0: all at once")
+    jobs.choices["consume"].add_argument("--batch-size", type=int, default=0, help="0: all that is pending, as one distributed batch")
     jobs.choices["consume"].add_argument("--seek", help="first move to this UTC time")
     jobs.choices["stream"].add_argument("--follow", action="store_true")
+    jobs.choices["stream"].add_argument("--files-per-batch", type=int, default=FILES_PER_BATCH)
     jobs.choices["stream"].add_argument("--dedup-delay", help="for example '30 seconds'")
     jobs.choices["load"].add_argument("--raw", required=True)
     jobs.choices["load"].add_argument("--format", default="json")

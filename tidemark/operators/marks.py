@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.timestamps import as_bound, exact_text
 from tidemark.plans.joins import BROADCAST_ROWS, attach_per_key
@@ -21,13 +22,16 @@ BUCKET_SECONDS = 3600
 BEFORE_ALL = -(2**62)
 
 
-def bucket_of(ts):
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / BUCKET_SECONDS).cast("long")
+def bucket_of(ts, kind):
+    """The hour of a time of the given type, counted from 1970 in UTC, whatever the session zone."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_date(F.to_date(ts)).cast("long") * 24 + F.hour(ts)
+    return F.floor(F.unix_seconds(ts) / BUCKET_SECONDS).cast("long")
 
 
 def bucket_counts(events: DataFrame, order, index: str) -> DataFrame:
     """Events per (index, hour) and the newest of them: as many rows as there are hours."""
-    counted = events.groupBy(index, bucket_of(F.col(order[0])).alias("bucket"))
+    counted = events.groupBy(index, bucket_of(F.col(order[0]), events.schema[order[0]].dataType).alias("bucket"))
     return settle(counted.agg(F.count(F.lit(1)).alias("n"), F.max(order[0]).alias("newest")), "counts")
 
 
@@ -50,7 +54,7 @@ def milestones(counts: DataFrame, offsets: DataFrame, index: str) -> DataFrame:
 
 
 def with_bucket(offsets: DataFrame) -> DataFrame:
-    return offsets.withColumn("bucket", F.coalesce(bucket_of(F.col("last_ts")), F.lit(BEFORE_ALL)))
+    return offsets.withColumn("bucket", F.coalesce(bucket_of(F.col("last_ts"), offsets.schema["last_ts"].dataType), F.lit(BEFORE_ALL)))
 
 
 class Positions(NamedTuple):
@@ -95,7 +99,7 @@ def in_hours(events: DataFrame, hours: DataFrame, order, index: str) -> DataFram
     ts, stored = F.col(order[0]), events.schema[order[0]].dataType
     first = as_bound(span.low * BUCKET_SECONDS * 1_000_000, stored)
     last = as_bound((span.high + 1) * BUCKET_SECONDS * 1_000_000, stored)
-    bounded = events.filter((ts >= first) & (ts < last)).withColumn("bucket", bucket_of(ts))
+    bounded = events.filter((ts >= first) & (ts < last)).withColumn("bucket", bucket_of(ts, stored))
     return attach_per_key(bounded, hours, [index, "bucket"], [order[1]], "inner", counted=span.rows)
 
 

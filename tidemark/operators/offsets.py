@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from tidemark.functions.predicates import resume_or_first
 from tidemark.functions.timestamps import as_bound, epoch, exact_text, to_instant
 from tidemark.operators.dedup import drop_seen
-from tidemark.plans.joins import attach_per_key
+from tidemark.plans.joins import attach_per_key, null_safe
 from tidemark.plans.workspace import settle
 from tidemark.schemas import CONSUMER_KEY, EVENT_ORDER
 
 
 def latest_offsets(log: DataFrame, keys=CONSUMER_KEY, seq="commit_seq") -> DataFrame:
     """The newest record of each key; a key whose newest record is a tombstone is gone."""
-    rest = [c for c in log.columns if c not in keys]
-    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("row"))
-    live = newest.filter(~F.coalesce(F.col("row.deleted"), F.lit(False))) if "deleted" in rest else newest
-    return live.select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
+    # The newest number of a key is a plain hash aggregate; carrying the record along would sort the log.
+    newest = log.groupBy(*keys).agg(F.max(seq).alias("_newest"))
+    rows = null_safe(log, newest, keys).filter(F.col(seq) == F.col("_newest")).drop("_newest")
+    return rows.filter(~F.coalesce(F.col("deleted"), F.lit(False))) if "deleted" in rows.columns else rows
 
 
 def load_offsets(log: DataFrame, wanted: DataFrame, ts="last_processed_timestamp", total="total_processed", keys=CONSUMER_KEY):
@@ -72,7 +72,7 @@ def newest_per_key(events: DataFrame, keys=CONSUMER_KEY, order=EVENT_ORDER) -> D
     per_key = top.select(*keys, "_top")
     at_top = attach_per_key(last, per_key, keys, [order[1]], "inner", counted=seen.keys).filter(ts == F.col("_top"))
     ids = at_top.groupBy(*keys).agg(F.max(order[1]).alias(order[1]))
-    return top.join(ids, list(keys)).select(*keys, F.col("_top").alias(order[0]), order[1], "n")
+    return null_safe(top, ids, keys).select(*keys, F.col("_top").alias(order[0]), order[1], "n")
 
 
 def advance_offsets(events: DataFrame, offsets: DataFrame, keys=CONSUMER_KEY, order=EVENT_ORDER) -> DataFrame:
@@ -90,7 +90,7 @@ def advance_offsets(events: DataFrame, offsets: DataFrame, keys=CONSUMER_KEY, or
         *keys, F.when(F.col("last_ts").isNotNull(), F.struct("last_ts", "last_id")).alias("_old"), "total"
     )
     return (
-        stored.join(handled, list(keys), "full")
+        null_safe(stored, handled, keys, "full")
         .withColumn("_at", F.greatest("_old", "_new"))
         .select(
             *keys,
@@ -120,7 +120,7 @@ def last_handled_display(events: DataFrame, display, handled_order, keys=("consu
 def increment_totals(totals: DataFrame, handled: DataFrame, keys=CONSUMER_KEY) -> DataFrame:
     """Stored totals plus the rows newly handled; a key without a record starts from 0."""
     counted = handled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return totals.join(counted, list(keys), "full").select(
+    return null_safe(totals, counted, keys, "full").select(
         *keys, (F.coalesce("total", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("total")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.plans.joins import null_safe
 from tidemark.plans.workspace import settle
 
 # monotonically_increasing_id() holds the partition number above bit 33, the row number below.
@@ -28,7 +29,7 @@ def _lay_out(df: DataFrame, keys, order) -> DataFrame:
 def _join_parts(laid: DataFrame, parts: DataFrame, keys) -> DataFrame:
     # One row per (key, partition). The written size decides between broadcast and a shuffle on
     # (key, partition), which is even because range partitions are.
-    return laid.join(settle(parts, "parts"), [*keys, "_part"])
+    return null_safe(laid, settle(parts, "parts"), [*keys, "_part"])
 
 
 def with_position(df: DataFrame, keys, order, name="rn", total=None) -> DataFrame:

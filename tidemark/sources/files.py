@@ -21,3 +21,15 @@ def delete(spark: SparkSession, path: str) -> None:
 def child_names(spark: SparkSession, path: str) -> list[str]:
     fs, handle = _open(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(handle)] if fs.exists(handle) else []
+
+
+def make(spark: SparkSession, path: str) -> None:
+    """An empty folder, for what its name alone records."""
+    fs, handle = _open(spark, path)
+    fs.mkdirs(handle)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, handle = _open(spark, path)
+    if not fs.rename(handle, _open(spark, to)[1]):
+        raise OSError(f"cannot rename {path} to {to}")

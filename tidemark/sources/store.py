@@ -3,9 +3,14 @@
 Each write is one directory named after what it records (consumer, index, commit number), so
 writing it again replaces it, and consumers never write to each other's directories. Nothing is
 updated in place; current values are views over the log.
+
+All writers of one (consumer, index), batch or stream, draw their commit numbers from one sequence.
+Compaction gathers the rows of old commits in one directory, each with its number, and never drops one:
+rows up to the number in the newest such directory's name are read from there, later ones from their own.
 """
 
 import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +21,8 @@ from tidemark.functions.timestamps import as_bound, effective_start, micros, saf
 from tidemark.operators import offsets as ops
 from tidemark.operators.reports import table_stats
 from tidemark.plans.workspace import prepare
-from tidemark.schemas import ATTEMPTS, LEDGER, OFFSETS
-from tidemark.sources.files import child_names, delete, exists
+from tidemark.schemas import ATTEMPTS, CONSUMER_KEY, LEDGER, OFFSETS
+from tidemark.sources.files import child_names, delete, exists, make, rename
 
 # Fixed value: the name of the offset table.
 OFFSET_TABLE = "consumer_offsets"
@@ -50,6 +55,10 @@ def _part(name, value) -> str:
     return f"{name}={escaped}"
 
 
+def _merged(table: str) -> str:
+    return f"{table}_merged"
+
+
 class OffsetStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = prepare(spark)
@@ -74,6 +83,31 @@ class OffsetStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", self.path(table)).parquet(folder)
 
+    def _upto(self, table: str, consumer_id, index_name) -> int:
+        """The newest commit number that compaction has gathered; below all numbers if none."""
+        return max(self._numbers(self._folder(_merged(table), consumer_id, index_name), "upto"), default=-1)
+
+    def _all(self, table: str, schema) -> DataFrame:
+        """Every consumer's rows of a compacted table."""
+        rows = self._read(table, schema).select(*schema.fieldNames())
+        if not exists(self.spark, self.path(_merged(table))):
+            return rows
+        merged = self._read(_merged(table), T.StructType([*schema.fields, T.StructField("upto", T.LongType())]))
+        # One row for each compacted consumer.
+        newest = merged.groupBy(*CONSUMER_KEY).agg(F.max("upto").alias("_newest"))
+        gathered = merged.join(newest, list(CONSUMER_KEY)).filter(F.col("upto") == F.col("_newest"))
+        later = rows.join(newest, list(CONSUMER_KEY), "left").filter(F.col("commit_seq") > F.coalesce("_newest", F.lit(-1)))
+        return gathered.select(*rows.columns).unionByName(later.select(*rows.columns))
+
+    def _all_mine(self, table: str, schema, consumer_id, index_name) -> DataFrame:
+        rows = self._mine(table, schema, consumer_id, index_name).select(*schema.fieldNames())
+        upto = self._upto(table, consumer_id, index_name)
+        if upto < 0:
+            return rows
+        merged = self._mine(_merged(table), T.StructType([*schema.fields, T.StructField("upto", T.LongType())]), consumer_id, index_name)
+        gathered = merged.filter(F.col("upto") == upto).select(*rows.columns)
+        return gathered.unionByName(rows.filter(F.col("commit_seq") > upto))
+
     def _one_row(self) -> DataFrame:
         return self.spark.range(0, 1, 1, 1)
 
@@ -91,19 +125,22 @@ class OffsetStore:
     # --- views
 
     def log(self) -> DataFrame:
-        return self._read(OFFSET_TABLE, OFFSETS)
+        return self._all(OFFSET_TABLE, OFFSETS)
 
     def stats(self) -> DataFrame:
         """Records and stored bytes of the offset table."""
-        if not exists(self.spark, self.path(OFFSET_TABLE)):
-            return self.spark.sql("SELECT 0L AS docs, 0L AS bytes")
-        return table_stats(self.log())
+        sizes = [self.spark.sql("SELECT 0L AS docs, 0L AS bytes")]
+        for table in (OFFSET_TABLE, _merged(OFFSET_TABLE)):
+            if exists(self.spark, self.path(table)):
+                sizes.append(table_stats(self._read(table, OFFSETS)))
+        total = reduce(DataFrame.unionByName, sizes)
+        return total.agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
 
     def ledger(self) -> DataFrame:
-        return self._read("ledger", LEDGER)
+        return self._all("ledger", LEDGER)
 
     def handled_by(self, consumer_id: str, index_name: str) -> DataFrame:
-        return self._mine("ledger", LEDGER, consumer_id, index_name)
+        return self._all_mine("ledger", LEDGER, consumer_id, index_name)
 
     def open_attempts(self) -> DataFrame:
         """Reads that were begun and not finished."""
@@ -124,30 +161,90 @@ class OffsetStore:
         if self._numbers(self._folder("attempts", consumer_id, index_name), "attempt"):
             began = self._mine("attempts", ATTEMPTS, consumer_id, index_name)
             query_start = began.agg(micros(F.min("at")).alias("us")).first().us
-        folder = self._folder(OFFSET_TABLE, consumer_id, index_name)
-        numbers = [n for n in self._numbers(folder, "commit_seq") if before is None or n < before]
+        folder, upto = self._folder(OFFSET_TABLE, consumer_id, index_name), self._upto(OFFSET_TABLE, consumer_id, index_name)
+        numbers = [n for n in self._numbers(folder, "commit_seq") if n > upto and (before is None or n < before)]
+        inner = self._inner(OFFSETS, "commit_seq")
         for number in sorted(numbers, reverse=True):
-            inner = self._inner(OFFSETS, "commit_seq")
             record = self.spark.read.schema(inner).parquet(f"{folder}/{_part('commit_seq', number)}")
-            row = record.select(
-                micros(F.col("last_processed_timestamp")).alias("us"),
-                "last_processed_doc_id",
-                "total_processed",
-                "epoch",
-                "deleted",
-                micros(F.col("sought_timestamp")).alias("floor"),
-            ).first()
-            if row is None:
-                continue  # a commit that never completed
-            if row.deleted:
-                return Position(0, None, 0, query_start, row.epoch, number)
-            return Position(
-                row.us, row.last_processed_doc_id, row.total_processed, query_start, row.epoch, number, row.floor
-            )
+            found = self._position(record.withColumn("commit_seq", F.lit(number)), query_start)
+            if found is not None:  # else a commit that never completed
+                return found
+        if upto >= 0:
+            merged = self._all_mine(OFFSET_TABLE, OFFSETS, consumer_id, index_name).filter(F.col("commit_seq") <= upto)
+            if before is not None:
+                merged = merged.filter(F.col("commit_seq") < before)
+            found = self._position(merged.orderBy(F.desc("commit_seq")).limit(1), query_start)
+            if found is not None:
+                return found
         return Position(0, None, 0, query_start, 0, -1)
 
+    def _position(self, record: DataFrame, query_start) -> Position | None:
+        row = record.select(
+            micros(F.col("last_processed_timestamp")).alias("us"),
+            "last_processed_doc_id",
+            "total_processed",
+            "epoch",
+            "deleted",
+            "commit_seq",
+            micros(F.col("sought_timestamp")).alias("floor"),
+        ).first()
+        if row is None:
+            return None
+        if row.deleted:
+            return Position(0, None, 0, query_start, row.epoch, row.commit_seq)
+        return Position(row.us, row.last_processed_doc_id, row.total_processed, query_start, row.epoch, row.commit_seq, row.floor)
+
+    # --- commit numbers
+
+    def _reserved(self, consumer_id, index_name) -> dict[str, tuple[int, int, str]]:
+        """Each writer's last reservation: (step, number, folder)."""
+        folder, out = self._folder("reserved", consumer_id, index_name), {}
+        for name in child_names(self.spark, folder):
+            writer, step, number = name.rsplit(",", 2)
+            if writer not in out or out[writer][0] < int(step):
+                out[writer] = (int(step), int(number), f"{folder}/{name}")
+        return out
+
+    def next_number(self, consumer_id: str, index_name: str) -> int:
+        """A number above every completed commit and every reservation, whoever made it."""
+        taken = [n for _, n, _ in self._reserved(consumer_id, index_name).values()]
+        return max([self.load(consumer_id, index_name).commit_seq, *taken]) + 1
+
+    def reserve(self, consumer_id: str, index_name: str, writer: str, step: int, least: int = 0) -> tuple[int, int | None]:
+        """The commit number of one step of a writer, the same whenever the step is repeated.
+
+        If the step was begun but not committed and others have committed since, it gets a new number, so
+        that totals build on theirs; the second value is then the number given up, whose traces must go.
+        """
+        last = self._reserved(consumer_id, index_name).get(writer)
+        given_up = None
+        if last is not None and last[0] == step:
+            now = self.load(consumer_id, index_name).commit_seq
+            if now <= last[1] or self.load(consumer_id, index_name, before=last[1] + 1).commit_seq == last[1]:
+                return last[1], None
+            given_up = last[1]
+            delete(self.spark, f"{self._folder('ledger', consumer_id, index_name)}/{_part('commit_seq', given_up)}")
+        number = max(self.next_number(consumer_id, index_name), least)
+        made = f"{self._folder('reserved', consumer_id, index_name)}/{writer},{step},{number}"
+        if last is not None and given_up is not None:
+            delete(self.spark, last[2])
+        make(self.spark, made)
+        if last is not None and given_up is None:
+            delete(self.spark, last[2])
+        return number, given_up
+
+    def starting_point(self, consumer_id: str, index_name: str, writer: str) -> Position:
+        """The position at which ``writer`` first began, remembered for its restarts."""
+        folder = f"{self._folder('writers', consumer_id, index_name)}/{writer}"
+        numbers = self._numbers(folder, "began_after")
+        if not numbers:
+            now = self.load(consumer_id, index_name)
+            make(self.spark, f"{folder}/began_after={now.commit_seq}")
+            return now
+        return self.load(consumer_id, index_name, before=min(numbers) + 1)
+
     def exists(self, consumer_id: str, index_name: str) -> bool:
-        mine = self._mine(OFFSET_TABLE, OFFSETS, consumer_id, index_name)
+        mine = self._all_mine(OFFSET_TABLE, OFFSETS, consumer_id, index_name)
         return not ops.latest_offsets(mine).isEmpty()
 
     def save(self, consumer_id: str, index_name: str, position: Position, updated=None) -> None:
@@ -202,26 +299,31 @@ class OffsetStore:
             F.lit(at.doc_id).cast("string").alias("last_doc_id"),
         )
 
-    def compact(self, consumer_id: str, index_name: str, keep: int = 1000) -> None:
-        """Merge the ledger directories of committed commits into one, and keep the newest ``keep`` offset records.
+    def compact(self, consumer_id: str, index_name: str) -> None:
+        """Gather the offset records and ledger rows of committed commits in one directory each.
 
-        The merged rows go to a new directory, numbered below all commits, before the old ones are
-        removed. A crash in between leaves rows twice, which the next run merges; none are lost.
-        Session counts start anew, so run it between sessions.
+        Every row stays, with its commit number, so totals, sessions and replays are as before. The gathered
+        rows are written before the directories they replace are removed, and count from the moment they are
+        complete; a crash in between changes nothing. Empty directories of commits that never completed and
+        lie above the newest complete one are not touched.
         """
-        log = self._folder(OFFSET_TABLE, consumer_id, index_name)
-        for number in sorted(self._numbers(log, "commit_seq"))[:-keep]:
-            delete(self.spark, f"{log}/{_part('commit_seq', number)}")
         committed = self.load(consumer_id, index_name).commit_seq
-        folder = self._folder("ledger", consumer_id, index_name)
-        merged = sorted(n for n in self._numbers(folder, "commit_seq") if n <= committed)
-        if len(merged) < 2:
-            return
-        rows = self.handled_by(consumer_id, index_name).filter(F.col("commit_seq") <= committed)
-        once = rows.groupBy("doc_id", "epoch").agg(F.max("timestamp").alias("timestamp"))
-        self._write(once, "ledger", LEDGER, consumer_id, index_name, min(merged[0], 0) - 1)
-        for number in merged:
-            delete(self.spark, f"{folder}/{_part('commit_seq', number)}")
+        for table, schema in ((OFFSET_TABLE, OFFSETS), ("ledger", LEDGER)):
+            folder, merged = (self._folder(t, consumer_id, index_name) for t in (table, _merged(table)))
+            upto = self._upto(table, consumer_id, index_name)
+            old = [n for n in self._numbers(folder, "commit_seq") if n <= committed]
+            if len([n for n in old if n > upto]) > 1:
+                rows = self._all_mine(table, schema, consumer_id, index_name).filter(F.col("commit_seq") <= committed)
+                columns = [f.name for f in schema.fields if f.name not in ("consumer_id", "index_name")]
+                aside = f"{merged}/_{committed}"
+                rows.select(*columns).coalesce(max(1, len(old) // 1000)).write.mode("overwrite").parquet(aside)
+                rename(self.spark, aside, f"{merged}/{_part('upto', committed)}")
+                if upto >= 0:
+                    delete(self.spark, f"{merged}/{_part('upto', upto)}")
+                upto = committed
+            for number in old:
+                if number <= upto:
+                    delete(self.spark, f"{folder}/{_part('commit_seq', number)}")
 
     # --- read attempts
 
@@ -233,11 +335,15 @@ class OffsetStore:
         row.write.mode("overwrite").parquet(f"{folder}/{_part('attempt', attempt)}")
         return attempt
 
-    def clear_start(self, consumer_id: str, index_name: str) -> None:
-        """The read and its whole batch are finished: remove its mark, and those of failed reads before it."""
+    def clear_start(self, consumer_id: str, index_name: str, attempt: int | None = None) -> None:
+        """The read and its whole batch are finished: remove its mark, and those of failed reads before it.
+
+        Marks after ``attempt`` belong to reads still in flight and stay; without it all go.
+        """
         folder = self._folder("attempts", consumer_id, index_name)
         for number in self._numbers(folder, "attempt"):
-            delete(self.spark, f"{folder}/{_part('attempt', number)}")
+            if attempt is None or number <= attempt:
+                delete(self.spark, f"{folder}/{_part('attempt', number)}")
 
     def start_columns(self) -> DataFrame:
         """Per live consumer: the plain effective start and the one a reader may safely use."""

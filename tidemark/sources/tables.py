@@ -10,6 +10,8 @@ from tidemark.sources.files import delete, exists
 
 # Events are laid out by day, so a time bound prunes directories.
 DAY = "event_date"
+# Fixed value: Spark's name for the partition of rows without one.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
 def to_declared(df: DataFrame, schema=EVENTS) -> DataFrame:
@@ -58,9 +60,11 @@ def upsert_into(spark: SparkSession, path: str, incoming: DataFrame, version=Non
     hit = existing.join(incoming.select(key), key, "left_semi").select(DAY)
     # One row per day: as many as the calendar has, not as many as there are events.
     days = [r[DAY] for r in hit.union(incoming.select(DAY)).distinct().collect()]
-    affected = existing.filter(F.col(DAY).isin(days))
+    # Rows without a time have a partition of their own.
+    dated = F.col(DAY).isin([d for d in days if d is not None])
+    affected = existing.filter(dated | (F.col(DAY).isNull() & F.lit(None in days)))
     fresh = settle(upsert(affected, incoming, key), "upserted")
     write_by_day(fresh, path)
     left = {r[DAY] for r in fresh.select(DAY).distinct().collect()}
     for day in set(days) - left:
-        delete(spark, f"{path}/{DAY}={day}")
+        delete(spark, f"{path}/{DAY}={NO_DAY if day is None else day}")

@@ -5,6 +5,7 @@ the ledger and the offset record, each into a directory named after the batch: a
 replaces what its first attempt left, so every event counts once.
 """
 
+import hashlib
 import time
 from collections.abc import Callable
 
@@ -17,6 +18,8 @@ from tidemark.functions import predicates as P
 from tidemark.functions.timestamps import as_bound, micros
 from tidemark.operators.cadence import REPORT_EVERY
 from tidemark.operators.dedup import dedup_events, drop_seen
+from tidemark.plans.workspace import fresh_path, prepare
+from tidemark.sources.files import delete
 from tidemark.sources.store import OffsetStore
 
 # Retry of a commit, wait after a failed loop, polling interval.
@@ -29,7 +32,7 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 MEMORY_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 DISK_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# Micro-batches of epoch e are numbered from e * EPOCH_SPAN, after all commits of earlier epochs.
+# Commits of epoch e of a stream are numbered from e * EPOCH_SPAN or, if others got further, from there.
 EPOCH_SPAN = 1_000_000_000
 
 
@@ -122,26 +125,41 @@ class EventPipeline:
         at = store.load(consumer_id, index_name)
         self.epoch, self.floor, self.session_start = at.epoch, at.floor, at.commit_seq + 1
         self.checkpoint = f"{checkpoint}/epoch={self.epoch}"
+        # The checkpoint is the writer: a new one begins at the stored position, a known one where it left off.
+        self.writer = hashlib.sha256(self.checkpoint.encode()).hexdigest()[:16]
+        self.began = store.starting_point(consumer_id, index_name, self.writer)
 
     def shape(self, stream: DataFrame) -> DataFrame:
         if self.prefix:
             stream = stream.filter(P.has_prefix(F.col("doc_id"), self.prefix))
+        # An event without a time has no place in the order of events.
+        stream = stream.filter(F.col("timestamp").isNotNull())
         if self.floor is not None:
             stream = stream.filter(P.after(F.col("timestamp"), as_bound(self.floor)))
+        if self.began.doc_id is not None and not self.skip_handled:
+            at = as_bound(self.began.micros), F.lit(self.began.doc_id)
+            stream = stream.filter(P.after_position(F.col("timestamp"), F.col("doc_id"), *at))
         return dedup_stream(stream, self.dedup_delay) if self.dedup_delay else stream
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         """The whole effect of one micro-batch; safe to repeat."""
-        number = self.epoch * EPOCH_SPAN + batch_id
+        least = self.epoch * EPOCH_SPAN
+        number, given_up = self.store.reserve(self.consumer_id, self.index_name, self.writer, batch_id, least)
+        if given_up is not None:
+            delete(self.store.spark, f"{self.sink}/batch_id={given_up}")
         before = self.store.load(self.consumer_id, self.index_name, before=number)
         if self.safety_seconds is not None and before.doc_id is not None:
             cut = before.micros - self.safety_seconds * 1_000_000
             batch = batch.filter(P.after(F.col("timestamp"), as_bound(cut)))
         if self.skip_handled:
             handled = self.store.handled_by(self.consumer_id, self.index_name)
-            handled = handled.filter((F.col("epoch") == self.epoch) & (F.col("commit_seq") < number))
+            handled = handled.filter((F.col("epoch") == self.epoch) & (F.col("commit_seq") != number))
             batch = drop_seen(dedup_events(batch), handled, ["doc_id"])
-        batch.persist()
+        # Written once, so that the sink, the ledger and the position come from the same rows without keeping
+        # an unbounded batch on the executors.
+        aside = fresh_path(prepare(self.store.spark), "micro-batch")
+        batch.write.parquet(aside)
+        batch = self.store.spark.read.schema(batch.schema).parquet(aside)
         try:
             result = self.process(batch) if self.process else batch
             result.write.mode("overwrite").parquet(f"{self.sink}/batch_id={number}")
@@ -150,7 +168,7 @@ class EventPipeline:
             newest = F.max(F.struct(micros(F.col("timestamp")).alias("us"), F.col("doc_id").alias("id")))
             row = batch.agg(newest.alias("top"), F.count(F.lit(1)).alias("n")).first()
         finally:
-            batch.unpersist()
+            delete(self.store.spark, aside)
         if row.n == 0:
             return
         top = (row.top.us, row.top.id)
