@@ -163,3 +163,18 @@ def test_session_zone_changes_no_pending_event(spark, zone):
         assert found() == want and len(want[0]) == 50
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_positions_totals_and_start_texts_can_be_set(spark, folder):
+    store = OffsetStore(spark, folder + "/store")
+    assert store.start_display("c", "events") == "Jan 1, 1970 @ 00:00:00.000" and store.seconds_since_commit("c", "events") is None
+    store.update("c", "events", "2024-01-01T00:00:02Z", "b")
+    store.increment("c", "events", 3)
+    at = store.update_from_display("c", "events", "Jan 1, 2024 @ 01:00:03.000", "d", "Europe/Berlin")
+    assert (at.micros, at.doc_id, at.total) == (1704067203_000_000, "d", 3) == tuple(store.load("c", "events"))[:3]
+    assert store.start_display("c", "events", "Europe/Berlin") == "Jan 1, 2024 @ 01:00:03.000"
+    store.mark_start("c", "events", "2024-01-01T00:00:01Z")
+    assert store.start_display("c", "events") == "Jan 1, 2024 @ 00:00:01.000"
+    consumer = Consumer(store, lambda: events(spark, [("e", 4), ("e", 4), ("f", 5)]), "c", "events", safety_seconds=None)
+    row = consumer.backlog().first()
+    assert row.uncommitted == 2 and 0 <= row.seconds_since_commit < 600

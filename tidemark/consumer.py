@@ -167,6 +167,13 @@ class Consumer:
     def reset(self) -> Position:
         return self.store.reset(self.consumer_id, self.index_name)
 
+    def backlog(self) -> DataFrame:
+        """Events not yet committed and seconds since the last commit (null before the first), as one row."""
+        seconds = self.store.seconds_since_commit(self.consumer_id, self.index_name)
+        return self.pending().agg(F.countDistinct("doc_id").alias("uncommitted")).withColumn(
+            "seconds_since_commit", F.lit(seconds).cast("double")
+        )
+
     def status(self) -> DataFrame:
         """Id, index, session and lifetime totals, and the last position, as one row."""
         return self.store.status(self.consumer_id, self.index_name, self.session_start)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.timestamps import as_bound, effective_start, micros, safe_start
+from tidemark.functions.timestamps import as_bound, display_text, effective_start, micros, safe_start, to_instant
 from tidemark.operators import offsets as ops
 from tidemark.operators.reports import table_stats
 from tidemark.plans.workspace import prepare
@@ -268,6 +268,38 @@ class OffsetStore:
         rows = events.select("doc_id", "timestamp", F.lit(epoch).alias("epoch"))
         self._write(rows, "ledger", LEDGER, consumer_id, index_name, commit_seq)
 
+    def _change(self, consumer_id: str, index_name: str, **fields) -> Position:
+        now = self.load(consumer_id, index_name)
+        after = now._replace(query_start=None, commit_seq=self.next_number(consumer_id, index_name), **fields)
+        self.save(consumer_id, index_name, after)
+        return after
+
+    def update(self, consumer_id: str, index_name: str, ts, doc_id: str) -> Position:
+        """Set the position to one event; ``ts`` as :func:`as_bound` takes it. The total is kept."""
+        us = self._one_row().select(micros(as_bound(ts)).alias("us")).first().us
+        return self._change(consumer_id, index_name, micros=us, doc_id=doc_id)
+
+    def update_from_display(self, consumer_id: str, index_name: str, text: str, doc_id: str, zone: str = "UTC") -> Position:
+        """As :meth:`update`, from a display text on the clock of ``zone`` (ISO text is taken as well)."""
+        us = self._one_row().select(micros(to_instant(F.lit(text), zone)).alias("us")).first().us
+        return self._change(consumer_id, index_name, micros=us, doc_id=doc_id)
+
+    def increment(self, consumer_id: str, index_name: str, by: int = 1) -> Position:
+        """Add to the number of events handled; the position stays."""
+        return self._change(consumer_id, index_name, total=self.load(consumer_id, index_name).total + by)
+
+    def start_display(self, consumer_id: str, index_name: str, zone: str = "UTC") -> str:
+        """Display text of the effective start: where an unfinished read began, else the last position."""
+        at = self.load(consumer_id, index_name)
+        us = at.micros if at.query_start is None else at.query_start
+        return self._one_row().select(display_text(as_bound(us), zone).alias("text")).first().text
+
+    def seconds_since_commit(self, consumer_id: str, index_name: str) -> float | None:
+        """Since the newest record was written; None before the first."""
+        mine = self._all_mine(OFFSET_TABLE, OFFSETS, consumer_id, index_name)
+        age = (micros(F.current_timestamp()) - micros(F.max("last_updated"))) / 1e6
+        return mine.agg(age.alias("age")).first().age
+
     def delete_offset(self, consumer_id: str, index_name: str) -> None:
         """A tombstone; the history stays. The epoch rises, so handled events are due again."""
         now = self.load(consumer_id, index_name)
