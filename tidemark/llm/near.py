@@ -47,7 +47,7 @@ def shingle_set(words: list[bytes], width: int) -> set:
 
 class _WordHashes(dict):
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found

@@ -47,7 +47,7 @@ class Buckets(dict):
     """Bucket of each word seen, forgotten when it grows large."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = bucket(word)
         return found
@@ -213,17 +213,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang="
     known = settle(known.orderBy(F.xxhash64("id"), "id").limit(train_rows), "labelled")
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), text_of(f"`{text}`").alias("text"))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets = Buckets()
         for part in parts:
-            yield pd.Series([ids if len(ids := buckets.of(t)) <= TRAIN_WORDS else None for t in part], dtype=object)
-
-    read = rows.join(F.broadcast(known), "id").select("id", "lang", "label", ids_of("text").alias("ids")).filter("ids IS NOT NULL")
-    sample = settle(read, "sample").orderBy(F.xxhash64("id"), "id", F.xxhash64("ids")).limit(train_rows).toPandas()
-    texts = [np.asarray(x, dtype=np.int32) for x in sample["ids"]]
-    truth, langs = sample["label"].to_numpy(dtype=float), sample["lang"].to_numpy(dtype=object)
-    held = np.arange(len(sample)) % 5 == 4
+            yield pd.Series([ids.tobytes() if len(ids := buckets.of(t)) <= TRAIN_WORDS else None for t in part], dtype=object)
+
+    # Filtered after it is written, so that the words are hashed once.
+    read = settle(rows.join(F.broadcast(known), "id").select("id", "lang", "label", ids_of("text").alias("ids")), "sample")
+    sample = read.filter("ids IS NOT NULL").orderBy(F.xxhash64("id"), "id", F.xxhash64("ids")).limit(train_rows).toArrow()
+    texts = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in sample["ids"]]
+    truth = sample["label"].to_numpy().astype(float)
+    langs = np.array(sample["lang"].to_pylist(), dtype=object)
+    held = np.arange(len(texts)) % 5 == 4
     model = train([t for t, h in zip(texts, held, strict=True) if not h], truth[~held])
     tables = model.tables()
     found = np.array([scores(model, tables, [t])[0] for t, h in zip(texts, held, strict=True) if h])
