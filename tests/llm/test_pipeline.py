@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import lines, mixing, near, toxicity
+from tidemark.llm import lines, mixing, toxicity
 from tidemark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
