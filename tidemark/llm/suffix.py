@@ -209,7 +209,9 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         more = family.add(stored.filter(F.col("batch") == b).drop("batch"))
         delete(spark, f"{split}/batch={b}")
         repeated = more if repeated is None else repeated.unionByName(more)
-    shared = settle(family.entries().join(repeated.distinct(), "prefix", "left_semi"), "shared")
+    # Written first, so that the join stands between two plain shuffles and a hot prefix can be split.
+    repeated = settle(repeated.distinct(), "repeated")
+    shared = settle(family.entries().join(repeated, "prefix", "left_semi"), "shared")
     delete(spark, family.path)
 
     whole, mixed = _settled(shared, ["prefix"], ["context", "back_lo", "back_hi"], "back_lo", "back_hi")
