@@ -46,3 +46,23 @@ def test_nulls_repeats_ties_clashing_names_and_no_rows(docs_of):
         by_shard.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(p) == list(range(len(p))) for p in by_shard.values())
     assert sharding.shard(docs.limit(0), 40).count() == 0
+
+
+def test_a_slot_heavier_than_a_shard_does_not_stop_the_others():
+    weight = [19_551] + [1 + s * 37 % 120 for s in range(1, 8192)]
+    second = sharding.rebalanced(sharding.initial_map(8192, 40), weight, 40)
+    load = [0] * 40
+    for slot, target in enumerate(second):
+        load[target] += weight[slot]
+    heavy = second[0]
+    others = [n for s, n in enumerate(load) if s != heavy]
+    assert load[heavy] == 19_551 and max(others) - min(others) <= 0.002 * sum(others) / 39
+
+
+def test_one_long_document_leaves_the_other_shards_even(docs_of):
+    rows = sharding.shard(docs_of([(0, "x" * 30_000)] + [(i, "y" * (i * 37 % 900)) for i in range(1, 1000)]), 40).collect()
+    loads = {}
+    for r in rows:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    *others, heavy = sorted(loads.values())
+    assert heavy == 30_016 and max(others) - min(others) < 0.02 * sum(others) / 39

@@ -46,7 +46,8 @@ def initial_map(slots: int, shards: int) -> list[int]:
 def rebalanced(current: list[int], weight: list[int], shards: int) -> list[int]:
     """``current`` with slots moved from the fullest to the emptiest shard until their sizes are near equal.
 
-    Each move takes the slot whose weight is nearest to half the difference, and only if it narrows the gap.
+    Each move takes the slot whose weight is nearest to half the difference, and only if it narrows the gap. A
+    shard that no move can improve (a slot as heavy as the whole gap fills it) is set aside, and the others go on.
     """
     moved, held = list(current), [[] for _ in range(shards)]
     load = [0] * shards
@@ -54,17 +55,19 @@ def rebalanced(current: list[int], weight: list[int], shards: int) -> list[int]:
         load[shard] += weight[slot]
         if weight[slot]:
             held[shard].append((weight[slot], slot))
-    mean = sum(load) / shards
     for mine in held:
         mine.sort()
-    for _ in range(4 * len(current)):
-        full, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
+    # The emptiest shard never grows emptier, so what cannot be improved now cannot be later either.
+    live = set(range(shards))
+    for _ in range(4 * len(current) + shards):
+        full, low = max(live, key=lambda s: (load[s], -s)), min(live, key=lambda s: (load[s], s))
         gap = load[full] - load[low]
-        if gap <= TOLERANCE * mean:
+        if gap <= TOLERANCE * sum(load[s] for s in live) / len(live):
             break
         w, slot = min(held[full], key=lambda x: (abs(2 * x[0] - gap), x))
         if w >= gap:
-            break
+            live.remove(full)
+            continue
         held[full].remove((w, slot))
         held[low].append((w, slot))
         load[full] -= w
