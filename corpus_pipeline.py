@@ -15,9 +15,9 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_boilerplate(spark, docs, sf_dir):
-    """Lines that stand on many sources go from all but one document. A document of which nothing is left
+    """Lines that stand on many sources go from all but one document, however few words they have. A document of which nothing is left
     goes (its whole text stays in others); one that was empty before stays. n_chars follows the text."""
-    cleaned = lines.dedup_lines(docs)
+    cleaned = lines.dedup_lines(docs, min_words=1)
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
     n_chars = F.when(F.col("n_removed") > 0, F.length(text_of())).otherwise(F.col("n_chars"))
     return cleaned.filter(~emptied).withColumn("n_chars", n_chars.cast("long")).select(*docs.columns)

@@ -79,3 +79,10 @@ def test_copies_without_ids_and_empty_tables(spark, docs_of):
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("op")))
 def test_queries_run_over_the_smallest_tables(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_short_boilerplate_lines_go_too(spark, docs_of):
+    docs = docs_of([(i, f"And ornd.\n版权所有\nOf.\nown text number {i}", f"s{i % 12}") for i in range(24)] + [(30, "Rare.\nown text here", "s0")])
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, SF).collect()}
+    assert got[0] == "And ornd.\n版权所有\nOf.\nown text number 0" and got[30] == "Rare.\nown text here"
+    assert all(got[i] == f"own text number {i}" for i in range(1, 24))

@@ -12,7 +12,7 @@ from tidemark.llm.common import SPACES, free_name, text_of, words
 from tidemark.plans.workspace import settle
 
 MIN_SITES = 10
-# Lines of fewer words are shared by chance, not copied from a template.
+# The query, its SQL and its tests leave lines of fewer words out; the pipeline judges every line with a word.
 MIN_WORDS = 3
 LG_K = 12
 # Relative error at 2**12 registers is under 2 %; outside this band the estimate decides.
@@ -23,7 +23,7 @@ def _trimmed(line):
     return F.btrim(line, F.lit(SPACES))
 
 
-def _exploded(docs, doc_id, text, site):
+def _exploded(docs, doc_id, text, site, min_words):
     body = text_of(f"`{text}`")
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"),
@@ -32,7 +32,7 @@ def _exploded(docs, doc_id, text, site):
         F.explode(F.split(body, "\n")).alias("line"),
     ).withColumn("line", _trimmed(F.col("line")))
     # Two independent hashes, 96 bits: no two lines of a corpus should share both.
-    return rows.filter(F.size(words(F.col("line"))) >= MIN_WORDS).select(
+    return rows.filter(F.size(words(F.col("line"))) >= min_words).select(
         "doc_id", "text_hash", "site", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")
     )
 
@@ -53,10 +53,12 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.filter(F.col("sites") >= high).unionByName(exact).select("h1", "h2", "first_doc")
 
 
-def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", site="source", min_sites: int = MIN_SITES) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, doc_id="doc_id", text="text", site="source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS
+) -> DataFrame:
     """``docs`` without boilerplate lines, plus n_lines and n_removed (lines with a word).
 
-    Boilerplate: lines of three or more words, compared without surrounding white space, on at least
+    Boilerplate: lines of ``min_words`` or more words, compared without surrounding white space, on at least
     ``min_sites`` distinct sites. The document with the smallest id that carries such a line keeps it, so
     no text leaves the corpus; every other document loses it. Other lines stay byte for byte.
 
@@ -66,7 +68,7 @@ def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", site="source", mi
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    lines = _exploded(docs, doc_id, text, site)
+    lines = _exploded(docs, doc_id, text, site, min_words)
     boilerplate = settle(spread_lines(lines, min_sites), "boilerplate")
     hits = (
         lines.select("doc_id", "text_hash", "h1", "h2")
