@@ -81,3 +81,37 @@ def test_thresholds_by_language():
     m = t.train([], [])
     t.calibrate(m, np.concatenate([scores, scores - 0.15]), np.concatenate([labels, labels]), np.array(["a"] * 80 + ["b"] * 80, dtype=object))
     assert set(m.thresholds) == {None, "a", "b"} and m.thresholds["a"] > m.thresholds["b"]
+
+
+def fitted(monkeypatch, docs, labels, **options):
+    """The model, and how many toxic rows of each language and rows in all set its thresholds."""
+    seen, calibrate = {}, t.calibrate
+
+    def noted(model, found, truth, langs, counts):
+        seen.update({k: sum((counts * truth)[langs == k]) for k in set(langs)}, all=sum(counts))
+        calibrate(model, found, truth, langs, counts)
+
+    monkeypatch.setattr(t, "calibrate", noted)
+    return t.fit(docs, labels, **options), seen
+
+
+def test_thresholds_come_from_all_rows_outside_the_sample(monkeypatch, corpus):
+    docs, labels = corpus
+    rare = docs.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, "rare").otherwise("en"))
+    model, seen = fitted(monkeypatch, rare, labels, train_rows=300)
+    assert seen["all"] == labels.filter(t.fold() != 0).count() - 240
+    assert seen["rare"] >= t.LEAST_LABELLED and set(model.thresholds) == {None, "en", "rare"}
+
+
+def test_a_rare_language_is_calibrated_on_the_fitted_rows_too(monkeypatch, corpus):
+    docs, labels = corpus
+    rare = docs.withColumn("lang", F.when(F.col("doc_id") % 11 == 0, "rare").otherwise("en"))
+    model, seen = fitted(monkeypatch, rare, labels)
+    outside = labels.filter(t.fold() != 0)
+    assert seen["all"] == outside.count() and seen["rare"] == outside.filter("toxic = 1 AND doc_id % 11 = 0").count()
+    assert set(model.thresholds) == {None, "en", "rare"}
+
+
+def test_counts_stand_for_repeated_rows():
+    scores, labels, counts = np.array([0.9, 0.8, 0.8, 0.2]), np.array([1, 1, 0, 0]), np.array([3, 5, 2, 9])
+    assert t.best_threshold(scores, labels, counts) == t.best_threshold(scores.repeat(counts), labels.repeat(counts))

@@ -2,7 +2,8 @@
 
 Words hash into ``BUCKETS`` embeddings; filters of several widths slide over the word sequence, the largest
 response of each filter over the whole text is kept, and a logistic layer turns these into a score. It is
-trained here, in numpy, on a bounded sample of labelled rows; scoring reads every word of every document.
+trained here, in numpy, on a bounded sample of labelled rows; scoring reads every word of every document, and the
+thresholds come from the scores of all labelled rows that it was not fitted on.
 
 A filter's response is a sum of one table lookup per word of its window (embedding times filter column,
 multiplied once per model), so scoring costs six lookups a word and no matrix product.
@@ -34,6 +35,10 @@ SEED = 7
 # beyond which it is left out of training (never of scoring).
 TRAIN_ROWS = 12_000
 TRAIN_WORDS = 20_000
+# The network is fitted without the last of so many parts of the sample.
+PARTS = 5
+# Scores that set thresholds are counted in steps of this much log odds.
+STEP = 0.01
 # A language with fewer labelled rows of either class than this uses the threshold of all languages.
 LEAST_LABELLED = 20
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_"
@@ -171,32 +176,35 @@ def train(texts, labels, seed=SEED, epochs=EPOCHS) -> Model:
     return model
 
 
-def best_threshold(found, labels) -> float:
-    """The threshold with the best F-score, precision counting twice; halfway to the next lower score."""
+def best_threshold(found, labels, counts=None) -> float:
+    """The threshold with the best F-score, precision counting twice; halfway to the next lower score.
+    ``counts``: how many rows have each score and label, 1 by default."""
     order = np.argsort(-found, kind="stable")
-    s, hit = found[order], labels[order]
+    n = np.ones(len(found)) if counts is None else counts[order]
+    s, hit = found[order], labels[order] * n
     true = np.cumsum(hit)
-    precision, recall = true / np.arange(1, len(s) + 1), true / max(1, hit.sum())
+    precision, recall = true / np.cumsum(n), true / max(1, hit.sum())
     quality = 1.25 * precision * recall / np.maximum(0.25 * precision + recall, 1e-12)
     quality[:-1][s[:-1] == s[1:]] = -1
     at = int(quality.argmax())
     return float((s[at] + (s[at + 1] if at + 1 < len(s) else 0)) / 2)
 
 
-def calibrate(model: Model, found, labels, langs) -> None:
+def calibrate(model: Model, found, labels, langs, counts=None) -> None:
     """Recentre scores so that the best threshold of all languages is 0.5, and set each language's own."""
+    n = np.ones(len(found)) if counts is None else counts
     if len(found) == 0 or not 0 < labels.sum() < len(labels):
         model.thresholds = {None: 0.5}
         return
     odds = lambda p: float(np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9))))
-    shift = odds(best_threshold(found, labels))
+    shift = odds(best_threshold(found, labels, n))
     model.offset -= shift
     moved = 1 / (1 + np.exp(-(np.log(np.clip(found, 1e-12, 1) / np.clip(1 - found, 1e-12, 1)) - shift)))
     model.thresholds = {None: 0.5}
     for lang in sorted({x for x in langs if x is not None}):
         mine = langs == lang
-        if min(labels[mine].sum(), (1 - labels[mine]).sum()) >= LEAST_LABELLED:
-            model.thresholds[lang] = float(np.clip(best_threshold(moved[mine], labels[mine]), 0.2, 0.8))
+        if min((n * labels)[mine].sum(), (n * (1 - labels))[mine].sum()) >= LEAST_LABELLED:
+            model.thresholds[lang] = float(np.clip(best_threshold(moved[mine], labels[mine], n[mine]), 0.2, 0.8))
 
 
 def fold(doc_id="doc_id"):
@@ -205,12 +213,15 @@ def fold(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang="lang", label="toxic", train_rows=TRAIN_ROWS) -> Model:
-    """Train on at most ``train_rows`` labelled rows outside fold 0. Four fifths of them fit the network, one
-    fifth sets the thresholds. Rows without a label are left out; of repeated labels the higher counts."""
-    known = labels.filter(F.col(label).isNotNull() & (fold(doc_id) != 0))
-    known = known.groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.max(label).cast("int").alias("label"))
+    """Train on at most ``train_rows`` labelled rows outside fold 0, four fifths of which fit the network. All
+    other labelled rows outside fold 0 set the thresholds. If a language has enough labelled rows for its own
+    only with the fitted ones, these count too, each fifth as scored by a network fitted without it. Rows
+    without a label are left out; of repeated labels the higher counts."""
+    every = labels.filter(F.col(label).isNotNull() & (fold(doc_id) != 0))
+    every = settle(every.groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.max(label).cast("int").alias("label")), "labels")
     # train_rows rows at most, so this side is small enough to broadcast.
-    known = settle(known.orderBy(F.xxhash64("id"), "id").limit(train_rows), "labelled")
+    known = settle(every.orderBy(F.xxhash64("id"), "id").limit(train_rows), "labelled")
+    text_key = F.xxhash64("text").alias("key")
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), text_of(f"`{text}`").alias("text"))
 
     @F.pandas_udf("binary")
@@ -220,16 +231,43 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang="
             yield pd.Series([ids.tobytes() if len(ids := buckets.of(t)) <= TRAIN_WORDS else None for t in part], dtype=object)
 
     # Filtered after it is written, so that the words are hashed once.
-    read = settle(rows.join(F.broadcast(known), "id").select("id", "lang", "label", ids_of("text").alias("ids")), "sample")
+    read = settle(rows.join(F.broadcast(known), "id").select("id", "lang", "label", text_key, ids_of("text").alias("ids")), "sample")
     sample = read.filter("ids IS NOT NULL").orderBy(F.xxhash64("id"), "id", F.xxhash64("ids")).limit(train_rows).toArrow()
     texts = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in sample["ids"]]
     truth = sample["label"].to_numpy().astype(float)
     langs = np.array(sample["lang"].to_pylist(), dtype=object)
-    held = np.arange(len(texts)) % 5 == 4
-    model = train([t for t, h in zip(texts, held, strict=True) if not h], truth[~held])
-    tables = model.tables()
-    found = np.array([scores(model, tables, [t])[0] for t, h in zip(texts, held, strict=True) if h])
-    calibrate(model, found, truth[held], langs[held])
+    part, steps = np.arange(len(texts)) % PARTS, np.zeros(len(texts))
+
+    def without(k):
+        """The network fitted without part ``k``, which it scores."""
+        held = part == k
+        model = train([t for t, h in zip(texts, held, strict=True) if not h], truth[~held])
+        tables = model.tables()
+        found = np.array([scores(model, tables, [t])[0] for t, h in zip(texts, held, strict=True) if h])
+        steps[held] = np.round(np.log(found / (1 - found)) / STEP)
+        return model
+
+    model = without(PARTS - 1)
+    # The rest are scored where they lie and counted per language; only counts come to the driver.
+    taken = rows.sparkSession.createDataFrame(
+        sorted(zip(sample["id"].to_pylist(), sample["key"].to_pylist(), strict=True)), rows.select("id", text_key).schema
+    )
+    outside = score(rows.filter(fold("id") != 0).select("id", "lang", text_key, "text"), model)
+    step = F.round(F.ln(F.col("score") / (1 - F.col("score"))) / STEP).cast("int").alias("step")
+    outside = outside.select("id", "lang", "key", step).join(F.broadcast(taken), ["id", "key"], "left_anti")
+    outside = outside.groupBy("id", "lang", "step").agg(F.count(F.lit(1)).alias("n")).join(every, "id")
+    counted = outside.groupBy("lang", "label", "step").agg(F.sum("n").alias("n")).orderBy("lang", "label", "step").collect()
+    label = np.concatenate([truth, [float(r["label"]) for r in counted]])
+    of = np.concatenate([langs, np.array([r["lang"] for r in counted], dtype=object)])
+    n = np.concatenate([np.ones(len(texts)), [float(r["n"]) for r in counted]])
+    usable = np.concatenate([part == PARTS - 1, np.ones(len(counted), dtype=bool)])
+    least = lambda rows: min((n * label)[rows].sum(), (n * (1 - label))[rows].sum())
+    if any(least(mine & usable) < LEAST_LABELLED <= least(mine) for mine in [of == x for x in set(of)]):
+        for k in range(PARTS - 1):
+            without(k)
+        usable[:] = True
+    steps = np.concatenate([steps, [r["step"] for r in counted]])
+    calibrate(model, 1 / (1 + np.exp(-steps[usable] * STEP)), label[usable], of[usable], n[usable])
     return model
 
 
