@@ -86,3 +86,45 @@ def test_nulls_repeats_long_texts_and_no_rows(docs_of):
 
 def test_tempered_weights():
     assert mixing.tempered({"a": 10_000, "b": 100, "c": 0}, units=110) == {"a": 99, "b": 10, "c": 1}
+
+
+def plain_slots(blocks, units):
+    """{(source, block): slot} by a whole frame for each phase."""
+    left, done, start, slots = dict(blocks), dict.fromkeys(blocks, 0), 0, {}
+    while left:
+        common = mixing.math.gcd(*(units[s] for s in left))
+        own = {s: units[s] // common for s in left}
+        period, shape = sum(own.values()), mixing.frame(own)
+        at = lambda s, k: k // own[s] * period + shape[s][k % own[s]]  # noqa: B023, E731
+        length = min(at(s, n - 1) + 1 for s, n in left.items())
+        for s in list(left):
+            k = 0
+            while k < left[s] and at(s, k) < length:
+                slots[s, done[s] + k] = start + at(s, k)
+                k += 1
+            done[s] += k
+            left[s] -= k
+            if not left[s]:
+                del left[s]
+        start += length
+    return slots
+
+
+def test_phases_equal_whole_frames():
+    random.seed(11)
+    for case in range(60):
+        n = random.randrange(1, 25)
+        units = {(None if i == 3 else f"s{i}"): random.choice([1, 1, 2, 3, 6, 40]) for i in range(n)}
+        blocks = {s: random.choice([1, 1, 2, 5, random.randrange(1, 400)]) for s in units}
+        phase_rows, frame_rows = mixing.phases(blocks, units)
+        seats = {(p, s, k): x for p, s, k, x in frame_rows}
+        got = {(s, first + k): start + k // own * period + seats[p, s, k % own] for p, s, first, n, start, own, period in phase_rows for k in range(n)}
+        assert got == plain_slots(blocks, units), case
+        assert len(frame_rows) <= sum(blocks.values()) and len(phase_rows) <= sum(blocks.values())
+
+
+def test_thousands_of_sources_and_a_hot_one(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "WRITE_ENTRIES", 1000)
+    docs = docs_of([(i, "x" * 100, f"site{i}") for i in range(3000)] + [(3000 + i, "y" * 300, "hot") for i in range(2000)])
+    rows = mixing.schedule(docs, block_bytes=316).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(5000)) and sorted(r.slot for r in rows) == list(range(5000))

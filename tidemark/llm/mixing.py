@@ -6,24 +6,29 @@ earliest deadline does. Every prefix of the mix then holds each source to within
 
 Weights are whole units. With a_i units of T in all, the schedule repeats every T slots, so only one frame of
 T slots is worked out; the slot of any block follows by arithmetic, in parallel. When a source runs out, the
-others go on with their units (a new phase). Frames and phases depend on the sources, not on the documents.
+others go on with their units (a new phase). A phase is worked out only as far as it lasts, for the sources that
+get a turn in it, so all phases together take no more rows and steps than there are blocks.
 """
 
+import bisect
 import heapq
 import math
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
-from tidemark.plans.workspace import settle
+from tidemark.plans.workspace import fresh_path, prepare, settle
 
 BLOCK_BYTES = 1 << 16
 OVERHEAD = 16
 UNITS = 256
-# Rows of all phases' frames together; they live on the driver. Weights beyond this are refused.
-MOST_ROWS = 2_000_000
+# Frame entries the driver holds before it writes them.
+WRITE_ENTRIES = 200_000
+# Blocks of a phase row that one task places at a time.
+STRETCH = 4096
 
 
 def tempered(sizes: dict, exponent: float = 0.5, units: int = UNITS) -> dict:
@@ -52,33 +57,107 @@ def frame(units: dict) -> dict:
     return slots
 
 
+def _turns(classes: dict, common: int, period: int):
+    """The sources of one period in turn, as ``frame`` orders them. ``classes``: {units: sources by name}. Sources
+    of equal units release and end their blocks together and come in order of their names, so the heap holds one
+    entry a class, not one a source."""
+    waiting, ready = [], []
+    for u, members in classes.items():
+        ready.append((-(-period * common // u), members[0], u, 0, 0))
+    heapq.heapify(ready)
+    for slot in range(period):
+        while waiting and waiting[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(waiting)[1])
+        _, i, u, k, at = heapq.heappop(ready)
+        yield i
+        members = classes[u]
+        if at + 1 < len(members):
+            heapq.heappush(ready, (-(-(k + 1) * period * common // u), members[at + 1], u, k, at + 1))
+        elif (k + 1) * common < u:
+            following = (-(-(k + 2) * period * common // u), members[0], u, k + 1, 0)
+            heapq.heappush(waiting, ((k + 1) * period * common // u, following))
+
+
+def runs(blocks: dict, units: dict):
+    """(phase, source, first block, blocks, first slot, units, period, [slot of its k-th block of a period]) until
+    every source's blocks are placed, for the sources with blocks in a phase. Slots beyond those are left out."""
+    names = sorted(blocks, key=lambda s: (s is not None, s))
+    left, done = [blocks[s] for s in names], [0] * len(names)
+    classes, fewest = defaultdict(list), defaultdict(list)
+    for i, s in enumerate(names):
+        if left[i]:
+            classes[units[s]].append(i)
+            fewest[units[s]].append((left[i], i))
+    for heap in fewest.values():
+        heapq.heapify(heap)
+    start = number = 0
+    while classes:
+        common = math.gcd(*classes)
+        period = sum(u // common * len(members) for u, members in classes.items())
+        for heap in fewest.values():
+            while heap[0][0] != left[heap[0][1]]:
+                heapq.heappop(heap)
+        turns = min((heap[0][0] - 1) // (u // common) for u, heap in fewest.items())
+        # Whole periods in which no source runs out, then the one in which the first does.
+        slots, length = defaultdict(list), None
+        for x, i in enumerate(_turns(classes, common, period)):
+            slots[i].append(x)
+            if length is None and len(slots[i]) == left[i] - turns * (units[names[i]] // common):
+                length, out = x + 1, i
+                if not turns:
+                    break
+        for i, mine in slots.items():
+            own = units[names[i]] // common
+            placed = turns * own + bisect.bisect_left(mine, length)
+            if placed:
+                yield number, names[i], done[i], placed, start, own, period, mine
+                done[i] += placed
+                left[i] -= placed
+                if i != out:
+                    heapq.heappush(fewest[units[names[i]]], (left[i], i))
+        members = classes[units[names[out]]]
+        del members[bisect.bisect_left(members, out)]
+        if not members:
+            del classes[units[names[out]]], fewest[units[names[out]]]
+        start += turns * period + length
+        number += 1
+
+
 def phases(blocks: dict, units: dict):
-    """(phase rows, frame rows) until every source's blocks are placed.
+    """(phase rows, frame rows) of ``runs``.
 
     Phase: (phase, source, first block, blocks, first slot, units, period). Frame: (phase, source, k, slot).
     """
-    left, done, start, number = dict(blocks), dict.fromkeys(blocks, 0), 0, 0
-    phase_rows, frame_rows = [], []
-    while left:
-        common = math.gcd(*(units[s] for s in left))
-        own = {s: units[s] // common for s in left}
-        period, slots = sum(own.values()), frame(own)
-        if len(frame_rows) + period > MOST_ROWS:
-            raise ValueError("too many sources or weight units for one schedule")
-        at = lambda s, k: k // own[s] * period + slots[s][k % own[s]]  # noqa: B023, E731
-        length = min(at(s, n - 1) + 1 for s, n in left.items())
-        for s in list(left):
-            turns, rest = divmod(length, period)
-            placed = turns * own[s] + sum(x < rest for x in slots[s])
-            phase_rows.append((number, s, done[s], placed, start, own[s], period))
-            frame_rows.extend((number, s, k, x) for k, x in enumerate(slots[s]))
-            done[s] += placed
-            left[s] -= placed
-            if not left[s]:
-                del left[s]
-        start += length
-        number += 1
-    return phase_rows, frame_rows
+    found = list(runs(blocks, units))
+    return [r[:7] for r in found], [(r[0], r[1], k, x) for r in found for k, x in enumerate(r[7])]
+
+
+def _block_slots(spark, blocks: dict, units: dict) -> DataFrame:
+    """(s, b, slot): source, block and slot of every block. The runs are written in portions."""
+    schema, path = "s string, first long, n long, start long, units long, period long, slots array<long>", fresh_path(spark, "runs")
+
+    def write(rows):
+        prepare(spark).createDataFrame(rows, schema).write.mode("append").parquet(path)
+
+    rows, entries = [], 0
+    for run in runs(blocks, units):
+        rows.append(run[1:])
+        entries += 1 + len(run[7])
+        if entries >= WRITE_ENTRIES:
+            write(rows)
+            rows, entries = [], 0
+    write(rows)
+    stretches = spark.read.schema(schema).parquet(path).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRETCH).cast("long"))))
+    upto = F.least("n", F.col("from") + STRETCH) - 1
+
+    def placed(k):
+        at = F.get("slots", (k % F.col("units")).cast("int"))
+        slot = F.col("start") + F.floor(k / F.col("units")) * F.col("period") + at
+        return F.struct((F.col("first") + k).alias("b"), slot.cast("long").alias("slot"))
+
+    # Placed before they are exploded, so that no row carries a frame.
+    spread = stretches.select("s", F.explode(F.transform(F.sequence("from", upto), placed)).alias("at"))
+    return settle(spread.select("s", "at.b", "at.slot"), "block-slots")
 
 
 def _running_bytes(rows: DataFrame) -> DataFrame:
@@ -121,17 +200,10 @@ def schedule(
     placed = settle(_running_bytes(rows).drop("order"), "running")
     sizes = {r["source"]: r["n"] for r in placed.groupBy("source").agg(F.sum("bytes").alias("n")).collect()}
     units = weights or tempered(sizes)
-    phase_rows, frame_rows = phases({s: -(-n // block_bytes) for s, n in sizes.items()}, {s: units[s] for s in sizes})
-    phase = spark.createDataFrame(phase_rows, "phase int, s string, first long, n long, start long, units long, period long")
-    shape = spark.createDataFrame(frame_rows, "p int, t string, k long, x long")
+    slots = _block_slots(spark, {s: -(-n // block_bytes) for s, n in sizes.items()}, {s: units[s] for s in sizes})
     blocked = placed.withColumn("block", F.floor(F.col("before") / F.lit(block_bytes)).cast("long"))
-    k = F.col("block") - F.col("first")
-    mine = F.col("source").eqNullSafe(F.col("s")) & (k >= 0) & (k < F.col("n"))
-    seat = F.col("t").eqNullSafe(F.col("s")) & (F.col("p") == F.col("phase")) & (F.col("k") == k % F.col("units"))
-    # Both tables are bounded by MOST_ROWS.
-    timed = blocked.join(F.broadcast(phase), mine).join(F.broadcast(shape), seat)
-    slot = F.col("start") + F.floor(k / F.col("units")) * F.col("period") + F.col("x")
-    return timed.select("doc_id", "source", "text_hash", "bytes", "before", "block", slot.cast("long").alias("slot"))
+    timed = blocked.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    return timed.select("doc_id", "source", "text_hash", "bytes", "before", "block", "slot")
 
 
 def mixed(docs: DataFrame, doc_id="doc_id", text="text", source="source", **options) -> DataFrame:
