@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, lines, mixing, near, packing, quality, secret_scan, sharding, suffix, toxicity
+from tidemark.llm import ann, lines, merkle, mixing, near, packing, quality, secret_scan, sharding, suffix, toxicity
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -145,6 +145,59 @@ def op10_quality(spark, sf_dir):
     )
 
 
+# The parity bit of crc32 of a decimal number, digit by digit.
+_CRC32 = """xor(list_reduce(flatten([[ord(c), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(({x})::VARCHAR, '')]),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)), 4294967295), 4294967295)"""
+_TOLD = lambda x: f"coalesce(strlen(({x})::VARCHAR)::VARCHAR || ':' || ({x})::VARCHAR, '-')"
+_LEAF = lambda text: f"sha256({_TOLD('doc_id')} || {_TOLD('source')} || {_TOLD('lang')} || {_TOLD('n_chars')} || {_TOLD(text)})"
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_LEAF("text")} AS leaf,
+    {_LEAF(f"CASE WHEN {_CRC32.format(x='doc_id')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS altered
+  FROM documents),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS total FROM d),
+t AS (
+  SELECT source, 0 AS level, i, leaf AS h, total FROM n
+  UNION ALL
+  SELECT source, level + 1, i // {merkle.FAN}, sha256(string_agg(h, '' ORDER BY i)), ceil(max(total) / {merkle.FAN})::BIGINT
+  FROM t WHERE total > 1 GROUP BY source, level, i // {merkle.FAN}),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS total FROM t WHERE total = 1),
+u AS (
+  SELECT 0 AS level, i, subroot AS h, total FROM s
+  UNION ALL
+  SELECT level + 1, i // {merkle.FAN}, sha256(string_agg(h, '' ORDER BY i)), ceil(max(total) / {merkle.FAN})::BIGINT
+  FROM u WHERE total > 1 GROUP BY level, i // {merkle.FAN}),
+w AS (
+  SELECT n.doc_id, n.source, n.i AS leaf_at, 0 AS part, t.level, n.i // ({merkle.FAN} ** t.level)::BIGINT AS pos, t.i, t.h
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source AND t.total > 1
+    AND n.i // ({merkle.FAN} ** (t.level + 1))::BIGINT = t.i // {merkle.FAN}
+  UNION ALL
+  SELECT n.doc_id, n.source, n.i, 1, u.level, s.i // ({merkle.FAN} ** u.level)::BIGINT, u.i, u.h
+  FROM n JOIN s ON n.source IS NOT DISTINCT FROM s.source JOIN u ON u.total > 1
+    AND s.i // ({merkle.FAN} ** (u.level + 1))::BIGINT = u.i // {merkle.FAN}),
+g AS (
+  SELECT doc_id, source, leaf_at, part, level, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < pos), '') AS l,
+         coalesce(string_agg(h, '' ORDER BY i) FILTER (i > pos), '') AS r
+  FROM w GROUP BY doc_id, source, leaf_at, part, level),
+p AS (
+  SELECT doc_id, source, leaf_at, string_agg(l || r, '' ORDER BY part, level) AS told,
+         list([l, r] ORDER BY part, level) AS path FROM g GROUP BY doc_id, source, leaf_at),
+f AS (
+  SELECT n.doc_id, n.leaf, s.subroot, (SELECT h FROM u WHERE total = 1) AS root, sha256(coalesce(told, '')) AS proof_sha256,
+    list_reduce(coalesce(path, []), lambda a, x: [sha256(x[1] || a[1] || x[2])], [altered])[1] AS folded_root
+  FROM n JOIN s ON n.source IS NOT DISTINCT FROM s.source
+    LEFT JOIN p ON n.source IS NOT DISTINCT FROM p.source AND n.i = p.leaf_at)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+
+@query(MERKLE_SQL)
+def op12_merkle(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
