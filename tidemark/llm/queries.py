@@ -3,7 +3,21 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, lines, merkle, mixing, near, packing, quality, secret_scan, sharding, suffix, toxicity
+from tidemark.llm import (
+    ann,
+    decontaminate,
+    lines,
+    merkle,
+    mixing,
+    near,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    suffix,
+    toxicity,
+    trie,
+)
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -145,6 +159,33 @@ def op10_quality(spark, sf_dir):
     )
 
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+LEAKS_SQL = f"""
+WITH i AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+g AS (
+  SELECT DISTINCT item, least({decontaminate.WINDOW}, len(w)) AS n, w[p : p + least({decontaminate.WINDOW}, len(w)) - 1] AS gram
+  FROM i, LATERAL (SELECT unnest(range(1, greatest(len(w) - {decontaminate.WINDOW}, 0) + 2)) AS p) WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+x AS (
+  SELECT r, p, n, w[p : p + n - 1] AS gram
+  FROM d CROSS JOIN (SELECT DISTINCT n FROM g) s, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS p)),
+m AS (SELECT r, p, n, item FROM x JOIN g USING (n, gram)),
+h AS (SELECT r, count(DISTINCT p + k) AS n_hit FROM (SELECT DISTINCT r, p, n FROM m), LATERAL (SELECT unnest(range(0, n)) AS k) GROUP BY r),
+o AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM m WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN o USING (r)
+"""
+
+
+@query(LEAKS_SQL)
+def op11_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # The parity bit of crc32 of a decimal number, digit by digit.
 _CRC32 = """xor(list_reduce(flatten([[ord(c), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(({x})::VARCHAR, '')]),
     lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)), 4294967295), 4294967295)"""
@@ -198,6 +239,44 @@ def op12_merkle(spark, sf_dir):
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id, h, b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos,
+         count(*) OVER (PARTITION BY conv_id) AS n, k, strlen(text) AS bytes
+  FROM (SELECT conv_id, turn, text, md5(strlen(role) || ':' || role || ':' || text) AS k,
+               {_CRC32.format(x="conv_id")} % {trie.LONGEST_HEAD + 1} AS h, conv_id - conv_id % {trie.GROUP} AS b
+        FROM (SELECT * REPLACE (coalesce(role, '') AS role, coalesce(text, '') AS text) FROM conversations WHERE conv_id IS NOT NULL))),
+c AS (SELECT DISTINCT conv_id, h, b, n FROM t),
+a AS (SELECT c.*, least(c.h, coalesce(o.n, 0)) AS taken FROM c LEFT JOIN c o ON o.conv_id = c.b),
+r AS (
+  SELECT a.conv_id, t.pos AS d, t.k, t.bytes FROM a JOIN t ON t.conv_id = a.b AND t.pos <= a.h
+  UNION ALL
+  SELECT a.conv_id, t.pos - a.h + a.taken, t.k, t.bytes FROM a JOIN t ON t.conv_id = a.conv_id AND t.pos > a.h),
+p AS (
+  SELECT conv_id, d, bytes, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS name,
+         d = count(*) OVER (PARTITION BY conv_id) AS ends FROM r
+  UNION ALL
+  SELECT conv_id, 0, 0, '', NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = a.conv_id) FROM a),
+n AS (
+  SELECT name, min(conv_id) AS conv_id, d AS depth, count(*) AS n_convs, max(bytes) AS bytes, left(name, greatest(d - 1, 0) * 32) AS parent,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends
+  FROM p GROUP BY name, d),
+k AS (SELECT parent, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.parent = n.name),
+s AS (
+  SELECT left(name, up * 32) AS name, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+  FROM f, LATERAL (SELECT unnest(range(0, depth + 1)) AS up) GROUP BY 1)
+SELECT f.conv_id, f.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s USING (name) LEFT JOIN n q ON f.depth > 0 AND q.name = f.parent
+"""
+
+
+@query(TRIE_SQL)
+def op13_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
