@@ -274,10 +274,7 @@ def progress_marks(spark, sf_dir):
     return cadence.every_nth(_owned(spark, sf_dir), cadence.REPORT_EVERY, order=ORDER).select("consumer_id", "rn", "event_id")
 
 
-@query(
-    """SELECT consumer_id, event_id, n FROM walk WHERE n > 0 AND hit""",
-    EV_SQL,
-    """
+CHAIN = """
 timed AS (
   SELECT consumer_id, event_id, epoch_us(ts) AS us,
          row_number() OVER (PARTITION BY consumer_id ORDER BY ts, event_id) AS rn
@@ -291,7 +288,13 @@ walk AS (
          (CASE WHEN w.hit THEN 1 ELSE w.n + 1 END) >= 100
            OR t.us - (CASE WHEN w.hit THEN w.us ELSE w.since END) >= 100000::BIGINT * 1000000
   FROM walk w JOIN timed t ON t.consumer_id = w.consumer_id AND t.rn = w.rn + 1
-)""",
+)"""
+
+
+@query(
+    """SELECT consumer_id, event_id, n FROM walk WHERE n > 0 AND hit""",
+    EV_SQL,
+    CHAIN,
 )
 def commit_points_count_or_time(spark, sf_dir):
     points = cadence.commit_points_count_or_time(_owned(spark, sf_dir), 100, 100_000, order=ORDER)

@@ -2,11 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.inputs import RAW, ev, raw_events, resent
+from tidemark.catalog.inputs import BOUND, EV_SQL, NEW_SQL, RAW, at, ev, raw_events, resent
+from tidemark.catalog.progress import CHAIN
 from tidemark.catalog.registry import query
+from tidemark.consumer import Consumer
 from tidemark.plans.workspace import fresh_path
 from tidemark.sources.events import stream_events
 from tidemark.sources.store import OffsetStore
+from tidemark.sources.tables import load_events
+from tidemark.streaming.cadence import commit_points
 from tidemark.streaming.pipeline import EventPipeline, dedup_stream
 
 
@@ -71,3 +75,80 @@ def stream_exactly_once(spark, sf_dir):
     return written.groupBy("event_id").agg(F.count(F.lit(1)).alias("times"))
 
 
+# Where the table is cut into pieces that arrive one after the other.
+ARRIVALS = ("2024-01-08 00:00:00", "2024-01-16 00:00:00", "2024-01-24 00:00:00")
+
+
+@query("SELECT consumer_id, event_id, n FROM walk WHERE n > 0 AND hit", EV_SQL, CHAIN)
+def stream_commit_points(spark, sf_dir):
+    """Commits by count or time of a stream that is stopped and started again after each arrival; the last
+    arrival is one event far ahead, so that all others are final."""
+    folder, checkpoint, out = (fresh_path(spark, f"cadence-{x}") for x in ("source", "checkpoint", "points"))
+    events = ev(spark, sf_dir)
+    rows = events.select("consumer_id", F.lpad(F.col("event_id").cast("string"), 20, "0").alias("doc_id"), F.col("ts").cast("timestamp").alias("timestamp"), "ts")
+    late = events.agg(F.max("ts").alias("ts")).select(
+        F.lit("end").alias("consumer_id"), F.lit("end").alias("doc_id"), (F.col("ts") + F.expr("INTERVAL 100 DAYS")).cast("timestamp").alias("timestamp")
+    )
+    bounds = [None, *map(at, ARRIVALS), None]
+    pieces = [
+        rows.filter((F.lit(True) if lo is None else F.col("ts") >= lo) & (F.lit(True) if hi is None else F.col("ts") < hi)).drop("ts")
+        for lo, hi in zip(bounds, bounds[1:], strict=False)
+    ]
+    for piece in [*pieces, late]:
+        piece.write.mode("append").parquet(folder)
+        points = commit_points(stream_events(spark, folder, late.schema), 100, 100_000, ("consumer_id",), delay="1 second")
+        run = points.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        run.start().awaitTermination()
+    found = spark.read.schema(points.schema).parquet(out).filter("reason != 'idle' AND consumer_id != 'end'")
+    return found.select("consumer_id", F.col("doc_id").cast("long").alias("event_id"), "n")
+
+
+@query("SELECT event_id, 1::BIGINT AS times FROM events")
+def two_writers(spark, sf_dir):
+    """Two processes of one consumer poll from the same position, one a thousand events, one all of them."""
+    root, events = fresh_path(spark, "writers"), _declared(ev(spark, sf_dir))
+    few, all_ = (
+        Consumer(OffsetStore(spark, f"{root}/store"), lambda: events, "c0", "events", batch_size=n, sink=f"{root}/sink") for n in (1000, None)
+    )
+    batches = few.consume(commit=False), all_.consume(commit=False)
+    few.commit(batches[0])
+    all_.commit(batches[1])
+    written = spark.read.schema(events.schema).parquet(f"{root}/sink")
+    return written.groupBy("event_id").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(f"SELECT event_id, CASE WHEN ts > TIMESTAMP '{BOUND}' THEN 2 ELSE 1 END::BIGINT AS times FROM events")
+def seek_while_streaming(spark, sf_dir):
+    """A stream that polls is sent back once it has handled everything, and delivers what is later again."""
+    folder, root = fresh_path(spark, "seek-source"), fresh_path(spark, "seek")
+    events = _declared(ev(spark, sf_dir))
+    events.write.parquet(folder)
+    store = OffsetStore(spark, f"{root}/store")
+    pipeline = EventPipeline(store, "c0", "events", f"{root}/sink", f"{root}/checkpoint")
+    there = events.count()
+    again = there + events.filter(F.col("timestamp") > at(BOUND).cast("timestamp")).count()
+
+    def finished():
+        now = store.load("c0", "events")
+        if now.epoch == 0 and now.total == there:
+            store.seek("c0", "events", BOUND)
+        return now.total == again
+
+    pipeline.follow(lambda: stream_events(spark, folder, events.schema), 0.2, finished)
+    written = spark.read.schema(events.schema).parquet(f"{root}/sink")
+    return written.groupBy("event_id").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(
+    "SELECT event_id, value FROM (SELECT * FROM ev UNION ALL SELECT * FROM resent) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts DESC) = 1",
+    EV_SQL,
+    NEW_SQL,
+)
+def load_repeated_ids(spark, sf_dir):
+    """One load that holds many ids twice, loaded two times."""
+    path = fresh_path(spark, "loaded")
+    events = ev(spark, sf_dir)
+    rows = [x.select("doc_id", F.col("ts").cast("timestamp").alias("timestamp"), "event_id", "value") for x in (events, resent(events))]
+    for _ in range(2):
+        load_events(spark, path, rows[0].unionByName(rows[1]))
+    return spark.read.schema(rows[0].schema).parquet(path).select("event_id", "value")

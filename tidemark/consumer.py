@@ -13,14 +13,23 @@ from tidemark.operators.dedup import dedup_events, drop_seen
 from tidemark.operators.failures import prefix_before_failure
 from tidemark.operators.fetch import BATCH_SIZE, ID_PREFIX, next_batch
 from tidemark.plans.workspace import settle
-from tidemark.sources.store import OffsetStore, Position
+from tidemark.sources.files import delete
+from tidemark.sources.store import ATTEMPT, CommitConflict, OffsetStore, Position
+
+# Fixed value: how often a commit is built anew because other writers were faster.
+CONFLICT_TRIES = 20
 
 
 class Batch:
-    """One fetched batch: the events (written once, so every use sees the same rows) and its context."""
+    """One fetched batch: the events (written once, so every use sees the same rows) and its context.
+
+    ``number`` is the commit number it will have unless another writer of the consumer commits first. ``deliver``
+    writes a part of it to the sink, aside, and returns the paths that the commit moves.
+    """
 
     def __init__(self, events: DataFrame, position: Position, attempt: int, number: int):
         self.events, self.position, self.attempt, self.number = events, position, attempt, number
+        self.token, self.deliver = uuid.uuid4().hex, None
 
 
 class Consumer:
@@ -92,37 +101,58 @@ class Consumer:
         attempt = self.store.mark_start(self.consumer_id, self.index_name)
         # Copies merge before the limit, so a batch of n holds n events.
         events = next_batch(dedup_events(self.pending(at)), self.batch_size)
-        number = self.store.next_number(self.consumer_id, self.index_name)
-        return Batch(settle(events, "batch"), at, attempt, number)
+        return Batch(settle(events, "batch"), at, attempt, at.commit_seq + 1)
 
     def commit(self, batch: Batch, done: DataFrame | None = None) -> Position:
         """Record ``done`` (default: the whole batch) as handled and move the position.
 
-        Running it again for the same batch rewrites the same records.
+        Sink, ledger and offset become visible together. If another writer of this consumer has committed since the
+        batch was polled, what it handled is taken out of this batch and the rest is committed after it; a batch
+        polled before a seek is not committed (:class:`CommitConflict`). Running it again for the same batch changes
+        nothing.
         """
+        me = self.consumer_id, self.index_name
         finished = batch.events if done is None else done
-        newest = F.max(F.struct(micros(F.col("timestamp")).alias("us"), F.col("doc_id").alias("id")))
-        row = finished.agg(newest.alias("top"), F.count(F.lit(1)).alias("n")).first()
-        before = batch.position
-        if row.n == 0:
-            if done is None:
-                self.store.clear_start(self.consumer_id, self.index_name, batch.attempt)
-            return before
-        top = (row.top.us, row.top.id)
-        if not before.is_new and (before.micros, before.doc_id or "") > top:
-            top = (before.micros, before.doc_id)
-        after = before._replace(
-            micros=top[0],
-            doc_id=top[1],
-            total=before.total + row.n,
-            query_start=None,
-            commit_seq=batch.number,
-        )
-        self.store.record_handled(self.consumer_id, self.index_name, after.commit_seq, finished, before.epoch)
-        self.store.save(self.consumer_id, self.index_name, after)
-        if done is None or row.n == batch.events.count():
-            self.store.clear_start(self.consumer_id, self.index_name, batch.attempt)
-        return after
+        whole, before = done is None, batch.position
+        for _ in range(CONFLICT_TRIES):
+            newest = F.max(F.struct(micros(F.col("timestamp")).alias("us"), F.col("doc_id").alias("id")))
+            row = finished.agg(newest.alias("top"), F.count(F.lit(1)).alias("n")).first()
+            if row.n == 0:
+                self._discard(batch)
+                if whole:
+                    self.store.clear_start(*me, batch.attempt)
+                return before
+            whole = whole or row.n == batch.events.count()
+            top = (row.top.us, row.top.id)
+            if not before.is_new and (before.micros, before.doc_id or "") > top:
+                top = (before.micros, before.doc_id)
+            batch.number = before.commit_seq + 1
+            after = before._replace(micros=top[0], doc_id=top[1], total=before.total + row.n, query_start=None, commit_seq=batch.number)
+            moves = [self.store.stage_handled(*me, batch.number, finished, before.epoch, batch.token)]
+            if self.sink is not None and batch.deliver is not None:
+                moves.append((self._aside(batch), f"{self.sink}/commit_seq={batch.number}"))
+            if self.store.publish(*me, before, after, batch.token, moves):
+                if whole:
+                    self.store.clear_start(*me, batch.attempt)
+                return after
+            now = self.position()
+            if now.epoch != before.epoch:
+                self._discard(batch)
+                raise CommitConflict(f"{self.consumer_id} was sent to another position while a batch was being handled")
+            handled = self.store.handled_by(*me).filter((F.col("epoch") == now.epoch) & (F.col("commit_seq") <= now.commit_seq))
+            finished, before = settle(drop_seen(finished, handled, ["doc_id"]), "rest"), now
+            if batch.deliver is not None:
+                batch.deliver(finished)
+        raise CommitConflict(f"other writers of {self.consumer_id} were faster {CONFLICT_TRIES} times")
+
+    def _aside(self, batch: Batch) -> str:
+        return f"{self.sink}/{ATTEMPT}{batch.token}"
+
+    def _discard(self, batch: Batch) -> None:
+        """Remove what an attempt has written aside."""
+        delete(self.store.spark, self.store.attempt_path("ledger", self.consumer_id, self.index_name, batch.token))
+        if self.sink is not None:
+            delete(self.store.spark, self._aside(batch))
 
     def consume(
         self,
@@ -130,7 +160,7 @@ class Consumer:
         ok: Column | None = None,
         commit: bool = True,
     ) -> Batch:
-        """Poll, run ``process`` on the batch, write the sink, commit.
+        """Poll, run ``process`` on the batch, write the sink aside, commit.
 
         ``ok`` says which events succeed; from the first that does not, the rest is left for the
         next read and the attempt stays open. With ``commit=False`` the caller commits later; until
@@ -143,8 +173,8 @@ class Consumer:
             kept = prefix_before_failure(done.select("*", whole), ok, ("_whole",)).drop("_whole")
             done = settle(kept, "done")
         if self.sink is not None:
-            result = process(done) if process else done
-            result.write.mode("overwrite").parquet(f"{self.sink}/commit_seq={batch.number}")
+            batch.deliver = lambda df: (process(df) if process else df).write.mode("overwrite").parquet(self._aside(batch))
+            batch.deliver(done)
         elif process is not None:
             process(done).write.format("noop").mode("overwrite").save()
         if commit:

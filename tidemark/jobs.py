@@ -15,9 +15,8 @@ from tidemark.consumer import Consumer  # noqa: E402
 from tidemark.operators.upsert import ingest  # noqa: E402
 from tidemark.plans.workspace import discard_scratch  # noqa: E402
 from tidemark.sources.events import scan_if_present, stream_events  # noqa: E402
-from tidemark.sources.files import exists  # noqa: E402
 from tidemark.sources.store import OffsetStore  # noqa: E402
-from tidemark.sources.tables import create_if_absent, upsert_into, write_by_day  # noqa: E402
+from tidemark.sources.tables import create_if_absent, load_events  # noqa: E402
 from tidemark.streaming.pipeline import POLL_SECONDS, EventPipeline  # noqa: E402
 
 # Fixed value: the index read and written unless told otherwise.
@@ -52,7 +51,7 @@ def stream(spark, args):
         dedup_delay=args.dedup_delay, skip_handled=not args.dedup_delay,  # an upsert rewrites files of its day
     )
     if args.follow:
-        pipeline.start(stream_events(spark, args.events, files_per_batch=args.files_per_batch), POLL_SECONDS).awaitTermination()
+        pipeline.follow(lambda: stream_events(spark, args.events, files_per_batch=args.files_per_batch), POLL_SECONDS)
     else:
         pipeline.run(lambda: stream_events(spark, args.events, files_per_batch=args.files_per_batch))
     store.compact(args.consumer, args.index)
@@ -63,11 +62,7 @@ def load(spark, args):
     # JSON gets a schema, so that it is read once; parquet brings its own.
     reader = spark.read.format(args.format)
     raw = (reader.schema(RAW_EVENTS) if args.format == "json" else reader).load(args.raw)
-    incoming = ingest(raw)
-    if exists(spark, args.events):
-        upsert_into(spark, args.events, incoming)
-    else:
-        write_by_day(incoming, args.events)
+    load_events(spark, args.events, ingest(raw))
 
 
 def status(spark, args):

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.joins import null_safe
 from tidemark.plans.positions import with_position
 from tidemark.plans.workspace import settle
 from tidemark.schemas import EVENT_ORDER
@@ -107,7 +108,7 @@ def commit_points_count_or_time(
 
     id_type = schema[order[1]].dataType.simpleString()
     return (
-        blocks.join(entries, [*keys, "_block"])
+        null_safe(blocks, entries, [*keys, "_block"])
         .groupBy(*keys, "_block")
         .applyInPandas(points, f"{key_ddl}, _id {id_type}, _rn bigint, n bigint")
         .withColumnRenamed("_id", order[1])
@@ -167,7 +168,7 @@ def _entries(table, keys, key_ddl, blocks, fan):
     )
     above = _entries(merged, keys, key_ddl, math.ceil(blocks / fan), fan)
     starts = above.withColumnRenamed("_block", "_super").withColumnRenamed("_entry", "_start")
-    return _walk(grouped.join(starts, [*keys, "_super"]), keys, key_ddl)
+    return _walk(null_safe(grouped, starts, [*keys, "_super"]), keys, key_ddl)
 
 
 def _walk(table, keys, key_ddl):

@@ -7,10 +7,16 @@ from tidemark.functions.text import content_id, payload, write_outcome
 from tidemark.functions.timestamps import iso_text
 
 
-def newest_per_id(incoming: DataFrame, version, key="doc_id") -> DataFrame:
-    """The last version of each id within one batch. Copies merge before the shuffle."""
+def newest_per_id(incoming: DataFrame, version=None, key="doc_id") -> DataFrame:
+    """The last version of each id within one batch. Copies merge before the shuffle.
+
+    ``version`` names the column that orders them. Without it the latest ``timestamp`` wins (rows without one lose), and
+    among equal times the greatest content, so the result does not depend on files and tasks.
+    """
     rest = [c for c in incoming.columns if c != key]
-    newest = incoming.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("row"))
+    first = [c for c in ("timestamp",) if version is None and c in rest]
+    order = F.col(version) if version else F.struct(*first, *[c for c in rest if c not in first])
+    newest = incoming.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("row"))
     return newest.select(*[F.col(c) if c == key else F.col(f"row.{c}").alias(c) for c in incoming.columns])
 
 

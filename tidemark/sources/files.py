@@ -1,5 +1,9 @@
 """A few file-system calls through Spark's own Hadoop client, so any shared folder works."""
 
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -33,3 +37,64 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
     fs, handle = _open(spark, path)
     if not fs.rename(handle, _open(spark, to)[1]):
         raise OSError(f"cannot rename {path} to {to}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    fs, handle = _open(spark, path)
+    stream = fs.open(handle)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_with(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file that must not exist yet, with its whole content in one step; False if it exists.
+
+    Of any number of writers exactly one succeeds, and no reader sees half a file: the content is written aside and
+    linked (local folders) or renamed (HDFS, where a rename never replaces) to its name. A store without such a rename
+    is no place for offsets.
+    """
+    fs, handle = _open(spark, path)
+    fs.mkdirs(handle.getParent())
+    aside = f"{handle.getParent()}/.{handle.getName()}-{uuid.uuid4().hex}"
+    temporary = _open(spark, aside)[1]
+    out = fs.create(temporary)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getUri().getScheme() != "file":
+            return fs.rename(temporary, handle)
+        files, paths = spark._jvm.java.nio.file.Files, spark._jvm.java.io.File
+        try:
+            files.createLink(paths(handle.toUri().getPath()).toPath(), paths(temporary.toUri().getPath()).toPath())
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
+    finally:
+        fs.delete(temporary, False)
+
+
+def move_once(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder unless it is gone, that is, was moved before. What no one moved there and stands in the way goes."""
+    if exists(spark, path):
+        # Looked at in this order: a folder that is still here has not been moved to where another one is.
+        if exists(spark, to) and exists(spark, path):
+            delete(spark, to)
+        try:
+            rename(spark, path, to)
+        except (OSError, Py4JJavaError):
+            if exists(spark, path):  # else someone else moved it in between
+                raise
+
+
+def drop_stale(spark: SparkSession, folder: str, prefix: str, seconds: float) -> None:
+    """Delete children of ``folder`` whose names begin with ``prefix`` and that nobody has written to for so long."""
+    fs, handle = _open(spark, folder)
+    if fs.exists(handle):
+        for status in fs.listStatus(handle):
+            if status.getPath().getName().startswith(prefix) and status.getModificationTime() < (time.time() - seconds) * 1000:
+                fs.delete(status.getPath(), True)

@@ -4,15 +4,23 @@ Each write is one directory named after what it records (consumer, index, commit
 writing it again replaces it, and consumers never write to each other's directories. Nothing is
 updated in place; current values are views over the log.
 
-All writers of one (consumer, index), batch or stream, draw their commit numbers from one sequence.
+All writers of one (consumer, index), batch or stream, build on one chain of commits. A commit is written aside and
+becomes visible by one file that only one writer can create (:meth:`OffsetStore.publish`); who comes second
+sees the record of who came first.
 Compaction gathers the rows of old commits in one directory, each with its number, and never drops one:
 rows up to the number in the newest such directory's name are read from there, later ones from their own.
 """
 
+import json
+import math
 import re
+import time
+import uuid
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +30,20 @@ from tidemark.operators import offsets as ops
 from tidemark.operators.reports import table_stats
 from tidemark.plans.workspace import prepare
 from tidemark.schemas import ATTEMPTS, CONSUMER_KEY, LEDGER, OFFSETS
-from tidemark.sources.files import child_names, delete, exists, make, rename
+from tidemark.sources.files import child_names, create_with, delete, drop_stale, exists, make, move_once, read_text, rename
 
 # Fixed value: the name of the offset table.
 OFFSET_TABLE = "consumer_offsets"
+# Folders of commits that are not published yet; Spark's readers pass over names that begin like this.
+ATTEMPT = "_attempt-"
+# Compaction: rows per file, the age at which an attempt counts as given up, heads that stay.
+ROWS_PER_FILE = 1_000_000
+STALE_SECONDS = 86_400
+KEPT_HEADS = 1_000
+
+
+class CommitConflict(RuntimeError):
+    """Another writer of the same consumer has moved its position meanwhile."""
 
 
 class Position(NamedTuple):
@@ -157,10 +175,8 @@ class OffsetStore:
         ``before`` looks only at earlier commit numbers, which is what a replayed commit builds on.
         This is the only offset row that reaches the driver. As a constant it can be pushed down.
         """
-        query_start = None
-        if self._numbers(self._folder("attempts", consumer_id, index_name), "attempt"):
-            began = self._mine("attempts", ATTEMPTS, consumer_id, index_name)
-            query_start = began.agg(micros(F.min("at")).alias("us")).first().us
+        self._repair(consumer_id, index_name)
+        query_start = self._query_start(consumer_id, index_name)
         folder, upto = self._folder(OFFSET_TABLE, consumer_id, index_name), self._upto(OFFSET_TABLE, consumer_id, index_name)
         numbers = [n for n in self._numbers(folder, "commit_seq") if n > upto and (before is None or n < before)]
         inner = self._inner(OFFSETS, "commit_seq")
@@ -194,48 +210,86 @@ class OffsetStore:
             return Position(0, None, 0, query_start, row.epoch, row.commit_seq)
         return Position(row.us, row.last_processed_doc_id, row.total_processed, query_start, row.epoch, row.commit_seq, row.floor)
 
-    # --- commit numbers
-
-    def _reserved(self, consumer_id, index_name) -> dict[str, tuple[int, int, str]]:
-        """Each writer's last reservation: (step, number, folder)."""
-        folder, out = self._folder("reserved", consumer_id, index_name), {}
-        for name in child_names(self.spark, folder):
-            writer, step, number = name.rsplit(",", 2)
-            if writer not in out or out[writer][0] < int(step):
-                out[writer] = (int(step), int(number), f"{folder}/{name}")
-        return out
-
-    def next_number(self, consumer_id: str, index_name: str) -> int:
-        """A number above every completed commit and every reservation, whoever made it."""
-        taken = [n for _, n, _ in self._reserved(consumer_id, index_name).values()]
-        return max([self.load(consumer_id, index_name).commit_seq, *taken]) + 1
-
-    def reserve(self, consumer_id: str, index_name: str, writer: str, step: int, least: int = 0) -> tuple[int, int | None]:
-        """The commit number of one step of a writer, the same whenever the step is repeated.
-
-        If the step was begun but not committed and others have committed since, it gets a new number, so
-        that totals build on theirs; the second value is then the number given up, whose traces must go.
+    # --- commits
+
+    def attempt_path(self, table: str, consumer_id: str, index_name: str, token: str) -> str:
+        """Where a commit writes its part of ``table`` before it is published. Readers pass over such folders."""
+        return f"{self._folder(table, consumer_id, index_name)}/{ATTEMPT}{token}"
+
+    def _head(self, consumer_id, index_name, after: int) -> str:
+        return f"{self._folder('heads', consumer_id, index_name)}/{_part('after', after)}"
+
+    def _finish(self, told: dict) -> None:
+        """Bring a published commit to its places. Repeating it, or two processes doing it, changes nothing."""
+        for path, to in told["moves"]:
+            move_once(self.spark, path, to)
+        if told["step"]:
+            folder, number = told["step"]
+            make(self.spark, f"{folder}/step={number}")
+            for older in self._numbers(folder, "step"):
+                if older < number:
+                    delete(self.spark, f"{folder}/step={older}")
+
+    def _repair(self, consumer_id, index_name) -> None:
+        """Finish the newest published commit, should its writer have ended in between."""
+        heads = self._numbers(self._folder("heads", consumer_id, index_name), "after")
+        if heads:
+            told = json.loads(read_text(self.spark, self._head(consumer_id, index_name, max(heads))))
+            if any(exists(self.spark, path) for path, _ in told["moves"]) or told["step"] and not self._stepped(*told["step"]):
+                self._finish(told)
+
+    def _stepped(self, folder, number) -> bool:
+        return any(n >= number for n in self._numbers(folder, "step"))
+
+    def _writer(self, consumer_id, index_name, writer) -> str:
+        return f"{self._folder('writers', consumer_id, index_name)}/{writer}"
+
+    def has_step(self, consumer_id: str, index_name: str, writer: str, step: int) -> bool:
+        """Whether this step of a writer has been committed."""
+        self._repair(consumer_id, index_name)
+        return self._stepped(self._writer(consumer_id, index_name, writer), step)
+
+    def publish(
+        self, consumer_id, index_name, before: Position, after: Position, token: str | None = None, moves=(), step=None, deleted=False, updated=None
+    ) -> bool:
+        """Make ``after`` the record that follows ``before``, unless another writer was faster; then False.
+
+        All that belongs to the commit has been written aside. What decides is one file, named after the commit it
+        follows and created only if it does not exist: of any number of writers that build on one commit, one wins. Its
+        content says what to move where (``moves``: pairs of paths), so that any later reader can finish it. The same
+        ``token`` wins again. ``step``: (writer, number), noted as done with the commit.
         """
-        last = self._reserved(consumer_id, index_name).get(writer)
-        given_up = None
-        if last is not None and last[0] == step:
-            now = self.load(consumer_id, index_name).commit_seq
-            if now <= last[1] or self.load(consumer_id, index_name, before=last[1] + 1).commit_seq == last[1]:
-                return last[1], None
-            given_up = last[1]
-            delete(self.spark, f"{self._folder('ledger', consumer_id, index_name)}/{_part('commit_seq', given_up)}")
-        number = max(self.next_number(consumer_id, index_name), least)
-        made = f"{self._folder('reserved', consumer_id, index_name)}/{writer},{step},{number}"
-        if last is not None and given_up is not None:
-            delete(self.spark, last[2])
-        make(self.spark, made)
-        if last is not None and given_up is None:
-            delete(self.spark, last[2])
-        return number, given_up
+        token = token or uuid.uuid4().hex
+        heads = self._numbers(self._folder("heads", consumer_id, index_name), "after")
+        if max(heads, default=-2) >= before.commit_seq:  # someone has built on it already
+            return self._holds(consumer_id, index_name, before, token)
+        record = self.attempt_path(OFFSET_TABLE, consumer_id, index_name, token)
+        self._record(after, updated, deleted).write.mode("overwrite").parquet(record)
+        target = f"{self._folder(OFFSET_TABLE, consumer_id, index_name)}/{_part('commit_seq', after.commit_seq)}"
+        # The record comes last: once it is in its place, so is all the rest.
+        told = {
+            "token": token,
+            "moves": [*map(list, moves), [record, target]],
+            "step": step and [self._writer(consumer_id, index_name, step[0]), step[1]],
+        }
+        if create_with(self.spark, self._head(consumer_id, index_name, before.commit_seq), json.dumps(told)):
+            self._finish(told)
+            return True
+        delete(self.spark, record)
+        return self._holds(consumer_id, index_name, before, token)
+
+    def _holds(self, consumer_id, index_name, before, token) -> bool:
+        path = self._head(consumer_id, index_name, before.commit_seq)
+        if not exists(self.spark, path):
+            return False
+        told = json.loads(read_text(self.spark, path))
+        if told["token"] == token:
+            self._finish(told)
+        return told["token"] == token
 
     def starting_point(self, consumer_id: str, index_name: str, writer: str) -> Position:
         """The position at which ``writer`` first began, remembered for its restarts."""
-        folder = f"{self._folder('writers', consumer_id, index_name)}/{writer}"
+        folder = self._writer(consumer_id, index_name, writer)
         numbers = self._numbers(folder, "began_after")
         if not numbers:
             now = self.load(consumer_id, index_name)
@@ -248,10 +302,15 @@ class OffsetStore:
         return not ops.latest_offsets(mine).isEmpty()
 
     def save(self, consumer_id: str, index_name: str, position: Position, updated=None) -> None:
-        """Record a position under ``position.commit_seq``; saving it again changes nothing."""
-        self._save(consumer_id, index_name, position, updated, False)
+        """Record a position under ``position.commit_seq``, whatever is there; saving it again changes nothing.
 
-    def _save(self, consumer_id, index_name, position, updated, deleted) -> None:
+        For one writer, and for repairs by hand: writers that may meet use :meth:`publish`.
+        """
+        row = self._record(position, updated, False)
+        self._write(row, OFFSET_TABLE, OFFSETS, consumer_id, index_name, position.commit_seq)
+
+    def _record(self, position, updated, deleted) -> DataFrame:
+        columns = {f.name: f.dataType for f in OFFSETS.fields}
         row = self._one_row().select(
             as_bound(position.micros).alias("last_processed_timestamp"),
             F.lit(position.doc_id).cast("string").alias("last_processed_doc_id"),
@@ -262,17 +321,29 @@ class OffsetStore:
             F.lit(position.epoch).alias("epoch"),
             F.lit(deleted).alias("deleted"),
         )
-        self._write(row, OFFSET_TABLE, OFFSETS, consumer_id, index_name, position.commit_seq)
+        return row.select(*[F.col(c).cast(columns[c]).alias(c) for c in row.columns])
 
     def record_handled(self, consumer_id: str, index_name: str, commit_seq: int, events: DataFrame, epoch=0) -> None:
         rows = events.select("doc_id", "timestamp", F.lit(epoch).alias("epoch"))
         self._write(rows, "ledger", LEDGER, consumer_id, index_name, commit_seq)
 
+    def stage_handled(self, consumer_id: str, index_name: str, number: int, events: DataFrame, epoch: int, token: str) -> tuple[str, str]:
+        """Write the ledger rows of a commit aside; the pair of paths is for :meth:`publish`."""
+        path = self.attempt_path("ledger", consumer_id, index_name, token)
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self._inner(LEDGER, "commit_seq").fields]
+        events.select("doc_id", "timestamp", F.lit(epoch).alias("epoch")).select(*columns).write.mode("overwrite").parquet(path)
+        return path, f"{self._folder('ledger', consumer_id, index_name)}/{_part('commit_seq', number)}"
+
+    def _move(self, consumer_id: str, index_name: str, change: Callable[[Position], Position], deleted=False) -> Position:
+        """Apply ``change`` to the newest record, again and again until no other writer gets in between."""
+        while True:
+            now = self.load(consumer_id, index_name)
+            after = change(now)._replace(query_start=None, commit_seq=now.commit_seq + 1)
+            if self.publish(consumer_id, index_name, now, after, deleted=deleted):
+                return after
+
     def _change(self, consumer_id: str, index_name: str, **fields) -> Position:
-        now = self.load(consumer_id, index_name)
-        after = now._replace(query_start=None, commit_seq=self.next_number(consumer_id, index_name), **fields)
-        self.save(consumer_id, index_name, after)
-        return after
+        return self._move(consumer_id, index_name, lambda now: now._replace(**fields))
 
     def update(self, consumer_id: str, index_name: str, ts, doc_id: str) -> Position:
         """Set the position to one event; ``ts`` as :func:`as_bound` takes it. The total is kept."""
@@ -286,7 +357,7 @@ class OffsetStore:
 
     def increment(self, consumer_id: str, index_name: str, by: int = 1) -> Position:
         """Add to the number of events handled; the position stays."""
-        return self._change(consumer_id, index_name, total=self.load(consumer_id, index_name).total + by)
+        return self._move(consumer_id, index_name, lambda now: now._replace(total=now.total + by))
 
     def start_display(self, consumer_id: str, index_name: str, zone: str = "UTC") -> str:
         """Display text of the effective start: where an unfinished read began, else the last position."""
@@ -302,18 +373,13 @@ class OffsetStore:
 
     def delete_offset(self, consumer_id: str, index_name: str) -> None:
         """A tombstone; the history stays. The epoch rises, so handled events are due again."""
-        now = self.load(consumer_id, index_name)
-        if now.commit_seq >= 0:
-            gone = Position(0, None, 0, None, now.epoch + 1, now.commit_seq + 1)
-            self._save(consumer_id, index_name, gone, None, True)
+        if self.load(consumer_id, index_name).commit_seq >= 0:
+            self._move(consumer_id, index_name, lambda now: Position(0, None, 0, None, now.epoch + 1, now.commit_seq), deleted=True)
 
     def seek(self, consumer_id: str, index_name: str, to) -> Position:
         """Move to a time (micros, datetime or ISO text). The total is kept, the epoch is raised."""
-        now = self.load(consumer_id, index_name)
         us = self._one_row().select(micros(as_bound(to)).alias("us")).first().us
-        moved = Position(us, None, now.total, None, now.epoch + 1, now.commit_seq + 1, us)
-        self.save(consumer_id, index_name, moved)
-        return moved
+        return self._move(consumer_id, index_name, lambda now: Position(us, None, now.total, None, now.epoch + 1, now.commit_seq, us))
 
     def reset(self, consumer_id: str, index_name: str) -> Position:
         return self.seek(consumer_id, index_name, 0)
@@ -348,7 +414,8 @@ class OffsetStore:
                 rows = self._all_mine(table, schema, consumer_id, index_name).filter(F.col("commit_seq") <= committed)
                 columns = [f.name for f in schema.fields if f.name not in ("consumer_id", "index_name")]
                 aside = f"{merged}/_{committed}"
-                rows.select(*columns).coalesce(max(1, len(old) // 1000)).write.mode("overwrite").parquet(aside)
+                files = max(1, math.ceil(rows.count() / ROWS_PER_FILE))
+                rows.select(*columns).repartition(files).write.mode("overwrite").parquet(aside)
                 rename(self.spark, aside, f"{merged}/{_part('upto', committed)}")
                 if upto >= 0:
                     delete(self.spark, f"{merged}/{_part('upto', upto)}")
@@ -356,15 +423,28 @@ class OffsetStore:
             for number in old:
                 if number <= upto:
                     delete(self.spark, f"{folder}/{_part('commit_seq', number)}")
+            drop_stale(self.spark, folder, ATTEMPT, STALE_SECONDS)
+        # A writer that still builds on an old commit must go on finding its successor.
+        for number in sorted(self._numbers(self._folder("heads", consumer_id, index_name), "after"))[:-KEPT_HEADS]:
+            delete(self.spark, self._head(consumer_id, index_name, number))
 
     # --- read attempts
 
+    def _marks(self, consumer_id, index_name) -> str:
+        return self._folder("marks", consumer_id, index_name)
+
     def mark_start(self, consumer_id: str, index_name: str, at=None) -> int:
-        """Note that a read begins; earlier unfinished reads keep their own mark."""
-        folder = self._folder("attempts", consumer_id, index_name)
-        attempt = max(self._numbers(folder, "attempt"), default=-1) + 1
-        row = self._one_row().select((F.current_timestamp() if at is None else as_bound(at)).alias("at"))
-        row.write.mode("overwrite").parquet(f"{folder}/{_part('attempt', attempt)}")
+        """Note that a read begins; earlier unfinished reads keep their own mark, also those of other processes."""
+        now = F.timestamp_micros(F.lit(time.time_ns() // 1000)) if at is None else as_bound(at)
+        us = self._one_row().select(micros(now).alias("us")).first().us
+        folder, marks = self._folder("attempts", consumer_id, index_name), self._marks(consumer_id, index_name)
+        attempt = max([*self._numbers(folder, "attempt"), *self._numbers(marks, "attempt")], default=-1) + 1
+        while not create_with(self.spark, f"{marks}/{_part('attempt', attempt)}", str(us)):
+            attempt += 1
+        # Written aside, so that no reader lists half a mark.
+        aside = f"{folder}/{ATTEMPT}{uuid.uuid4().hex}"
+        self._one_row().select(as_bound(us).alias("at")).write.mode("overwrite").parquet(aside)
+        move_once(self.spark, aside, f"{folder}/{_part('attempt', attempt)}")
         return attempt
 
     def clear_start(self, consumer_id: str, index_name: str, attempt: int | None = None) -> None:
@@ -372,10 +452,21 @@ class OffsetStore:
 
         Marks after ``attempt`` belong to reads still in flight and stay; without it all go.
         """
-        folder = self._folder("attempts", consumer_id, index_name)
+        for folder in (self._folder("attempts", consumer_id, index_name), self._marks(consumer_id, index_name)):
+            for number in self._numbers(folder, "attempt"):
+                if attempt is None or number <= attempt:
+                    delete(self.spark, f"{folder}/{_part('attempt', number)}")
+
+    def _query_start(self, consumer_id, index_name) -> int | None:
+        """When the oldest open read began."""
+        folder, began = self._marks(consumer_id, index_name), []
         for number in self._numbers(folder, "attempt"):
-            if attempt is None or number <= attempt:
-                delete(self.spark, f"{folder}/{_part('attempt', number)}")
+            try:
+                began.append(int(read_text(self.spark, f"{folder}/{_part('attempt', number)}")))
+            except Py4JJavaError:
+                if exists(self.spark, f"{folder}/{_part('attempt', number)}"):
+                    raise  # else its reader has just finished
+        return min(began, default=None)
 
     def start_columns(self) -> DataFrame:
         """Per live consumer: the plain effective start and the one a reader may safely use."""

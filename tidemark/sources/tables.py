@@ -47,15 +47,23 @@ def write_by_day(df: DataFrame, path: str) -> None:
     )
 
 
+def load_events(spark: SparkSession, path: str, incoming: DataFrame) -> None:
+    """Write events by id, each id once, creating the table with the first load."""
+    if exists(spark, path):
+        upsert_into(spark, path, incoming)
+    else:
+        write_by_day(newest_per_id(incoming), path)
+
+
 def upsert_into(spark: SparkSession, path: str, incoming: DataFrame, version=None, key="doc_id") -> None:
     """Upsert into a table written by :func:`write_by_day`, rewriting only the days it touches.
 
+    Of several rows of one id in ``incoming`` the newest is written (see :func:`newest_per_id`).
     The new content of those days is written aside before anything is replaced, so a rerun after a
     crash ends in the same state.
     """
-    if version is not None:
-        incoming = newest_per_id(incoming, version, key).drop(version)
-    incoming = settle(by_day(incoming), "incoming")
+    incoming = newest_per_id(incoming, version, key)
+    incoming = settle(by_day(incoming.drop(version) if version else incoming), "incoming")
     existing = spark.read.schema(incoming.schema).parquet(path)
     hit = existing.join(incoming.select(key), key, "left_semi").select(DAY)
     # One row per day: as many as the calendar has, not as many as there are events.

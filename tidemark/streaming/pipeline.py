@@ -1,8 +1,8 @@
 """A consumer as a streaming query.
 
-Spark's checkpoint decides what has been read. Each micro-batch writes, in this order, the sink,
-the ledger and the offset record, each into a directory named after the batch: a replayed batch
-replaces what its first attempt left, so every event counts once.
+Spark's checkpoint decides what has been read. Each micro-batch writes its part of the sink, the ledger and the
+offset log aside and then publishes them together: a replayed batch replaces what its first attempt
+left, or is passed over if that was published, so every event counts once.
 """
 
 import hashlib
@@ -20,7 +20,7 @@ from tidemark.operators.cadence import REPORT_EVERY
 from tidemark.operators.dedup import dedup_events, drop_seen
 from tidemark.plans.workspace import fresh_path, prepare
 from tidemark.sources.files import delete
-from tidemark.sources.store import OffsetStore
+from tidemark.sources.store import ATTEMPT, CommitConflict, OffsetStore
 
 # Retry of a commit, wait after a failed loop, polling interval.
 COMMIT_TRIES = 3
@@ -48,15 +48,20 @@ def with_backoff(action: Callable, tries=COMMIT_TRIES, delay=COMMIT_DELAY_SECOND
             delay *= 2
 
 
-def run_to_end(start: Callable[[], StreamingQuery], restarts=3, wait=RESTART_WAIT_SECONDS, sleep=time.sleep) -> int:
-    """Run a query to its end, restarting a failed one from its checkpoint. Returns the restarts used."""
+class PositionMoved(RuntimeError):
+    """A seek or reset: what this query was reading is no longer what is due."""
+
+
+def run_to_end(start: Callable[[], StreamingQuery], restarts=3, wait=RESTART_WAIT_SECONDS, sleep=time.sleep, ends=lambda: False) -> int:
+    """Run a query to its end, restarting a failed one from its checkpoint. Returns the restarts used. ``ends()``
+    says that a failure is no reason to try again."""
     used = 0
     while True:
         try:
             start().awaitTermination()
             return used
         except StreamingQueryException:
-            if used >= restarts:
+            if used >= restarts or ends():
                 raise
             used += 1
             sleep(wait)
@@ -121,13 +126,17 @@ class EventPipeline:
         self.store, self.consumer_id, self.index_name = store, consumer_id, index_name
         self.sink, self.process, self.prefix, self.dedup_delay = sink, process, prefix, dedup_delay
         self.safety_seconds, self.skip_handled = safety_seconds, skip_handled
-        # A seek raises the epoch and so begins a new checkpoint; restarts keep the old one.
-        at = store.load(consumer_id, index_name)
-        self.epoch, self.floor, self.session_start = at.epoch, at.floor, at.commit_seq + 1
-        self.checkpoint = f"{checkpoint}/epoch={self.epoch}"
+        self.checkpoints, self.session_start = checkpoint, store.load(consumer_id, index_name).commit_seq + 1
+        self.open()
+
+    def open(self) -> None:
+        """Take up the stored position. A seek raises the epoch and so begins a new checkpoint; restarts keep the old one."""
+        at = self.store.load(self.consumer_id, self.index_name)
+        self.epoch, self.floor, self.moved, self.overtaken = at.epoch, at.floor, False, False
+        self.checkpoint = f"{self.checkpoints}/epoch={self.epoch}"
         # The checkpoint is the writer: a new one begins at the stored position, a known one where it left off.
         self.writer = hashlib.sha256(self.checkpoint.encode()).hexdigest()[:16]
-        self.began = store.starting_point(consumer_id, index_name, self.writer)
+        self.began = self.store.starting_point(self.consumer_id, self.index_name, self.writer)
 
     def shape(self, stream: DataFrame) -> DataFrame:
         if self.prefix:
@@ -142,35 +151,43 @@ class EventPipeline:
         return dedup_stream(stream, self.dedup_delay) if self.dedup_delay else stream
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """The whole effect of one micro-batch; safe to repeat."""
-        least = self.epoch * EPOCH_SPAN
-        number, given_up = self.store.reserve(self.consumer_id, self.index_name, self.writer, batch_id, least)
-        if given_up is not None:
-            delete(self.store.spark, f"{self.sink}/batch_id={given_up}")
-        before = self.store.load(self.consumer_id, self.index_name, before=number)
+        """The whole effect of one micro-batch; safe to repeat.
+
+        A batch that has been committed is passed over. If the position was moved (a seek, a reset), nothing is written
+        and the query ends: see :meth:`follow`. If another writer commits in between, the batch fails and is replayed.
+        """
+        me = self.consumer_id, self.index_name
+        if self.store.has_step(*me, self.writer, batch_id):
+            return
+        before = self.store.load(*me)
+        if before.epoch != self.epoch:
+            self.moved = True
+            raise PositionMoved(f"{self.consumer_id} was sent to another position")
+        number = max(before.commit_seq + 1, self.epoch * EPOCH_SPAN)
         if self.safety_seconds is not None and before.doc_id is not None:
             cut = before.micros - self.safety_seconds * 1_000_000
             batch = batch.filter(P.after(F.col("timestamp"), as_bound(cut)))
         if self.skip_handled:
-            handled = self.store.handled_by(self.consumer_id, self.index_name)
-            handled = handled.filter((F.col("epoch") == self.epoch) & (F.col("commit_seq") != number))
+            handled = self.store.handled_by(*me).filter(F.col("epoch") == self.epoch)
             batch = drop_seen(dedup_events(batch), handled, ["doc_id"])
         # Written once, so that the sink, the ledger and the position come from the same rows without keeping
         # an unbounded batch on the executors.
-        aside = fresh_path(prepare(self.store.spark), "micro-batch")
+        token = f"{self.writer}-{batch_id}"
+        aside, staged = fresh_path(prepare(self.store.spark), "micro-batch"), f"{self.sink}/{ATTEMPT}{token}"
         batch.write.parquet(aside)
         batch = self.store.spark.read.schema(batch.schema).parquet(aside)
         try:
             result = self.process(batch) if self.process else batch
-            result.write.mode("overwrite").parquet(f"{self.sink}/batch_id={number}")
+            result.write.mode("overwrite").parquet(staged)
             self.after_sink(batch_id)
-            self.store.record_handled(self.consumer_id, self.index_name, number, batch, self.epoch)
             newest = F.max(F.struct(micros(F.col("timestamp")).alias("us"), F.col("doc_id").alias("id")))
             row = batch.agg(newest.alias("top"), F.count(F.lit(1)).alias("n")).first()
+            if row.n == 0:
+                delete(self.store.spark, staged)
+                return
+            handled = with_backoff(lambda: self.store.stage_handled(*me, number, batch, self.epoch, token))
         finally:
             delete(self.store.spark, aside)
-        if row.n == 0:
-            return
         top = (row.top.us, row.top.id)
         if not before.is_new and (before.micros, before.doc_id or "") > top:
             top = (before.micros, before.doc_id)
@@ -182,7 +199,11 @@ class EventPipeline:
             epoch=self.epoch,
             commit_seq=number,
         )
-        with_backoff(lambda: self.store.save(self.consumer_id, self.index_name, after))
+        moves = [handled, (staged, f"{self.sink}/batch_id={number}")]
+        step = self.writer, batch_id
+        if not with_backoff(lambda: self.store.publish(*me, before, after, token, moves, step)):
+            self.overtaken = True
+            raise CommitConflict(f"another writer of {self.consumer_id} committed during micro-batch {batch_id}")
 
     def after_sink(self, batch_id: int) -> None:
         """Called between the sink write and the commit records. Tests fail here."""
@@ -203,5 +224,29 @@ class EventPipeline:
         )
 
     def run(self, make_stream: Callable[[], DataFrame], restarts=3, wait=RESTART_WAIT_SECONDS) -> int:
-        """Process what is there, restarting after failures."""
-        return run_to_end(lambda: self.start(make_stream()), restarts, wait)
+        """Process what is there, restarting after failures and, without counting it, after a seek."""
+        while True:
+            try:
+                return run_to_end(lambda: self.start(make_stream()), restarts, wait, ends=lambda: self.moved)
+            except StreamingQueryException:
+                if not self.moved:
+                    raise
+                self.open()
+
+    def follow(self, make_stream: Callable[[], DataFrame], poll_seconds: float = POLL_SECONDS, stop=lambda: False) -> None:
+        """Poll on and on, until ``stop()``. A seek or reset reaches the running query: it ends, and a new one with a
+        checkpoint of its own begins at the new position. Looked for between batches too, so that an idle stream
+        meets it."""
+        while not stop():
+            query = self.start(make_stream(), poll_seconds)
+            try:
+                while not query.awaitTermination(poll_seconds):
+                    if stop() or self.store.load(self.consumer_id, self.index_name).epoch != self.epoch:
+                        break
+            except StreamingQueryException:
+                if not (self.moved or self.overtaken):
+                    raise
+            finally:
+                query.stop()
+            if not stop():
+                self.open()
