@@ -128,3 +128,14 @@ def test_thousands_of_sources_and_a_hot_one(docs_of, monkeypatch):
     docs = docs_of([(i, "x" * 100, f"site{i}") for i in range(3000)] + [(3000 + i, "y" * 300, "hot") for i in range(2000)])
     rows = mixing.schedule(docs, block_bytes=316).collect()
     assert sorted(r.doc_id for r in rows) == list(range(5000)) and sorted(r.slot for r in rows) == list(range(5000))
+
+
+def test_thousands_of_sources_keep_their_weights_apart():
+    sizes = {f"s{i:04d}": 1 + i * 815 // 3000 for i in range(3000)}
+    units, total = mixing.tempered(sizes), sum(n**0.5 for n in sizes.values())
+    whole = sum(units.values())
+    for s, n in sizes.items():
+        asked = n**0.5 / total
+        if asked >= 1 / len(sizes):
+            assert abs(units[s] / whole - asked) <= asked / mixing.UNITS_PER_SOURCE, s
+    assert units["s2999"] > 20 * units["s0000"]

@@ -24,7 +24,9 @@ from tidemark.plans.workspace import fresh_path, prepare, settle
 
 BLOCK_BYTES = 1 << 16
 OVERHEAD = 16
+# Units in all, or this many a source if that is more: so many sources do not level each other's weights.
 UNITS = 256
+UNITS_PER_SOURCE = 32
 # Frame entries the driver holds before it writes them.
 WRITE_ENTRIES = 200_000
 # Blocks of a phase row that one task places at a time.
@@ -32,8 +34,10 @@ STRETCH = 4096
 
 
 def tempered(sizes: dict, exponent: float = 0.5, units: int = UNITS) -> dict:
-    """Weights in proportion to size ** exponent, as whole units of about ``units`` in all, at least 1 each."""
+    """Weights in proportion to size ** exponent, as whole units, at least 1 each: about ``units`` in all, or
+    UNITS_PER_SOURCE a source. A source of mean weight or more is off by less than 1/UNITS_PER_SOURCE of it."""
     powers = {s: max(1, n) ** exponent for s, n in sizes.items()}
+    units = max(units, UNITS_PER_SOURCE * len(sizes))
     total = sum(powers.values())
     return {s: max(1, round(units * p / total)) for s, p in powers.items()}
 
