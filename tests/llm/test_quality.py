@@ -61,3 +61,20 @@ def test_repeated_rows_clashing_names_and_no_rows(docs_of):
     assert got.count() == 3 and {"a.b", "_tokens", "kept"} <= set(got.columns)
     assert [r.kept for r in got.collect()] == [False] * 3
     assert quality.measure(docs.limit(0)).count() == 0
+
+
+def test_lines_of_a_million_characters_of_each_kind(docs_of):
+    """Separators, spaces, letters, symbols and closing marks, alone and between words."""
+    n = 1_000_000
+    lines = ["|" * n, " " * n, "a" * n, "#" * n, "." * n, "a|" * (n // 2), "ab " * (n // 3), "home" + " " * n, " " * n + "menu", "\u2022 x " * (n // 4)]
+    got = {r.doc_id: r for r in quality.measure(docs_of(list(enumerate(lines)))).collect()}
+    for i, line in enumerate(lines):
+        words = WORD.findall(line)
+        assert (got[i].n_words, got[i].word_chars) == (len(words), sum(map(len, words))), i
+    assert [i for i, r in sorted(got.items()) if r.clean_text == ""] == [0, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_menus_are_told_by_their_entries(spark):
+    menu = {"a|b|c": True, "a|b": False, "|" * 3000: True, "x" * 40 + "|b|" + "y" * 40: True, "x" * 41 + "|b|c": False, "a|b|" + "y" * 41: False, "": False}
+    df = spark.createDataFrame(list(menu.items()), "line string, menu boolean")
+    assert df.filter(quality._separated(F.col("line")) != F.col("menu")).count() == 0

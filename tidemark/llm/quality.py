@@ -20,7 +20,9 @@ MAX_LOST_PERCENT = 50
 SYMBOL = r"[#*$%&|<>]"
 SPACE = r"[\x20\x09-\x0D]"
 NAVIGATION = r"^\s*(home|menu|login|log in|sign in|sign up|search|next|previous|back to top|skip to content|share|contact us|about us)\s*$"
-SEPARATED = r"^[^|>\x{BB}\x{2022}\x{B7}]{0,40}([|>\x{BB}\x{2022}\x{B7}][^|>\x{BB}\x{2022}\x{B7}]{0,40}){2,}$"
+SEPARATOR = r"[|>\x{BB}\x{2022}\x{B7}]"
+# A menu: two separators or more, never this many other characters in a row.
+UNSEPARATED = r"[^|>\x{BB}\x{2022}\x{B7}]{41}"
 BOILERPLATE = (
     "accept cookies",
     "accept all cookies",
@@ -76,6 +78,12 @@ def _repeated_words(tokens):
     return F.when(F.size(tokens) < WINDOW, 0).otherwise(let(hashes, whole))
 
 
+def _separated(line):
+    """Short entries between separators. Counted, not matched as one repeated group: a pattern that recurs once for each
+    entry would overflow the stack on a line of many."""
+    return (F.regexp_count(line, F.lit(SEPARATOR)) >= 2) & ~F.regexp_like(line, F.lit(UNSEPARATED))
+
+
 def line_fails(line):
     """Why a line with a word goes: 'navigation', 'boilerplate', 'punctuation', or null if it stays."""
     letters = F.length(F.regexp_replace(line, LETTERS, ""))
@@ -83,7 +91,7 @@ def line_fails(line):
     last = F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1))
     too_many = let(_symbols(line), lambda n: (n > 0) & (n * 2 > F.size(words(line))))
     return (
-        F.when(F.regexp_like(F.lower(line), F.lit(NAVIGATION)) | F.regexp_like(line, F.lit(SEPARATED)), "navigation")
+        F.when(F.regexp_like(F.lower(line), F.lit(NAVIGATION)) | _separated(line), "navigation")
         .when(boilerplate, "boilerplate")
         .when(letters * 2 < _word_chars(line), "punctuation")
         .when(too_many, "punctuation")
@@ -98,8 +106,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     * ``clean_text``: the lines that pass, in their order, with blank lines as they were.
     * ``kept``: false if the base rules fail, or if over half of the word characters stood in failing lines.
 
-    Null or empty text: all counts 0, base_failed, not kept. Repeated rows are judged one by one. Columns
-    of these names in ``docs`` are replaced; other columns, null or not, pass through.
+    Null or empty text: all counts 0, base_failed, not kept. Repeated rows are judged one by one. Very long texts and
+    lines are judged whole; no pattern recurs, so a line may hold any number of separators, spaces or letters. Empty
+    table: no rows. Columns of these names in ``docs`` are replaced; other columns, null or not, pass through.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "clean_text", "kept"]
     rest = [F.col(f"`{c}`") for c in docs.columns if c == text or c.lower() not in made]

@@ -131,7 +131,7 @@ l AS (
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
 f AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
-    regexp_matches(low, '{_Q(quality.NAVIGATION)}') OR regexp_matches(line, '{_Q(quality.SEPARATED)}')
+    regexp_matches(low, '{_Q(quality.NAVIGATION)}') OR (length(line) - length(regexp_replace(line, '{quality.SEPARATOR}', '', 'g')) >= 2 AND NOT regexp_matches(line, '{quality.UNSEPARATED}'))
     OR {" OR ".join(f"contains(low, '{x}')" for x in quality.BOILERPLATE)}
     OR length(regexp_replace(line, '{_Q(quality.LETTERS)}', '', 'g')) * 2 < chars
     OR 2 * (length(line) - length(regexp_replace(line, '{quality.SYMBOL}', '', 'g'))) > len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))
