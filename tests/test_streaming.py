@@ -147,23 +147,69 @@ def test_polling_trigger(spark, folder):
         query.stop()
 
 
-def test_progress_marks(spark, folder):
+def _marks_of(spark, run, every, handled=0):
+    """The marks that a listener reports while ``run`` works."""
     import time
 
-    for start in (0, 30, 60):
-        add_file(spark, folder + "/in", [(f"e{start + i}", start + i) for i in range(30)])
     marks = []
-    listener = ProgressMarks(marks.append, every=50)
+    listener = ProgressMarks(marks.append, every, handled)
     spark.streams.addListener(listener)
     try:
-        pipeline(spark, folder)[1].run(source(spark, folder))
-        for _ in range(100):
-            if marks:
+        run()
+        for _ in range(30):
+            before = len(marks)
+            time.sleep(0.2)
+            if marks and len(marks) == before:
                 break
-            time.sleep(0.1)
     finally:
         spark.streams.removeListener(listener)
-    assert marks == [60]
+    return marks
+
+
+def test_progress_marks_name_each_multiple_of_events_after_the_filters(spark, folder):
+    for start in (0, 30, 60):
+        rows = [(f"p_{start + i}", start + i) for i in range(30)] + [(f"x_{start + i}", start + i) for i in range(25)]
+        add_file(spark, folder + "/in", rows)
+    marks = _marks_of(spark, lambda: pipeline(spark, folder, prefix="p_")[1].run(source(spark, folder)), 20)
+    assert marks == [20, 40, 60, 80]
+    # another run goes on from what was handled
+    add_file(spark, folder + "/in", [(f"p_{90 + i}", 90 + i) for i in range(15)])
+    store, run = pipeline(spark, folder, prefix="p_")
+    assert _marks_of(spark, lambda: run.run(source(spark, folder)), 20, store.load("c", "events").total) == [100]
+
+
+def test_progress_marks_count_a_replayed_batch_once(spark, folder):
+    for start in (0, 30, 60):
+        add_file(spark, folder + "/in", [(f"e{start + i}", start + i) for i in range(30)])
+    _, flaky = pipeline(spark, folder, Flaky)
+    flaky.fail = (1, "sink")
+    assert _marks_of(spark, lambda: flaky.run(source(spark, folder), wait=0), 45) == [45, 90]
+
+
+@pytest.mark.parametrize("skip", [False, True])
+def test_row_exact_batches_in_order_and_the_same_after_a_failure(spark, folder, skip):
+    """One file of 23 events (and copies) in parts of 5; the third part fails once."""
+    rows = [(f"e{i:02d}", i // 3) for i in range(23)]
+    add_file(spark, folder + "/in", (rows + [("e04", 1)] * 7)[::-1] if skip else rows[::-1])
+
+    class Third(EventPipeline):
+        parts, failed = 0, False
+
+        def after_sink(self, batch_id):
+            self.parts += 1
+            if self.parts == 3 and not self.failed:
+                self.failed = True
+                raise RuntimeError("in the third part")
+
+    store, run = pipeline(spark, folder, Third, batch_rows=5, skip_handled=skip)
+    assert run.run(source(spark, folder), wait=0) == 1
+    got = {}
+    for r in spark.read.parquet(folder + "/sink").collect():
+        got.setdefault(r.batch_id, []).append(r.doc_id)
+    expected = [[f"e{i:02d}" for i in range(at, min(at + 5, 23))] for at in range(0, 23, 5)]
+    assert [sorted(got[k]) for k in sorted(got)] == expected
+    assert store.load("c", "events").total == 23
+    assert [r.total_processed for r in store.log().orderBy("commit_seq").collect()] == [5, 10, 15, 20, 23]
 
 
 def test_dedup_needs_no_more_than_the_key(spark, folder):

@@ -152,3 +152,31 @@ def load_repeated_ids(spark, sf_dir):
     for _ in range(2):
         load_events(spark, path, rows[0].unionByName(rows[1]))
     return spark.read.schema(rows[0].schema).parquet(path).select("event_id", "value")
+
+
+# Rows of one delivery of the bounded stream.
+DELIVERY = 2500
+
+
+@query(
+    f"""SELECT ((rn - 1) // {DELIVERY})::BIGINT AS delivery, event_id
+        FROM (SELECT event_id, row_number() OVER (ORDER BY ts, doc_id) AS rn FROM ev)""",
+    EV_SQL,
+)
+def stream_row_batches(spark, sf_dir):
+    """A stream that delivers and commits so many rows at a time, in order, and fails once in between."""
+
+    class FailsInside(EventPipeline):
+        parts = 0
+
+        def after_sink(self, batch_id):
+            self.parts += 1
+            if self.parts == 2:
+                raise RuntimeError("injected in the second delivery")
+
+    folder, root = fresh_path(spark, "rows-source"), fresh_path(spark, "rows")
+    events = _declared(ev(spark, sf_dir))
+    events.write.parquet(folder)
+    pipeline = FailsInside(OffsetStore(spark, f"{root}/store"), "c0", "events", f"{root}/sink", f"{root}/checkpoint", batch_rows=DELIVERY)
+    pipeline.run(lambda: stream_events(spark, folder, events.schema), wait=0)
+    return spark.read.parquet(f"{root}/sink").select(F.col("batch_id").cast("long").alias("delivery"), "event_id")

@@ -49,6 +49,7 @@ def stream(spark, args):
     pipeline = EventPipeline(
         store, args.consumer, args.index, args.sink, f"{args.store}/checkpoint/{args.consumer}", prefix=args.prefix,
         dedup_delay=args.dedup_delay, skip_handled=not args.dedup_delay,  # an upsert rewrites files of its day
+        batch_rows=args.batch_rows or None,
     )
     if args.follow:
         pipeline.follow(lambda: stream_events(spark, args.events, files_per_batch=args.files_per_batch), POLL_SECONDS)
@@ -91,6 +92,7 @@ def parser():
     jobs.choices["consume"].add_argument("--seek", help="first move to this UTC time")
     jobs.choices["stream"].add_argument("--follow", action="store_true")
     jobs.choices["stream"].add_argument("--files-per-batch", type=int, default=FILES_PER_BATCH)
+    jobs.choices["stream"].add_argument("--batch-rows", type=int, default=0, help="deliver and commit at most so many events at a time, in order")
     jobs.choices["stream"].add_argument("--dedup-delay", help="for example '30 seconds'")
     jobs.choices["load"].add_argument("--raw", required=True)
     jobs.choices["load"].add_argument("--format", default="json")

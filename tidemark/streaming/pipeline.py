@@ -18,7 +18,9 @@ from tidemark.functions import predicates as P
 from tidemark.functions.timestamps import as_bound, micros
 from tidemark.operators.cadence import REPORT_EVERY
 from tidemark.operators.dedup import dedup_events, drop_seen
-from tidemark.plans.workspace import fresh_path, prepare
+from tidemark.plans.positions import with_position
+from tidemark.plans.workspace import fresh_path, prepare, settle
+from tidemark.schemas import EVENT_ORDER
 from tidemark.sources.files import delete
 from tidemark.sources.store import ATTEMPT, CommitConflict, OffsetStore
 
@@ -32,6 +34,10 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 MEMORY_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 DISK_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# The name under which a pipeline's events are counted while they pass.
+EVENTS_METRIC = "tidemark_events"
+# A micro-batch has at most so many parts.
+PARTS_SPAN = 1_000_000_000
 # Commits of epoch e of a stream are numbered from e * EPOCH_SPAN or, if others got further, from there.
 EPOCH_SPAN = 1_000_000_000
 
@@ -79,20 +85,28 @@ def dedup_stream(stream: DataFrame, delay: str, key=("doc_id",), ts="timestamp")
 
 
 class ProgressMarks(StreamingQueryListener):
-    """Calls ``report(total)`` each time a query's events pass another multiple of ``every``."""
+    """Calls ``report(total)`` for each multiple of ``every`` that a query's events pass.
 
-    def __init__(self, report: Callable[[int], None], every: int = REPORT_EVERY):
-        self.report, self.every, self.totals = report, every, {}
+    A pipeline's own count is taken, of the events after its filters; of another query, its input rows. A micro-batch
+    counts once, also if it is replayed or the query restarts. ``handled`` events came before this listener began.
+    """
+
+    def __init__(self, report: Callable[[int], None], every: int = REPORT_EVERY, handled: int = 0):
+        self.report, self.every, self.handled, self.totals, self.seen = report, every, handled, {}, {}
 
     def onQueryStarted(self, event):
-        self.totals.setdefault(event.id, 0)
+        self.totals.setdefault(event.id, self.handled)
 
     def onQueryProgress(self, event):
-        before = self.totals.get(event.progress.id, 0)
-        after = before + event.progress.numInputRows
-        self.totals[event.progress.id] = after
-        if after // self.every > before // self.every:
-            self.report(after)
+        progress = event.progress
+        if progress.batchId <= self.seen.get(progress.id, -1):
+            return
+        observed = progress.observedMetrics.get(EVENTS_METRIC)
+        before = self.totals.get(progress.id, self.handled)
+        after = before + (progress.numInputRows if observed is None else observed.n)
+        self.seen[progress.id], self.totals[progress.id] = progress.batchId, after
+        for mark in range(before // self.every + 1, after // self.every + 1):
+            self.report(mark * self.every)
 
     def onQueryIdle(self, event):
         pass
@@ -107,7 +121,8 @@ class EventPipeline:
     ``dedup_delay`` keeps one copy of each event within that delay. ``safety_seconds`` leaves out
     events that come more than that behind the stored position, as a batch read would.
     ``skip_handled`` leaves out whatever the ledger holds, however old: no state, and copies of one
-    event merge before the shuffle.
+    event merge before the shuffle. ``batch_rows`` delivers and commits at most so many events at a time,
+    in order, however many a micro-batch has.
     """
 
     def __init__(
@@ -122,10 +137,11 @@ class EventPipeline:
         dedup_delay: str | None = None,
         safety_seconds: int | None = None,
         skip_handled: bool = False,
+        batch_rows: int | None = None,
     ):
         self.store, self.consumer_id, self.index_name = store, consumer_id, index_name
         self.sink, self.process, self.prefix, self.dedup_delay = sink, process, prefix, dedup_delay
-        self.safety_seconds, self.skip_handled = safety_seconds, skip_handled
+        self.safety_seconds, self.skip_handled, self.batch_rows = safety_seconds, skip_handled, batch_rows
         self.checkpoints, self.session_start = checkpoint, store.load(consumer_id, index_name).commit_seq + 1
         self.open()
 
@@ -148,16 +164,33 @@ class EventPipeline:
         if self.began.doc_id is not None and not self.skip_handled:
             at = as_bound(self.began.micros), F.lit(self.began.doc_id)
             stream = stream.filter(P.after_position(F.col("timestamp"), F.col("doc_id"), *at))
-        return dedup_stream(stream, self.dedup_delay) if self.dedup_delay else stream
+        stream = dedup_stream(stream, self.dedup_delay) if self.dedup_delay else stream
+        return stream.observe(EVENTS_METRIC, F.count(F.lit(1)).alias("n"))
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """The whole effect of one micro-batch; safe to repeat.
+        """The whole effect of one micro-batch; safe to repeat. With ``batch_rows``, its events by time and id, so many
+        at a time, each part committed before the next. Parts are cut before anything is compared with
+        the ledger, so a replay cuts the same ones and passes over those that were committed."""
+        first = batch_id * PARTS_SPAN
+        if self.batch_rows is None:
+            self._handle(batch, first)
+            return
+        if self.skip_handled:
+            batch = dedup_events(batch)
+        whole = batch.withColumn("_whole", F.lit(0))
+        ordered = settle(with_position(whole, ["_whole"], EVENT_ORDER, "_row").drop("_whole"), "rows")
+        for part in range(-(-ordered.count() // self.batch_rows)):
+            mine = F.col("_row").between(part * self.batch_rows + 1, (part + 1) * self.batch_rows)
+            self._handle(ordered.filter(mine).drop("_row"), first + part)
+
+    def _handle(self, batch: DataFrame, step: int) -> None:
+        """Deliver and commit the events of one step.
 
-        A batch that has been committed is passed over. If the position was moved (a seek, a reset), nothing is written
+        A step that has been committed is passed over. If the position was moved (a seek, a reset), nothing is written
         and the query ends: see :meth:`follow`. If another writer commits in between, the batch fails and is replayed.
         """
         me = self.consumer_id, self.index_name
-        if self.store.has_step(*me, self.writer, batch_id):
+        if self.store.has_step(*me, self.writer, step):
             return
         before = self.store.load(*me)
         if before.epoch != self.epoch:
@@ -172,14 +205,14 @@ class EventPipeline:
             batch = drop_seen(dedup_events(batch), handled, ["doc_id"])
         # Written once, so that the sink, the ledger and the position come from the same rows without keeping
         # an unbounded batch on the executors.
-        token = f"{self.writer}-{batch_id}"
+        token = f"{self.writer}-{step}"
         aside, staged = fresh_path(prepare(self.store.spark), "micro-batch"), f"{self.sink}/{ATTEMPT}{token}"
         batch.write.parquet(aside)
         batch = self.store.spark.read.schema(batch.schema).parquet(aside)
         try:
             result = self.process(batch) if self.process else batch
             result.write.mode("overwrite").parquet(staged)
-            self.after_sink(batch_id)
+            self.after_sink(step // PARTS_SPAN)
             newest = F.max(F.struct(micros(F.col("timestamp")).alias("us"), F.col("doc_id").alias("id")))
             row = batch.agg(newest.alias("top"), F.count(F.lit(1)).alias("n")).first()
             if row.n == 0:
@@ -200,10 +233,9 @@ class EventPipeline:
             commit_seq=number,
         )
         moves = [handled, (staged, f"{self.sink}/batch_id={number}")]
-        step = self.writer, batch_id
-        if not with_backoff(lambda: self.store.publish(*me, before, after, token, moves, step)):
+        if not with_backoff(lambda: self.store.publish(*me, before, after, token, moves, (self.writer, step))):
             self.overtaken = True
-            raise CommitConflict(f"another writer of {self.consumer_id} committed during micro-batch {batch_id}")
+            raise CommitConflict(f"another writer of {self.consumer_id} committed during step {step}")
 
     def after_sink(self, batch_id: int) -> None:
         """Called between the sink write and the commit records. Tests fail here."""
