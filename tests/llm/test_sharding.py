@@ -66,3 +66,36 @@ def test_one_long_document_leaves_the_other_shards_even(docs_of):
         loads[r.shard] = loads.get(r.shard, 0) + r.size
     *others, heavy = sorted(loads.values())
     assert heavy == 30_016 and max(others) - min(others) < 0.02 * sum(others) / 39
+
+
+def test_later_runs_edit_the_stored_map_and_overwrite_nothing(spark, docs_of, folder):
+    old = [(i, "x" * (i * 37 % 300)) for i in range(2000)]
+    maps = sharding.SlotMap(spark, folder)
+    sharding.shard(docs_of(old), 8, path=folder, slots=256)
+    before = maps.newest()
+    kept = {v: maps.shards(v) for v in range(1, before + 1)}
+    rows = sharding.shard(docs_of(old + [(5000 + i, "y" * 200) for i in range(100)]), 8, path=folder, slots=256).collect()
+    after = maps.newest()
+    assert after == before + 1 and all(maps.shards(v) == kept[v] for v in kept)
+    moved = sum(a != b for a, b in zip(kept[before], maps.shards(after), strict=True))
+    assert 0 < moved < 256 * 0.1
+    now = maps.shards(after)
+    assert all(now[r.vslot] == r.shard for r in rows)
+    # the same rows once more: nothing to even out, so no new version
+    sharding.shard(docs_of(old + [(5000 + i, "y" * 200) for i in range(100)]), 8, path=folder, slots=256)
+    assert maps.newest() == after
+
+
+def test_shards_may_come_and_go(spark, docs_of, folder):
+    docs = docs_of([(i, "x" * 100) for i in range(2000)])
+    for shards in (8, 9, 5):
+        rows = sharding.shard(docs, shards, path=folder, slots=256).collect()
+        assert {r.shard for r in rows} == set(range(shards)) and len(rows) == 2000
+
+
+def test_one_record_repeated_very_often_gets_gapless_places(docs_of):
+    docs = docs_of([(1, "same")] * 3000 + [(i, "other") for i in range(2, 200)])
+    by_shard = {}
+    for r in sharding.shard(docs, 4, slots=64).collect():
+        by_shard.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in by_shard.values()) and sum(map(len, by_shard.values())) == 3198
