@@ -26,6 +26,9 @@ BANDS = 42
 ROWS = 6
 # Buckets of this many open members get a leader to compare against; smaller ones have few pairs anyway.
 LED_MEMBERS = 8
+# Bits for the shingles that a node has besides its leader's, and what is kept of a node beside its leader.
+FAR_BITS = 512
+PARTS = "bits array<long>, outside long, far array<long>, hidden long"
 # Set elements and texts that are put through one call; bounds a task's memory.
 CHUNK_ELEMENTS = 20_000
 CHUNK_SETS = 400
@@ -136,13 +139,22 @@ def _hashes(width):
     return run
 
 
+def _marked(shingles) -> np.ndarray:
+    """A bitmap of shingles by their hashes. Two sets have at most as many in common as their bitmaps, and what the
+    fuller of either set's bits hides."""
+    mask = np.zeros(FAR_BITS, dtype=bool)
+    mask[[xxhash.xxh3_64_intdigest(b" ".join(s)) % FAR_BITS for s in shingles]] = True
+    return mask
+
+
 def _against_leader(width):
-    """Which shingles of its leader a node has, as bits, and how many it has besides."""
+    """Which shingles of its leader a node has, as bits, how many it has besides, and these as a bitmap (``far``)
+    in which ``hidden`` of them share a bit."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, place = None, None
         for part in parts:
-            bits, outside = [], []
+            bits, outside, far, hidden = [], [], [], []
             for a, text_a, text_b in zip(part["a"], part["text_a"], part["text_b"], strict=True):
                 if a != key:
                     key, place = a, {s: i for i, s in enumerate(sorted(shingle_set(tokens(text_a), width)))}
@@ -152,7 +164,11 @@ def _against_leader(width):
                 mask[shared] = True
                 bits.append(np.packbits(mask).view(np.int64))
                 outside.append(len(own) - len(shared))
-            yield pd.DataFrame({"leader": part["a"], "node": part["b"], "bits": bits, "outside": outside})
+                marked = _marked(s for s in own if s not in place)
+                far.append(np.packbits(marked).view(np.int64))
+                hidden.append(outside[-1] - int(marked.sum()))
+            columns = {"bits": bits, "outside": outside, "far": far, "hidden": hidden}
+            yield pd.DataFrame({"leader": part["a"], "node": part["b"], **columns})
 
     return run
 
@@ -170,15 +186,19 @@ def _with_bounds(open_rows: DataFrame, texts: DataFrame, width: int) -> DataFram
     pairs = settle(rows.filter("leader IS NOT NULL").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    parts = settle(with_b.mapInPandas(_against_leader(width), "leader binary, node binary, bits array<long>, outside long"), "parts")
+    parts = settle(with_b.mapInPandas(_against_leader(width), f"leader binary, node binary, {PARTS}"), "parts")
     return rows.join(sole, "node", "left").join(parts, ["leader", "node"], "left").withColumn("sole", F.coalesce("sole", F.lit(0)))
 
 
 def _may_link(similarity: int):
     """False only for pairs whose intersection cannot be large enough. Shingles that one node alone has are in
-    no intersection; of the others, those inside the leader's are counted, those outside bounded."""
-    inside = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+    no intersection; of the others, those inside the leader's are counted, those outside bounded by their bitmaps."""
+    both = lambda c: F.aggregate(
+        F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x
+    )
+    inside = both("bits")
     outside = F.greatest(F.lit(0), F.least(F.col("outside_a") - F.col("sole_a"), F.col("outside_b") - F.col("sole_b")))
+    outside = F.least(outside, both("far") + F.least("hidden_a", "hidden_b"))
     # least() passes over the null of a bucket without a leader.
     most = F.least(F.col("n_a") - F.col("sole_a"), F.col("n_b") - F.col("sole_b"), inside + outside)
     return 100 * most >= similarity * (F.col("n_a") + F.col("n_b") - most)
@@ -239,9 +259,13 @@ def link_groups(docs: DataFrame, doc_id="doc_id", text="text", width: int = 5, s
     # ... and last the members of different groups that share a bucket, unless a bound rules the pair out.
     several = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("band")
     open_rows = settle(grouped.join(several, "band").select("band", "node", "n", "root"), "open")
-    bounded = settle(_with_bounds(open_rows, texts, width), "bounded")
-    side = lambda k: bounded.select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "root", "sole", "bits", "outside")])
-    rest = side("a").join(side("b"), "band").filter("root_a < root_b").filter(_may_link(similarity))
+    # A pair comes out of the first band only that both have, not of each of up to BANDS.
+    bands_of = open_rows.groupBy("node").agg(F.sort_array(F.collect_set("band")).alias("all_bands"))
+    bounded = settle(_with_bounds(open_rows.join(bands_of, "node"), texts, width), "bounded")
+    columns = ("node", "n", "root", "sole", "bits", "outside", "far", "hidden", "all_bands")
+    side = lambda k: bounded.select("band", *[F.col(c).alias(f"{c}_{k}") for c in columns])
+    first_band = F.array_min(F.array_intersect("all_bands_a", "all_bands_b")) == F.col("band")
+    rest = side("a").join(side("b"), "band").filter("root_a < root_b").filter(_may_link(similarity) & first_band)
     rest = rest.withColumnRenamed("node_a", "a").withColumnRenamed("node_b", "b")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = settle(rest.join(checked, ["a", "b"], "left_anti"), "pairs")
