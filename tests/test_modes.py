@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_streaming import Flaky, add_file, pipeline, source
-from tests.util import events, ids
+from tests.util import T0, events, ids
 from tidemark import Consumer, OffsetStore
 from tidemark.operators.failures import prefix_before_failure
 from tidemark.plans.positions import with_position, with_running_max
 from tidemark.sources.files import delete
+from tidemark.sources.store import Position
 from tidemark.sources.tables import upsert_into, write_by_day
 
 
@@ -178,3 +179,49 @@ def test_positions_totals_and_start_texts_can_be_set(spark, folder):
     consumer = Consumer(store, lambda: events(spark, [("e", 4), ("e", 4), ("f", 5)]), "c", "events", safety_seconds=None)
     row = consumer.backlog().first()
     assert row.uncommitted == 2 and 0 <= row.seconds_since_commit < 600
+
+
+def _files(df):
+    """The files that rows come from. The bucket is a folder, so its filter chooses files before they are opened."""
+    return df.select(F.input_file_name().alias("file")).distinct().count()
+
+
+def test_a_small_batch_opens_as_few_files_of_a_ledger_ten_times_as_large(spark, folder):
+    """Buckets double with the rows; a batch of three ids opens three of them at most, and finds what it must."""
+    opened = {}
+    for rows in (1_000, 10_000):
+        store = OffsetStore(spark, f"{folder}/{rows}", bucket_rows=50)
+        ledger = spark.range(rows).select(F.concat(F.lit("e"), "id").alias("doc_id"), F.timestamp_seconds("id").alias("timestamp"))
+        for number, part in enumerate(ledger.randomSplit([0.5, 0.5], seed=1)):
+            store.record_handled("c", "events", number, part)
+            store.save("c", "events", Position(number, f"e{number}", number, None, 0, number))
+        store.compact("c", "events")
+        ids = spark.createDataFrame([("e7",), ("e123",), ("new",)], "doc_id string")
+        found = store.handled_by("c", "events", ids)
+        opened[rows] = _files(found)
+        assert "bucket" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+        assert {r.doc_id for r in found.join(ids, "doc_id", "left_semi").collect()} == {"e7", "e123"}
+        assert store.handled_by("c", "events").count() == rows
+        assert _files(store.handled_by("c", "events")) > 10
+        # a commit that is not gathered yet is found as well, null ids do no harm
+        store.record_handled("c", "events", 2, spark.createDataFrame([("new", None)], "doc_id string, timestamp timestamp"))
+        later = store.handled_by("c", "events", ids.unionByName(spark.createDataFrame([(None,)], "doc_id string")))
+        assert later.filter("doc_id = 'new'").count() == 1
+    assert opened[10_000] <= opened[1_000] <= 3
+
+
+def test_a_stream_skips_what_a_compacted_ledger_holds(spark, folder):
+    add_file(spark, folder + "/in", [(f"e{i}", i) for i in range(30)])
+    store = OffsetStore(spark, folder + "/store", bucket_rows=4)
+    frame = spark.read.parquet(folder + "/in")
+    Consumer(store, lambda: frame, "c", "events", batch_size=10, sink=folder + "/batches").drain()
+    for _ in range(2):
+        store.compact("c", "events")
+    add_file(spark, folder + "/in", [("e3", 500), ("n", 501)])
+    _, run = pipeline(spark, folder, skip_handled=True)
+    run.run(source(spark, folder))
+    assert delivered(spark, folder) == sorted([f"e{i}" for i in range(30)] + ["n"])
+    store.seek("c", "events", T0 - 1_000_000)
+    _, again = pipeline(spark, folder, skip_handled=True)
+    again.run(source(spark, folder))
+    assert store.load("c", "events").total == 31 + 31

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.inputs import BOUND, EV_SQL, NEW_SQL, RAW, at, ev, raw_events, resent
+from tidemark.catalog.inputs import BOUND, EV_SQL, NEW_SQL, RAW, at, ev, ledger, raw_events, resent
 from tidemark.catalog.progress import CHAIN
 from tidemark.catalog.registry import query
 from tidemark.consumer import Consumer
+from tidemark.operators.dedup import drop_seen
 from tidemark.plans.workspace import fresh_path
 from tidemark.sources.events import stream_events
 from tidemark.sources.store import OffsetStore
@@ -180,3 +181,17 @@ def stream_row_batches(spark, sf_dir):
     pipeline = FailsInside(OffsetStore(spark, f"{root}/store"), "c0", "events", f"{root}/sink", f"{root}/checkpoint", batch_rows=DELIVERY)
     pipeline.run(lambda: stream_events(spark, folder, events.schema), wait=0)
     return spark.read.parquet(f"{root}/sink").select(F.col("batch_id").cast("long").alias("delivery"), "event_id")
+
+
+@query(f"SELECT event_id FROM ev WHERE value < 10 AND ts >= TIMESTAMP '{BOUND}'", EV_SQL)
+def drop_seen_bucketed(spark, sf_dir):
+    """Events of the later days that a compacted ledger does not hold; only buckets that they can be in are read."""
+    store = OffsetStore(spark, fresh_path(spark, "bucketed"), bucket_rows=2000)
+    events = ev(spark, sf_dir)
+    handled = ledger(events).withColumn("timestamp", F.col("ts").cast("timestamp"))
+    for number, part in enumerate((handled.filter(F.col("ts") < at(BOUND)), handled.filter(F.col("ts") >= at(BOUND)))):
+        store.record_handled("c0", "events", number, part)
+        store.increment("c0", "events", 1)
+    store.compact("c0", "events")
+    batch = events.filter(F.col("ts") >= at(BOUND))
+    return drop_seen(batch, store.handled_by("c0", "events", batch), ["doc_id"]).select("event_id")

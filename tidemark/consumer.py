@@ -139,7 +139,7 @@ class Consumer:
             if now.epoch != before.epoch:
                 self._discard(batch)
                 raise CommitConflict(f"{self.consumer_id} was sent to another position while a batch was being handled")
-            handled = self.store.handled_by(*me).filter((F.col("epoch") == now.epoch) & (F.col("commit_seq") <= now.commit_seq))
+            handled = self.store.handled_by(*me, ids=finished).filter((F.col("epoch") == now.epoch) & (F.col("commit_seq") <= now.commit_seq))
             finished, before = settle(drop_seen(finished, handled, ["doc_id"]), "rest"), now
             if batch.deliver is not None:
                 batch.deliver(finished)

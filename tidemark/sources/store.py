@@ -77,10 +77,20 @@ def _merged(table: str) -> str:
     return f"{table}_merged"
 
 
+def _merged_schema(schema) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(c, T.LongType()) for c in ("upto", "buckets", "bucket")]])
+
+
+def _bucket(buckets: int):
+    """Where compaction puts a ledger row: by the hash of its id alone."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("long")
+
+
 class OffsetStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, bucket_rows: int = ROWS_PER_FILE):
         self.spark = prepare(spark)
         self.root = root.rstrip("/")
+        self.bucket_rows = bucket_rows
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -110,21 +120,25 @@ class OffsetStore:
         rows = self._read(table, schema).select(*schema.fieldNames())
         if not exists(self.spark, self.path(_merged(table))):
             return rows
-        merged = self._read(_merged(table), T.StructType([*schema.fields, T.StructField("upto", T.LongType())]))
+        merged = self._read(_merged(table), _merged_schema(schema))
         # One row for each compacted consumer.
         newest = merged.groupBy(*CONSUMER_KEY).agg(F.max("upto").alias("_newest"))
         gathered = merged.join(newest, list(CONSUMER_KEY)).filter(F.col("upto") == F.col("_newest"))
         later = rows.join(newest, list(CONSUMER_KEY), "left").filter(F.col("commit_seq") > F.coalesce("_newest", F.lit(-1)))
         return gathered.select(*rows.columns).unionByName(later.select(*rows.columns))
 
-    def _all_mine(self, table: str, schema, consumer_id, index_name) -> DataFrame:
+    def _parts(self, table: str, schema, consumer_id, index_name) -> tuple[DataFrame, DataFrame | None]:
+        """One consumer's rows of commits of their own, and those that compaction has gathered (with their bucket)."""
         rows = self._mine(table, schema, consumer_id, index_name).select(*schema.fieldNames())
         upto = self._upto(table, consumer_id, index_name)
         if upto < 0:
-            return rows
-        merged = self._mine(_merged(table), T.StructType([*schema.fields, T.StructField("upto", T.LongType())]), consumer_id, index_name)
-        gathered = merged.filter(F.col("upto") == upto).select(*rows.columns)
-        return gathered.unionByName(rows.filter(F.col("commit_seq") > upto))
+            return rows, None
+        merged = self._mine(_merged(table), _merged_schema(schema), consumer_id, index_name).filter(F.col("upto") == upto)
+        return rows.filter(F.col("commit_seq") > upto), merged
+
+    def _all_mine(self, table: str, schema, consumer_id, index_name) -> DataFrame:
+        rows, merged = self._parts(table, schema, consumer_id, index_name)
+        return rows if merged is None else merged.select(*rows.columns).unionByName(rows)
 
     def _one_row(self) -> DataFrame:
         return self.spark.range(0, 1, 1, 1)
@@ -157,8 +171,25 @@ class OffsetStore:
     def ledger(self) -> DataFrame:
         return self._all("ledger", LEDGER)
 
-    def handled_by(self, consumer_id: str, index_name: str) -> DataFrame:
-        return self._all_mine("ledger", LEDGER, consumer_id, index_name)
+    def handled_by(self, consumer_id: str, index_name: str, ids: DataFrame | None = None) -> DataFrame:
+        """The ledger rows of one consumer. With ``ids`` (a column doc_id) at least those of these ids.
+
+        Gathered rows lie in buckets by the hash of their id, each of about ``bucket_rows`` rows however many there are
+        in all: a batch of few ids opens as few files of a large ledger as of a small one. Commits that compaction has
+        not gathered yet are read whole.
+        """
+        if ids is None:
+            return self._all_mine("ledger", LEDGER, consumer_id, index_name)
+        later, merged = self._parts("ledger", LEDGER, consumer_id, index_name)
+        if merged is None:
+            return later
+        upto = self._upto("ledger", consumer_id, index_name)
+        buckets = max(self._numbers(f"{self._folder(_merged('ledger'), consumer_id, index_name)}/{_part('upto', upto)}", "buckets"), default=1)
+        # As many rows as buckets at most.
+        hit = [r.bucket for r in ids.select(_bucket(buckets).alias("bucket")).distinct().collect()]
+        # As constants, they choose folders before anything is read.
+        found = merged if len(hit) == buckets else merged.filter(F.col("bucket").isin(hit))
+        return found.select(*later.columns).unionByName(later)
 
     def open_attempts(self) -> DataFrame:
         """Reads that were begun and not finished."""
@@ -414,8 +445,13 @@ class OffsetStore:
                 rows = self._all_mine(table, schema, consumer_id, index_name).filter(F.col("commit_seq") <= committed)
                 columns = [f.name for f in schema.fields if f.name not in ("consumer_id", "index_name")]
                 aside = f"{merged}/_{committed}"
-                files = max(1, math.ceil(rows.count() / ROWS_PER_FILE))
-                rows.select(*columns).repartition(files).write.mode("overwrite").parquet(aside)
+                # Buckets double as the ledger grows; the offset log, a row a commit, has one.
+                files = 1 << max(0, math.ceil(math.log2(max(1, rows.count()) / self.bucket_rows)))
+                bucket = _bucket(files) if table == "ledger" else F.lit(0).cast("long")
+                placed = rows.select(*columns, F.lit(files if table == "ledger" else 1).cast("long").alias("buckets"), bucket.alias("bucket"))
+                order = ["bucket", *(["doc_id"] if table == "ledger" else ["commit_seq"])]
+                laid = placed.repartition(files, "bucket").sortWithinPartitions(*order)
+                laid.write.mode("overwrite").partitionBy("buckets", "bucket").parquet(aside)
                 rename(self.spark, aside, f"{merged}/{_part('upto', committed)}")
                 if upto >= 0:
                     delete(self.spark, f"{merged}/{_part('upto', upto)}")

@@ -201,7 +201,7 @@ class EventPipeline:
             cut = before.micros - self.safety_seconds * 1_000_000
             batch = batch.filter(P.after(F.col("timestamp"), as_bound(cut)))
         if self.skip_handled:
-            handled = self.store.handled_by(*me).filter(F.col("epoch") == self.epoch)
+            handled = self.store.handled_by(*me, ids=batch).filter(F.col("epoch") == self.epoch)
             batch = drop_seen(dedup_events(batch), handled, ["doc_id"])
         # Written once, so that the sink, the ledger and the position come from the same rows without keeping
         # an unbounded batch on the executors.
