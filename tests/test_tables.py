@@ -6,8 +6,10 @@ from pyspark.sql import types as T
 from tests.util import T0, events, ids
 from tidemark.operators.upsert import ingest, upsert_outcome
 from tidemark.schemas import EVENTS
+from tidemark.sources import tables
 from tidemark.sources.events import decode_documents, scan_events, scan_if_present
-from tidemark.sources.tables import create_if_absent, upsert_into, write_by_day
+from tidemark.sources.files import child_names
+from tidemark.sources.tables import create_if_absent, load_events, upsert_into, write_by_day
 
 DAY = 86_400
 
@@ -87,3 +89,65 @@ def test_ingest_fills_in_and_repeats(spark):
     assert {(r.doc_id, r.data) for r in ingest(given, at).collect()} == {("mine", "body")}
     stamped = ingest(raw).select((F.abs(F.unix_seconds(F.current_timestamp()) - F.unix_seconds("timestamp")) < 60).alias("near"))
     assert all(r.near for r in stamped.collect())
+
+
+def _table(spark, path):
+    return sorted((r.doc_id, r.event_type) for r in spark.read.parquet(path).collect())
+
+
+def test_an_upsert_opens_only_the_days_it_hits(spark, folder):
+    day = 86_400
+    path = folder + "/t"
+    load_events(spark, path, events(spark, [(f"e{d}_{i}", d * day + i) for d in range(8) for i in range(5)]))
+    moved = events(spark, [("e2_1", 5 * day, "moved"), ("new", 5 * day + 1, "new"), ("e2_3", 2 * day + 9, "again")])
+    assert sorted(str(d) for d in upsert_into(spark, path, moved)) == ["2024-01-03", "2024-01-06"]
+    # once more: by the index e2_1 may still be in its old day
+    assert sorted(str(d) for d in upsert_into(spark, path, moved.filter("doc_id = 'e2_1'"))) == ["2024-01-03", "2024-01-06"]
+    got = dict(_table(spark, path))
+    assert len(_table(spark, path)) == len(got) == 41 and (got["e2_1"], got["new"], got["e2_3"]) == ("moved", "new", "again")
+
+
+def test_an_upsert_that_ends_in_between_is_finished_by_the_next_reader(spark, folder, monkeypatch):
+    path, day = folder + "/t", 86_400
+    load_events(spark, path, events(spark, [("a", 0), ("b", day), ("c", 2 * day)]))
+
+    def one_move_only(spark, told):
+        tables.move_once(spark, *told["moves"][0])
+        raise RuntimeError("ended")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_apply", one_move_only)
+        with pytest.raises(RuntimeError, match="ended"):
+            upsert_into(spark, path, events(spark, [("a", day, "moved"), ("c", 0, "moved")]))
+    read = scan_if_present(spark, path)
+    assert sorted((r.doc_id, r.event_type) for r in read.collect()) == [("a", "moved"), ("b", "view"), ("c", "moved")]
+    assert not [n for n in child_names(spark, path) if n.startswith("_staged")]
+
+
+def test_an_upsert_that_another_overtook_starts_again(spark, folder, monkeypatch):
+    path = folder + "/t"
+    load_events(spark, path, events(spark, [("a", 0)]))
+    real, meddled = tables.create_with, []
+
+    def meddling(spark, target, text):
+        if not meddled:
+            meddled.append(True)
+            upsert_into(spark, path, events(spark, [("b", 1)]))
+        return real(spark, target, text)
+
+    monkeypatch.setattr(tables, "create_with", meddling)
+    upsert_into(spark, path, events(spark, [("c", 2), ("a", 3, "new")]))
+    assert _table(spark, path) == [("a", "new"), ("b", "view"), ("c", "view")]
+
+
+def test_loads_keep_one_row_an_id(spark, folder):
+    """Also within one load, in the first one, and with equal times; a table written without an index gets one."""
+    path = folder + "/t"
+    rows = [("e1", 0, "x"), ("e1", 5, "y"), ("e1", 5, "z"), ("e2", 1, "x"), ("e2", 1, "x")]
+    for _ in range(2):
+        load_events(spark, path, events(spark, rows))
+        assert _table(spark, path) == [("e1", "z"), ("e2", "x")]
+    other = folder + "/plain"
+    write_by_day(events(spark, [("a", 0), ("b", 86_400)]), other)
+    upsert_into(spark, other, events(spark, [("b", 0, "moved")]))
+    assert _table(spark, other) == [("a", "view"), ("b", "moved")]

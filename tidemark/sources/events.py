@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.schemas import EVENTS
 from tidemark.sources.files import exists
+from tidemark.sources.tables import recover
 
 
 def scan_events(spark: SparkSession, path: str, schema=EVENTS, fmt="parquet", **options) -> DataFrame:
@@ -16,6 +17,7 @@ def scan_if_present(spark: SparkSession, path: str, schema=EVENTS, fmt="parquet"
     """As :func:`scan_events`; a table that is not there yet is empty. Other errors are raised."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    recover(spark, path)
     return scan_events(spark, path, schema, fmt, **options)
 
 
