@@ -7,7 +7,8 @@ from tests.util import T0, events, ids
 from tidemark.operators.upsert import ingest, upsert_outcome
 from tidemark.schemas import EVENTS
 from tidemark.sources import tables
-from tidemark.sources.events import decode_documents, scan_events, scan_if_present
+from tidemark.sources.events import decode_documents, decode_or_set_aside, scan_events, scan_if_present
+from tidemark.sources.sequence import Sequence, numbered
 from tidemark.sources.files import child_names
 from tidemark.sources.tables import create_if_absent, load_events, upsert_into, write_by_day
 
@@ -151,3 +152,51 @@ def test_loads_keep_one_row_an_id(spark, folder):
     write_by_day(events(spark, [("a", 0), ("b", 86_400)]), other)
     upsert_into(spark, other, events(spark, [("b", 0, "moved")]))
     assert _table(spark, other) == [("a", "view"), ("b", "moved")]
+
+
+def test_every_document_is_decoded_or_set_aside_with_a_reason(spark):
+    bodies = {
+        1: '{"doc_id": "a", "timestamp": "2024-01-01T00:00:00Z", "colour": "red", "deep": {"x": [1, 2]}}',
+        2: None, 3: "", 4: "{oops", 5: "[1, 2]", 6: '"text"', 7: "{}", 8: '{"doc_id": null, "data": "d"}',
+        9: '{"doc_id": "b", "timestamp": "yesterday"}', 10: '{"doc_id": 7, "data": null}', 11: "null",
+    }
+    docs = spark.createDataFrame(list(bodies.items()), "offset int, body string")
+    accepted, aside = decode_or_set_aside(docs)
+    got = {r.offset: r for r in accepted.collect()}
+    assert sorted(got) == [1, 10] and got[10].doc_id == "7" and got[10].data is None and got[10].unknown == {}
+    assert got[1].unknown == {"colour": "red", "deep": '{"x":[1,2]}'} and got[1].timestamp is not None
+    why = {r.offset: r.reason for r in aside.collect()}
+    assert why == {
+        2: "missing body", 3: "malformed body", 4: "malformed body", 5: "body is no object", 6: "body is no object",
+        7: "no value of a required field", 8: "no value of a required field", 9: "field not of its type: timestamp",
+        11: "body is no object",
+    }
+    assert len(got) + len(why) == len(bodies)
+    assert decode_or_set_aside(docs.limit(0))[0].count() == 0
+
+
+def test_loads_number_their_rows_without_gaps(spark, folder):
+    def load(token, rows):
+        df = numbered(events(spark, rows), Sequence(spark, folder + "/seq"), token)
+        return [(r.seq, r.doc_id) for r in df.select("seq", "doc_id").orderBy("seq").collect()]
+
+    assert load("one", [("b", 2), ("a", 1), ("c", 2)]) == [(0, "a"), (1, "b"), (2, "c")]
+    assert load("none", []) == []
+    assert load("two", [("d", 0)]) == [(3, "d")]
+    # a load that is repeated keeps its numbers
+    assert load("one", [("c", 2), ("a", 1), ("b", 2)]) == [(0, "a"), (1, "b"), (2, "c")]
+    with pytest.raises(ValueError, match="claimed 3"):
+        load("one", [("a", 1)])
+    assert Sequence(spark, folder + "/seq").next() == 4
+
+
+def test_claims_at_once_are_distinct_and_gapless(spark, folder):
+    import threading
+
+    got = []
+    work = lambda n: got.append((Sequence(spark, folder).claim(n, f"load-{n}"), n))
+    threads = [threading.Thread(target=work, args=(n,)) for n in range(1, 13)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    taken = sorted(x for first, n in got for x in range(first, first + n))
+    assert len(got) == 12 and taken == list(range(sum(range(1, 13))))

@@ -8,7 +8,8 @@ from tidemark.catalog.registry import query
 from tidemark.consumer import Consumer
 from tidemark.operators.dedup import drop_seen
 from tidemark.plans.workspace import fresh_path
-from tidemark.sources.events import stream_events
+from tidemark.sources.events import decode_or_set_aside, stream_events
+from tidemark.sources.sequence import Sequence, numbered
 from tidemark.sources.store import OffsetStore
 from tidemark.sources.tables import load_events
 from tidemark.streaming.cadence import commit_points
@@ -195,3 +196,41 @@ def drop_seen_bucketed(spark, sf_dir):
     store.compact("c0", "events")
     batch = events.filter(F.col("ts") >= at(BOUND))
     return drop_seen(batch, store.handled_by("c0", "events", batch), ["doc_id"]).select("event_id")
+
+
+@query(
+    f"""SELECT event_id, (row_number() OVER (ORDER BY ts >= TIMESTAMP '{BOUND}', ts, doc_id) - 1)::BIGINT AS seq FROM ev""",
+    EV_SQL,
+)
+def sequence_numbers(spark, sf_dir):
+    """Two loads number their events one after the other; the first is repeated under its token."""
+    sequence, events = Sequence(spark, fresh_path(spark, "sequence")), ev(spark, sf_dir)
+    first, second = events.filter(F.col("ts") < at(BOUND)), events.filter(F.col("ts") >= at(BOUND))
+    for _ in range(2):
+        one = numbered(first, sequence, "first", ("ts", "doc_id"))
+    two = numbered(second, sequence, "second", ("ts", "doc_id"))
+    return one.unionByName(two).select("event_id", "seq")
+
+
+@query(
+    """SELECT CASE WHEN value < 10 THEN 'malformed body' WHEN value < 20 THEN 'no value of a required field'
+                   WHEN value < 30 THEN 'field not of its type: timestamp' END AS reason, count(*)::BIGINT AS n,
+              (sum(CASE WHEN value >= 30 THEN user_id END))::BIGINT AS unknown_sum
+       FROM ev GROUP BY 1""",
+    EV_SQL,
+)
+def set_aside_documents(spark, sf_dir):
+    """Bodies cut short, without an id, with a time that is none, and whole ones with a field that no schema names."""
+    value, field = F.col("value"), lambda name, v: F.concat(F.lit(f'"{name}":"'), v, F.lit('"'))
+    doc_id, user = field("doc_id", F.col("doc_id")), field("shard", F.col("user_id").cast("string"))
+    good = field("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    body = (
+        F.when(value < 10, F.concat(F.lit("{"), doc_id))
+        .when(value < 20, F.concat(F.lit("{"), user, F.lit("}")))
+        .when(value < 30, F.concat(F.lit("{"), doc_id, F.lit(","), field("timestamp", F.lit("soon")), F.lit("}")))
+        .otherwise(F.concat_ws(",", F.concat(F.lit("{"), doc_id), good, F.concat(user, F.lit("}"))))
+    )
+    accepted, aside = decode_or_set_aside(ev(spark, sf_dir).select("event_id", body.alias("body")))
+    kept = accepted.select(F.lit(None).cast("string").alias("reason"), F.col("unknown")["shard"].cast("long").alias("shard"))
+    both = kept.unionByName(aside.select("reason", F.lit(None).cast("long").alias("shard")))
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("shard").alias("unknown_sum"))

@@ -38,3 +38,43 @@ def decode_documents(documents: DataFrame, schema=EVENTS, body="body", required=
     parsed = documents.withColumn("_source", F.from_json(body, schema))
     kept = parsed.filter(F.col("_source").isNotNull() & F.col(f"_source.{required}").isNotNull())
     return kept.select(*others, "_source.*")
+
+
+# Why a document is set aside.
+MISSING, MALFORMED, NOT_AN_OBJECT, NO_ID = "missing body", "malformed body", "body is no object", "no value of a required field"
+NOT_OF_TYPE = "field not of its type: "
+
+
+def _judged(documents: DataFrame, schema, body, required) -> DataFrame:
+    """``documents`` with the parsed body (``_body``, a variant) and why the document is set aside (``_reason``, null if not)."""
+    parsed = documents.withColumn("_body", F.try_parse_json(F.col(body)))
+    value = {f.name: F.try_variant_get("_body", f"$.{f.name}", f.dataType.simpleString()) for f in schema.fields}
+    raw = {f.name: F.try_variant_get("_body", f"$.{f.name}", "string") for f in schema.fields}
+    # A field that is there, is not null, and cannot be read as its type.
+    wrong = [F.when(value[n].isNull() & raw[n].isNotNull(), F.lit(n)) for n in value]
+    reason = (
+        F.when(F.col(body).isNull(), MISSING)
+        .when(F.col("_body").isNull(), MALFORMED)
+        .when(~F.schema_of_variant("_body").startswith("OBJECT"), NOT_AN_OBJECT)
+        .when(raw[required].isNull(), NO_ID)
+        .when(F.coalesce(*wrong).isNotNull(), F.concat(F.lit(NOT_OF_TYPE), F.coalesce(*wrong)))
+    )
+    return parsed.withColumn("_reason", reason)
+
+
+def decode_or_set_aside(documents: DataFrame, schema=EVENTS, body="body", required="doc_id", unknown="unknown"):
+    """(accepted, set aside): every document is in exactly one of the two.
+
+    Accepted: the declared columns, and ``unknown``, a map of the fields that the schema does not name, as JSON text, so
+    that what a newer sender adds is kept. Set aside: the document as it came, and ``reason``. Null fields are null columns,
+    absent ones too. Columns of ``documents`` other than the body pass through.
+    """
+    others = [c for c in documents.columns if c != body]
+    judged = _judged(documents, schema, body, required)
+    names = F.array(*[F.lit(f.name) for f in schema.fields])
+    fields = F.from_json(F.col(body), "map<string,string>")
+    typed = [F.try_variant_get("_body", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema.fields]
+    accepted = judged.filter("_reason IS NULL").select(
+        *others, *typed, F.map_filter(fields, lambda k, _: ~F.array_contains(names, k)).alias(unknown)
+    )
+    return accepted, judged.filter("_reason IS NOT NULL").select(*documents.columns, F.col("_reason").alias("reason"))
