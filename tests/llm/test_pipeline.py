@@ -76,6 +76,18 @@ def test_copies_without_ids_and_empty_tables(spark, docs_of):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
+def test_one_document_stays_of_a_group_without_ids_or_under_one_id(spark, docs_of):
+    base = [f"w{i}" for i in range(80)]
+    near_texts = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (0, 1, 79)]
+    rows = [(None, t) for t in near_texts] + [(9, "x " + t.upper().replace("W", "v")) for t in near_texts] + [(None, ""), (4, "alone " * 3)]
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs_of(rows), SF).collect()]
+    assert len([x for x in left if x[0] is None and x[1]]) == 1 and len([x for x in left if x[0] == 9]) == 1
+    assert (None, "") in left and len(left) == 4
+    # a member with an id is preferred to one without
+    mixed = corpus_pipeline.drop_copies(spark, docs_of([(None, near_texts[0]), (12, near_texts[1]), (11, near_texts[2])]), SF)
+    assert [r.doc_id for r in mixed.collect()] == [11]
+
+
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("op")))
 def test_queries_run_over_the_smallest_tables(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

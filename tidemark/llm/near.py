@@ -211,7 +211,8 @@ def _unlike(pairs: DataFrame, similarity: int) -> DataFrame:
 
 
 def link_groups(docs: DataFrame, doc_id="doc_id", text="text", width: int = 5, similarity: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_hash), one row for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, text_hash, root), one row for each row of ``docs``. ``root`` names the
+    component, also where no row of it has an id; null for a text without words.
 
     Texts are linked if 100 * intersection >= ``similarity`` * union of their sets of ``width``-word shingles
     (A-Z folded); component_id is the smallest id that links reach, kept says whether it is the row's own.
@@ -276,4 +277,4 @@ def link_groups(docs: DataFrame, doc_id="doc_id", text="text", width: int = 5, s
     first = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("smallest"))
     named = placed.join(first, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest")))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    return named.select("doc_id", "n_shingles", "component_id", kept, "text_hash")
+    return named.select("doc_id", "n_shingles", "component_id", kept, "text_hash", "root")

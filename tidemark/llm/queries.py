@@ -106,7 +106,7 @@ def op7_mixing(spark, sf_dir):
 
 @query()
 def op8_near_dedup(spark, sf_dir):
-    return near.link_groups(table(spark, sf_dir, "documents"), width=2, similarity=80).drop("text_hash")
+    return near.link_groups(table(spark, sf_dir, "documents"), width=2, similarity=80).drop("text_hash", "root")
 
 
 @query()
