@@ -24,13 +24,18 @@ def drop_boilerplate(spark, docs, sf_dir):
 
 
 def drop_copies(spark, docs, sf_dir):
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest id stays; rows that
-    repeat an id and its text count once. Documents without a word stay."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) one document stays: the smallest id, then
+    the smallest text hash, so that one stays also where ids are missing or repeated. Rows that repeat an id and its text
+    count once. Documents without a word stay."""
     groups = near.link_groups(docs, width=5, similarity=80)
     at, text_hash = free_name(docs, "_at"), free_name(docs, "_text_hash")
-    # No id is the least long, so that null ids meet as well.
+    # No id is the least long, so that null ids meet as well; among the members of a group it comes last.
     never = F.lit(-(1 << 63))
-    stay = groups.filter("kept").select(F.coalesce("doc_id", never).alias(at), F.col("text_hash").alias(text_hash)).distinct()
+    key = F.coalesce("doc_id", never).alias(at), F.col("text_hash").alias(text_hash)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = groups.filter("root IS NOT NULL").groupBy("root").agg(F.min_by(F.struct(*key), order).alias("first"))
+    wordless = groups.filter("root IS NULL").select(*key)
+    stay = first.select("first.*").unionByName(wordless).distinct()
     keyed = docs.withColumns({at: F.coalesce(F.col("doc_id").cast("long"), never), text_hash: F.xxhash64(text_of())})
     return keyed.join(stay, [at, text_hash], "left_semi").dropDuplicates([at, text_hash]).select(*docs.columns)
 
