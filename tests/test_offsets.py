@@ -1,4 +1,7 @@
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tests.util import T0, events
@@ -130,3 +133,29 @@ def test_table_stats(spark, folder):
 def test_no_failure_keeps_everything(spark, ok):
     rows = owned(spark, [("1", 1), ("2", 2)])
     assert failures.prefix_before_failure(rows, F.lit(ok)).count() == 2
+
+
+def test_sketches_of_commit_gaps_merge_and_keep_their_error(spark):
+    """A skewed spread of gaps in five parts that share their border commits, against the exact ranks."""
+    import random
+
+    dice, us, rows = random.Random(4), 0, []
+    for number in range(6000):
+        us += int(dice.expovariate(1) ** 3 * 1_000_000)
+        rows.append(("hot", "events", number, us))
+    rows += [("once", "events", 0, 5), (None, "events", 0, 10), (None, "events", 1, 40), ("gone", "events", 0, None)]
+    log = spark.createDataFrame(rows, "consumer_id string, index_name string, commit_seq long, us long").withColumn("last_updated", F.timestamp_micros("us"))
+    cuts = range(0, 6001, 1200)
+    parts = [reports.gap_sketches(log.filter(F.col("commit_seq").between(max(0, lo - 1), hi - 1))) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    merged = reports.merged_gap_sketches(reduce(DataFrame.unionByName, parts))
+    shares = (0.01, 0.25, 0.5, 0.9, 0.99)
+    got = {r.consumer_id: r for r in merged.select("consumer_id", "gaps", "longest_us", *[reports.gap_quantile(q).alias(f"q{q}") for q in shares]).collect()}
+    assert set(got) == {"hot", None} and (got[None].gaps, got[None].longest_us) == (1, 30)
+    times = [r[3] for r in rows[:6000]]
+    gaps = sorted(b - a for a, b in zip(times, times[1:], strict=False))
+    assert (got["hot"].gaps, got["hot"].longest_us) == (5999, gaps[-1])
+    for q in shares:
+        value = got["hot"][f"q{q}"]
+        low, high = sum(g < value for g in gaps) / len(gaps), sum(g <= value for g in gaps) / len(gaps)
+        assert low - reports.GAP_RANK_ERROR <= q <= high + reports.GAP_RANK_ERROR, q
+    assert reports.gap_sketches(log.limit(0)).count() == 0

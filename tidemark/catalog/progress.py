@@ -594,3 +594,36 @@ def resume_batch_then_stream(spark, sf_dir):
     return (
         written[0].unionByName(written[1]).groupBy(F.col("doc_id").cast("long").alias("event_id")).agg(F.count(F.lit(1)).alias("times"))
     )
+
+
+@query(
+    """SELECT consumer_id, index_name, count(*) AS gaps, max(gap) AS longest_us, true AS median_holds, true AS tail_holds
+       FROM (SELECT consumer_id, index_name,
+                    epoch_us(last_ts) - lag(epoch_us(last_ts)) OVER (PARTITION BY consumer_id, index_name ORDER BY last_ts, commit_seq) AS gap
+             FROM log)
+       WHERE gap IS NOT NULL GROUP BY 1, 2""",
+    EV_SQL,
+    LOG_SQL,
+)
+def commit_gap_quantiles(spark, sf_dir):
+    """Sketches of two halves of the log, merged: the median and the 95th percentile lie where the exact ranks say, within
+    the error that the sketch states."""
+    commits = log(ev(spark, sf_dir))
+    cut = at(COMMITS_UNTIL)
+    # The later half begins with each key's last commit of the earlier one.
+    last = commits.filter(F.col("last_ts") < cut).groupBy(*OWNER).agg(F.max_by(F.struct("last_ts", "commit_seq"), F.struct("last_ts", "commit_seq")).alias("x"))
+    halves = (
+        commits.filter(F.col("last_ts") < cut).select(*OWNER, "last_ts", "commit_seq"),
+        commits.filter(F.col("last_ts") >= cut).select(*OWNER, "last_ts", "commit_seq").unionByName(last.select(*OWNER, "x.*")),
+    )
+    parts = [reports.gap_sketches(half, "last_ts") for half in halves]
+    merged = reports.merged_gap_sketches(parts[0].unionByName(parts[1]))
+    told = merged.withColumns({"median": reports.gap_quantile(0.5), "tail": reports.gap_quantile(0.95)}).drop("sketch")
+    gaps = reports.commit_gaps(commits, "last_ts").join(told, list(OWNER))
+    below = lambda c: F.avg((F.col("gap_us") < F.col(c)).cast("double"))
+    upto = lambda c: F.avg((F.col("gap_us") <= F.col(c)).cast("double"))
+    holds = lambda c, q: (below(c) <= q + reports.GAP_RANK_ERROR) & (upto(c) >= q - reports.GAP_RANK_ERROR)
+    return gaps.groupBy(*OWNER).agg(
+        F.max("gaps").alias("gaps"), F.max("longest_us").alias("longest_us"), holds("median", 0.5).alias("median_holds"), holds("tail", 0.95).alias("tail_holds")
+    )
+

@@ -18,11 +18,16 @@ from tidemark.operators.marks import (
 )
 from tidemark.operators.offsets import latest_offsets
 from tidemark.plans.joins import attach_per_key
-from tidemark.plans.positions import events_up_to
+from tidemark.plans.positions import events_up_to, with_running_max
 from tidemark.plans.workspace import settle
 from tidemark.schemas import CONSUMER_KEY, EVENT_ORDER
 
 
+# Size of a sketch of commit gaps, and the error in rank that this size keeps.
+GAP_K = 800
+GAP_RANK_ERROR = 0.01
+
+
 def session_totals(ledger: DataFrame, session_start, keys=("consumer_id",), seq="commit_seq") -> DataFrame:
     """Events handled since the session began, and ever."""
     return ledger.groupBy(*keys).agg(
@@ -131,6 +136,40 @@ def commit_frequency(log: DataFrame, at="last_updated", keys=CONSUMER_KEY, seq="
     )
 
 
+def commit_gaps(log: DataFrame, at="last_updated", keys=CONSUMER_KEY, seq="commit_seq") -> DataFrame:
+    """(keys, gap_us): for every commit but a key's first, the time since the one before it, in order of time.
+
+    Running maxima over ranges, so a consumer with very many commits is no single task. Commits without a time are left out.
+    """
+    rows = log.select(*keys, micros(F.col(at)).alias("_us"), seq).filter("_us IS NOT NULL")
+    before = with_running_max(rows, keys, ["_us", seq], "_us", "_before").filter("_before IS NOT NULL")
+    return before.select(*keys, (F.col("_us") - F.col("_before")).alias("gap_us"))
+
+
+def gap_sketches(log: DataFrame, at="last_updated", keys=CONSUMER_KEY, seq="commit_seq", k: int = GAP_K) -> DataFrame:
+    """(keys, gaps, longest_us, sketch): per key a quantile sketch of its commit gaps, a few kilobytes however many there are.
+
+    Sketches of parts of a log merge (:func:`merged_gap_sketches`), so what has been sketched need not be read again. A part
+    that begins with the last commit of the part before it holds the gap between them, and no gap is counted twice.
+    """
+    gaps = commit_gaps(log, at, keys, seq).groupBy(*keys)
+    return gaps.agg(
+        F.count(F.lit(1)).alias("gaps"), F.max("gap_us").alias("longest_us"), F.kll_sketch_agg_bigint("gap_us", F.lit(k)).alias("sketch")
+    )
+
+
+def merged_gap_sketches(parts: DataFrame, keys=CONSUMER_KEY) -> DataFrame:
+    """One sketch a key of the rows of any number of :func:`gap_sketches`."""
+    return parts.groupBy(*keys).agg(
+        F.sum("gaps").alias("gaps"), F.max("longest_us").alias("longest_us"), F.kll_merge_agg_bigint("sketch").alias("sketch")
+    )
+
+
+def gap_quantile(share: float, sketch="sketch"):
+    """The gap (microseconds) that ``share`` of the gaps do not exceed; off by less than GAP_RANK_ERROR of all gaps in rank."""
+    return F.kll_sketch_get_quantile_bigint(sketch, F.lit(float(share)))
+
+
 def table_stats(table: DataFrame) -> DataFrame:
     """Rows and stored bytes of a file-backed table."""
     files = table.groupBy(F.col("_metadata.file_path").alias("path")).agg(
