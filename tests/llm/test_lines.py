@@ -10,7 +10,7 @@ def expected(rows, min_sites):
     for doc, text, site in rows:
         for line in (text or "").split("\n"):
             t = line.strip(" \t\n\x0b\x0c\r")
-            if len(t.split()) >= lines.MIN_WORDS:
+            if t:
                 spread.setdefault(t, set()).add(site)
                 first[t] = min(first.get(t, doc), doc)
     gone = {t for t, s in spread.items() if len(s - {None}) >= min_sites}
@@ -53,3 +53,12 @@ def test_nulls_blank_lines_repeats_and_clashing_names(docs_of):
 def test_a_line_that_only_rows_without_an_id_carry_stays(docs_of):
     got = lines.dedup_lines(docs_of([(None, "one two three", f"s{i}") for i in range(12)]))
     assert {r.text for r in got.collect()} == {"one two three"}
+
+
+def test_lines_of_one_word_and_without_spaces_are_judged_like_others(docs_of):
+    """One word, a script that writes no spaces, and a line of a million characters."""
+    short, unspaced, long = "Les.", "\u7248\u6743\u6240\u6709", "x" * 1_000_000
+    rows = [(i, f"{short}\nown {i}\n{unspaced}" + (f"\n{long}" if i < 3 else ""), f"s{i}") for i in range(12)]
+    got = {r.doc_id: r for r in lines.dedup_lines(docs_of(rows)).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_removed == 0
+    assert all(got[i].text == f"own {i}" + (f"\n{long}" if i < 3 else "") and got[i].n_removed == 2 for i in range(1, 12))

@@ -12,8 +12,6 @@ from tidemark.llm.common import SPACES, free_name, text_of, words
 from tidemark.plans.workspace import settle
 
 MIN_SITES = 10
-# The query, its SQL and its tests leave lines of fewer words out; the pipeline judges every line with a word.
-MIN_WORDS = 3
 LG_K = 12
 # Relative error at 2**12 registers is under 2 %; outside this band the estimate decides.
 BAND = 0.15
@@ -54,11 +52,11 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, doc_id="doc_id", text="text", site="source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS
+    docs: DataFrame, doc_id="doc_id", text="text", site="source", min_sites: int = MIN_SITES, min_words: int = 1
 ) -> DataFrame:
     """``docs`` without boilerplate lines, plus n_lines and n_removed (lines with a word).
 
-    Boilerplate: lines of ``min_words`` or more words, compared without surrounding white space, on at least
+    Boilerplate: lines with a word (or with ``min_words`` of them), compared without surrounding white space, on at least
     ``min_sites`` distinct sites. The document with the smallest id that carries such a line keeps it, so
     no text leaves the corpus; every other document loses it. Other lines stay byte for byte.
 

@@ -64,7 +64,7 @@ WITH l AS (
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
 b AS (
   SELECT t, min(doc_id) AS first_doc FROM l
-  WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= {lines.MIN_WORDS}
+  WHERE t <> ''
   GROUP BY t HAVING count(DISTINCT source) >= {lines.MIN_SITES}),
 m AS (
   SELECT l.*, b.first_doc IS NOT NULL AND b.first_doc <> l.doc_id AS gone FROM l LEFT JOIN b ON l.t = b.t)
