@@ -262,7 +262,7 @@ def link_groups(docs: DataFrame, doc_id="doc_id", text="text", width: int = 5, s
     open_rows = settle(grouped.join(several, "band").select("band", "node", "n", "root"), "open")
     # A pair comes out of the first band only that both have, not of each of up to BANDS.
     bands_of = open_rows.groupBy("node").agg(F.sort_array(F.collect_set("band")).alias("all_bands"))
-    bounded = settle(_with_bounds(open_rows.join(bands_of, "node"), texts, width), "bounded")
+    bounded = settle(_with_bounds(open_rows, texts, width).join(bands_of, "node"), "bounded")
     columns = ("node", "n", "root", "sole", "bits", "outside", "far", "hidden", "all_bands")
     side = lambda k: bounded.select("band", *[F.col(c).alias(f"{c}_{k}") for c in columns])
     first_band = F.array_min(F.array_intersect("all_bands_a", "all_bands_b")) == F.col("band")
