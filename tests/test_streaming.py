@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.util import T0, events, ids
 from tidemark import OffsetStore
 from tidemark.schemas import EVENTS
+from tidemark.sources import files
 from tidemark.sources.events import stream_events
 from tidemark.sources.tables import create_if_absent
 from tidemark.streaming.pipeline import EPOCH_SPAN, EventPipeline, ProgressMarks, dedup_stream, run_to_end, with_backoff
@@ -212,6 +213,54 @@ def test_row_exact_batches_in_order_and_the_same_after_a_failure(spark, folder,
     assert [r.total_processed for r in store.log().orderBy("commit_seq").collect()] == [5, 10, 15, 20, 23]
 
 
+@pytest.mark.parametrize("process", [False, True])
+def test_what_row_exact_parts_write_takes_no_job_for_each_of_them(spark, folder, process):
+    """One file in 3 parts, one in 30: the same jobs, but for the one that a ``process`` needs for each part."""
+    add_file(spark, folder + "/in", [(f"a{i:02d}", i) for i in range(6)])
+    seen = {"process": lambda df: df.withColumn("seen", F.lit(df.count()))} if process else {}
+    store, run = pipeline(spark, folder, batch_rows=2, **seen)
+    jobs = []
+    for _ in range(2):
+        query = run.start(source(spark, folder)())
+        query.awaitTermination()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))))
+        add_file(spark, folder + "/in", [(f"b{i:02d}", 100 + i) for i in range(60)])
+    assert jobs[1] <= jobs[0] + 8 if not process else jobs[1] <= jobs[0] + 8 + 27 * 4
+    sink = spark.read.parquet(folder + "/sink").groupBy("batch_id").count().collect()
+    assert sorted((r.batch_id, r["count"]) for r in sink) == [(i, 2) for i in range(33)]
+    log = store.log().orderBy("commit_seq").collect()
+    assert [(r.commit_seq, r.total_processed) for r in log] == [(i, 2 * i + 2) for i in range(33)]
+    assert [r.last_processed_doc_id for r in log][:4] == ["a01", "a03", "a05", "b01"]
+    assert store.ledger().filter("commit_seq = 3").select("doc_id").distinct().count() == 2
+    if process:
+        assert {r.seen for r in spark.read.parquet(folder + "/sink").collect()} == {2}
+
+
+def test_a_seek_between_parts_that_are_written_already(spark, folder):
+    """Six events in parts of two; after the first part a seek to the second event."""
+    add_file(spark, folder + "/in", [(f"e{i}", i) for i in range(6)])
+
+    class Seeks(EventPipeline):
+        parts = 0
+
+        def after_sink(self, batch_id):
+            self.parts += 1
+            if self.parts == 2:
+                self.store.seek("c", "events", T0 + 1_000_000)
+
+    store, run = pipeline(spark, folder, Seeks, batch_rows=2)
+    assert run.run(source(spark, folder), wait=0) == 0
+    assert sorted(ids(spark.read.parquet(folder + "/sink"))) == ["e0", "e1", "e2", "e3", "e4", "e5"]
+    assert store.load("c", "events").total == 6 and store.load("c", "events").epoch == 1
+
+
+def test_names_in_a_folder(spark, folder):
+    names = ["a b", "c, d]", "{e}=1", "f,g"]
+    for name in names:
+        files.make(spark, f"{folder}/{name}")
+    assert sorted(files.child_names(spark, folder)) == sorted(names) and files.child_names(spark, f"{folder}/f,g") == []
+
+
 def test_dedup_needs_no_more_than_the_key(spark, folder):
     add_file(spark, folder + "/in", [("a", 0), ("a", 1)])
     stream = dedup_stream(stream_events(spark, folder + "/in", EVENTS), "1 hour")

@@ -277,26 +277,36 @@ class OffsetStore:
 
     def has_step(self, consumer_id: str, index_name: str, writer: str, step: int) -> bool:
         """Whether this step of a writer has been committed."""
+        return self.last_step(consumer_id, index_name, writer) >= step
+
+    def last_step(self, consumer_id: str, index_name: str, writer: str) -> int:
+        """The newest step that a writer has committed; below all numbers if none."""
         self._repair(consumer_id, index_name)
-        return self._stepped(self._writer(consumer_id, index_name, writer), step)
+        return max(self._numbers(self._writer(consumer_id, index_name, writer), "step"), default=-1)
 
     def publish(
-        self, consumer_id, index_name, before: Position, after: Position, token: str | None = None, moves=(), step=None, deleted=False, updated=None
-    ) -> bool:
+        self, consumer_id, index_name, before: Position, after: Position, token: str | None = None, moves=(), step=None, deleted=False, updated=None,
+        record: str | None = None,
+    ) -> bool:
         """Make ``after`` the record that follows ``before``, unless another writer was faster; then False.
 
         All that belongs to the commit has been written aside. What decides is one file, named after the commit it
         follows and created only if it does not exist: of any number of writers that build on one commit, one wins. Its
         content says what to move where (``moves``: pairs of paths), so that any later reader can finish it. The same
-        ``token`` wins again. ``step``: (writer, number), noted as done with the commit.
+        ``token`` wins again. ``step``: (writer, number), noted as done with the commit. ``record``: where
+        :meth:`stage_records` has written the record already.
         """
-        token = token or uuid.uuid4().hex
-        heads = self._numbers(self._folder("heads", consumer_id, index_name), "after")
-        if max(heads, default=-2) >= before.commit_seq:  # someone has built on it already
-            return self._holds(consumer_id, index_name, before, token)
-        record = self.attempt_path(OFFSET_TABLE, consumer_id, index_name, token)
-        self._record(after, updated, deleted).write.mode("overwrite").parquet(record)
-        target = f"{self._folder(OFFSET_TABLE, consumer_id, index_name)}/{_part('commit_seq', after.commit_seq)}"
+        token, offsets = token or uuid.uuid4().hex, self._folder(OFFSET_TABLE, consumer_id, index_name)
+        # Compaction removes the record of a commit before the head that follows it: while the record is there, creating
+        # the head tells whether someone has built on it, and not all heads need be listed.
+        if record is None or not exists(self.spark, f"{offsets}/{_part('commit_seq', before.commit_seq)}"):
+            heads = self._numbers(self._folder("heads", consumer_id, index_name), "after")
+            if max(heads, default=-2) >= before.commit_seq:  # someone has built on it already
+                return self._holds(consumer_id, index_name, before, token)
+        if record is None:
+            record = self.attempt_path(OFFSET_TABLE, consumer_id, index_name, token)
+            self._record(after, updated, deleted).write.mode("overwrite").parquet(record)
+        target = f"{offsets}/{_part('commit_seq', after.commit_seq)}"
         # The record comes last: once it is in its place, so is all the rest.
         told = {
             "token": token,
@@ -306,8 +316,10 @@ class OffsetStore:
         if create_with(self.spark, self._head(consumer_id, index_name, before.commit_seq), json.dumps(told)):
             self._finish(told)
             return True
-        delete(self.spark, record)
-        return self._holds(consumer_id, index_name, before, token)
+        held = self._holds(consumer_id, index_name, before, token)
+        if not held:
+            delete(self.spark, record)
+        return held
 
     def _holds(self, consumer_id, index_name, before, token) -> bool:
         path = self._head(consumer_id, index_name, before.commit_seq)
@@ -361,9 +373,44 @@ class OffsetStore:
     def stage_handled(self, consumer_id: str, index_name: str, number: int, events: DataFrame, epoch: int, token: str) -> tuple[str, str]:
         """Write the ledger rows of a commit aside; the pair of paths is for :meth:`publish`."""
         path = self.attempt_path("ledger", consumer_id, index_name, token)
+        self._handled(events, epoch).write.mode("overwrite").parquet(path)
+        return path, self.handled_path(consumer_id, index_name, number)
+
+    def stage_handled_parts(self, consumer_id: str, index_name: str, events: DataFrame, epoch: int, token: str, part: str) -> str:
+        """As :meth:`stage_handled`, of many commits at once: one folder for each value of the column ``part``, under the path
+        returned."""
+        path = self.attempt_path("ledger", consumer_id, index_name, token)
+        self._handled(events, epoch, part).write.mode("overwrite").partitionBy(part).parquet(path)
+        return path
+
+    def handled_path(self, consumer_id: str, index_name: str, number: int) -> str:
+        """Where the ledger rows of a commit belong."""
+        return f"{self._folder('ledger', consumer_id, index_name)}/{_part('commit_seq', number)}"
+
+    def _handled(self, events: DataFrame, epoch: int, *more: str) -> DataFrame:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self._inner(LEDGER, "commit_seq").fields]
-        events.select("doc_id", "timestamp", F.lit(epoch).alias("epoch")).select(*columns).write.mode("overwrite").parquet(path)
-        return path, f"{self._folder('ledger', consumer_id, index_name)}/{_part('commit_seq', number)}"
+        return events.select("doc_id", "timestamp", F.lit(epoch).alias("epoch"), *more).select(*columns, *more)
+
+    def stage_records(self, consumer_id: str, index_name: str, positions: list[Position], token: str) -> list[str]:
+        """Write the records of commits that are to follow one another aside, in one job; their paths, for :meth:`publish`."""
+        path = self.attempt_path(OFFSET_TABLE, consumer_id, index_name, token)
+        ddl = "us long, id string, total long, query_start long, epoch long, commit_seq long, floor long"
+        rows = self.spark.createDataFrame([tuple(p) for p in positions], ddl)
+        record = rows.select(
+            F.timestamp_micros("us").alias("last_processed_timestamp"),
+            F.col("id").alias("last_processed_doc_id"),
+            F.current_timestamp().alias("last_updated"),
+            F.col("total").alias("total_processed"),
+            F.timestamp_micros("query_start").alias("query_start_timestamp"),
+            F.timestamp_micros("floor").alias("sought_timestamp"),
+            "epoch",
+            F.lit(False).alias("deleted"),
+            "commit_seq",
+        )
+        types = {f.name: f.dataType for f in OFFSETS.fields}
+        columns = [F.col(c).cast(types[c]).alias(c) for c in record.columns]
+        record.select(*columns).write.mode("overwrite").partitionBy("commit_seq").parquet(path)
+        return [f"{path}/{_part('commit_seq', p.commit_seq)}" for p in positions]
 
     def _move(self, consumer_id: str, index_name: str, change: Callable[[Position], Position], deleted=False) -> Position:
         """Apply ``change`` to the newest record, again and again until no other writer gets in between."""
