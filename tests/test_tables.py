@@ -175,6 +175,18 @@ def test_every_document_is_decoded_or_set_aside_with_a_reason(spark):
     assert decode_or_set_aside(docs.limit(0))[0].count() == 0
 
 
+def test_a_document_is_parsed_once_for_its_reason(spark):
+    rows = [(1, ' {"doc_id": "a"}'), (2, "\n[1]"), (3, '{"doc_id": "b", "timestamp": {}}'), (4, '{"doc_id": [1], "data": {"x": 1}}')]
+    docs = spark.createDataFrame(rows, "offset int, body string")
+    accepted, aside = decode_or_set_aside(docs)
+    for part in (accepted, aside):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert {r.offset: (r.doc_id, r.data) for r in accepted.collect()} == {1: ("a", None), 4: ("[1]", '{"x":1}')}
+    assert {r.offset: r.reason for r in aside.collect()} == {2: "body is no object", 3: "field not of its type: timestamp"}
+    texts = T.StructType([T.StructField("doc_id", T.StringType())])
+    assert [x.count() for x in decode_or_set_aside(docs, texts)] == [3, 1]
+
+
 def test_loads_number_their_rows_without_gaps(spark, folder):
     def load(token, rows):
         df = numbered(events(spark, rows), Sequence(spark, folder + "/seq"), token)

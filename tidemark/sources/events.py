@@ -47,15 +47,20 @@ NOT_OF_TYPE = "field not of its type: "
 
 def _judged(documents: DataFrame, schema, body, required) -> DataFrame:
     """``documents`` with the parsed body (``_body``, a variant) and why the document is set aside (``_reason``, null if not)."""
-    parsed = documents.withColumn("_body", F.try_parse_json(F.col(body)))
+    # From a generator, whose output is worked out once: parsing as a plain column would be put into the filters on the
+    # reason, once for each place that names it, and with it whatever the body is made of.
+    parsed = documents.select("*", F.stack(F.lit(1), F.try_parse_json(F.col(body))).alias("_body"))
     value = {f.name: F.try_variant_get("_body", f"$.{f.name}", f.dataType.simpleString()) for f in schema.fields}
     raw = {f.name: F.try_variant_get("_body", f"$.{f.name}", "string") for f in schema.fields}
-    # A field that is there, is not null, and cannot be read as its type.
-    wrong = [F.when(value[n].isNull() & raw[n].isNotNull(), F.lit(n)) for n in value]
+    # A field that is there, is not null, and cannot be read as its type. What can be read at all can be read as text.
+    typed = [f.name for f in schema.fields if f.dataType.simpleString() != "string"]
+    wrong = [F.when(value[n].isNull() & raw[n].isNotNull(), F.lit(n)) for n in typed] or [F.lit(None).cast("string")]
+    # Only if blanks come before the brace need the schema be worked out.
+    is_object = F.startswith(F.col(body), F.lit("{")) | F.schema_of_variant("_body").startswith("OBJECT")
     reason = (
         F.when(F.col(body).isNull(), MISSING)
         .when(F.col("_body").isNull(), MALFORMED)
-        .when(~F.schema_of_variant("_body").startswith("OBJECT"), NOT_AN_OBJECT)
+        .when(~is_object, NOT_AN_OBJECT)
         .when(raw[required].isNull(), NO_ID)
         .when(F.coalesce(*wrong).isNotNull(), F.concat(F.lit(NOT_OF_TYPE), F.coalesce(*wrong)))
     )
