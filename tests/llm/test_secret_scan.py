@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from tidemark.llm import secret_scan as s
-from tidemark.llm.trigrams import ANY, build_index, trigram_codes, trigram_query
+from tidemark.llm.trigrams import ANY, DOCS, SHARD_BYTES, build_index, trigram_codes, trigram_query
 
 
 def expected(text):
@@ -53,6 +53,18 @@ def test_only_candidates_are_searched(docs_of, folder):
     assert [r.doc_id for r in s.candidates(index).collect()] == [1]
 
 
+def test_shards_are_bounded_in_bytes(docs_of, folder):
+    texts = [None, "", "token=abcdef", "x" * (5 << 20), "y" * (5 << 20), "AKIA" * 8, "z" * (9 << 20), "password: 1234567"]
+    docs = docs_of([(i, t) for i, t in enumerate(texts * 2)]).coalesce(1)
+    index = build_index(docs, folder + "/index")
+    listed = index.filter(F.col("trigram") == DOCS).select("shard", "n_docs", "doc_ids").collect()
+    held = [[int.from_bytes(r.doc_ids[a : a + 8], "little") for a in range(0, len(r.doc_ids), 8)] for r in listed]
+    assert sorted(sum(held, [])) == list(range(16)) and len({r.shard for r in listed}) == len(listed)
+    assert all(len(ids) == 1 or sum(len(texts[i % 8] or "") for i in ids) <= SHARD_BYTES for ids in held)
+    assert all(r.n_docs == len(ids) for r, ids in zip(listed, held))
+    assert sorted(r.doc_id for r in s.candidates(index).collect()) == [2, 5, 7, 10, 13, 15]
+
+
 def test_null_ids_repeats_clashing_names_and_no_rows(docs_of):
     docs = docs_of([(None, "token=abcdef"), (1, "token=abcdef"), (1, "token=abcdef"), (1, "nothing")])
     docs = docs.withColumn("spans", F.lit(1)).withColumn("_mask", F.lit(2)).withColumn("mask", F.lit(3))

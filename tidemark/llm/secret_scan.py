@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _satisfying(query, postings, n):
@@ -54,7 +56,7 @@ def _satisfying(query, postings, n):
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     """(doc_id, mask): bit r is set if the document satisfies the query of rule r. Only postings of the
-    rules' own trigrams are read; a shard's postings meet in one task and are at most a batch long."""
+    rules' own trigrams are read; a shard's postings meet in one task, and a shard is bounded."""
     queries = {r: q for r, rule in enumerate(rules) if (q := trigram_query(rule.pattern)) != ANY}
     wanted = sorted(set().union(*map(trigrams_in, queries.values())))
 
@@ -101,10 +103,12 @@ def scan(docs: DataFrame, rules=RULES, doc_id="doc_id", text="text", index_path:
     every = (1 << len(rules)) - 1
     compiled = [(rule.kind, re.compile(rule.pattern, re.ASCII), rule.group, rule.least) for rule in rules]
 
-    @F.pandas_udf(SPAN)
-    def verified(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    # Arrow arrays, so that one text at a time becomes a Python string.
+    @F.arrow_udf(SPAN)
+    def verified(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, masks in parts:
-            yield pd.Series([find_spans(t, compiled, m) for t, m in zip(texts, masks, strict=True)], dtype=object)
+            found = [find_spans(t.as_py(), compiled, m) for t, m in zip(texts, masks.to_pylist(), strict=True)]
+            yield pa.array(found, type=_SPANS)
 
     bits = F.when(F.col(f"`{doc_id}`").isNull(), every).otherwise(F.coalesce(F.col(mask), F.lit(0)).bitwiseOR(F.lit(always)))
     joined = docs.join(found, F.col(f"`{doc_id}`").cast("long") == F.col(found_id), "left")

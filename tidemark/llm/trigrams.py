@@ -1,8 +1,8 @@
 """A trigram index over documents, and Boolean trigram queries derived from regular expressions.
 
-The index is written once, in shards: one shard per Arrow batch of the scan, holding for each trigram the
-documents of that batch that contain it. No text and no posting is shuffled, and a shard is at most a
-batch long, whatever the corpus. Trigrams are of UTF-8 bytes with A-Z folded to a-z, so one index serves
+The index is written once, in shards: consecutive documents of an Arrow batch of the scan, up to ``SHARD_BYTES``
+of text, with the documents among them that contain each trigram. No text and no posting is shuffled, and a
+shard is bounded in documents and in bytes, whatever the corpus. Trigrams are of UTF-8 bytes with A-Z folded to a-z, so one index serves
 patterns of either case (a superset; candidates are verified).
 """
 
@@ -12,6 +12,7 @@ from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 ANY = ("any",)
 # A pattern part that stands for more strings than this is treated as unknown.
 MAX_STRINGS = 64
+# Text of a shard; a longer document is a shard of its own.
+SHARD_BYTES = 8 << 20
 
 SHARD_DDL = "shard long, trigram int, n_docs int, postings binary, doc_ids binary"
 _SHARD = pa.schema([("shard", pa.int64()), ("trigram", pa.int32()), ("n_docs", pa.int32()), ("postings", pa.binary()), ("doc_ids", pa.binary())])
@@ -155,25 +158,46 @@ def unpack_postings(data: bytes, n: int) -> np.ndarray:
     return bits
 
 
+def _slices(batch):
+    """The batch in runs of rows with up to SHARD_BYTES of text, at least one row each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > start and held + size > SHARD_BYTES:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size
+    if len(sizes) > start:
+        yield batch.slice(start)
+
+
 def _index(batches):
     first = TaskContext.get().partitionId() << 24
-    for shard, batch in enumerate(batches, first):
-        ids, texts = batch.column(0), batch.column(1)
+    slices = (part for batch in batches for part in _slices(batch))
+    for shard, part in enumerate(slices, first):
+        ids, texts = part.column(0), part.column(1)
         pairs = []
         for number, text in enumerate(texts):
             data = (text.as_py() or "").encode()
             if len(data) >= 3:
-                codes = np.unique(trigram_codes(data)).astype(np.uint64)
+                codes = np.unique(trigram_codes(data)).astype("<u8")
                 pairs.append((codes << np.uint64(32)) | np.uint64(number))
-        together = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
-        codes, members = (together >> np.uint64(32)).astype(np.int32), (together & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        together = np.concatenate(pairs) if pairs else np.zeros(0, "<u8")
+        del pairs
+        together.sort()
+        halves = together.view("<u4").reshape(-1, 2)
+        members, codes = halves[:, 0], halves[:, 1]
         n = len(ids)
-        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
         ends = np.append(starts[1:], len(codes))
         listed = ids.to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-        rows = [(shard, int(codes[a]), n, _pack_postings(members[a:b], n), None) for a, b in zip(starts, ends, strict=True)]
-        rows.append((shard, DOCS, n, None, listed))
-        yield pa.RecordBatch.from_pylist([dict(zip(_SHARD.names, r, strict=True)) for r in rows], schema=_SHARD)
+        postings = [_pack_postings(members[a:b], n) for a, b in zip(starts, ends, strict=True)]
+        rest = len(postings)
+        columns = (
+            [shard] * (rest + 1), np.append(codes[starts], DOCS).astype(np.int32), [n] * (rest + 1),
+            [*postings, None], [*[None] * rest, listed],
+        )
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _SHARD, strict=True)], schema=_SHARD)
 
 
 def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
