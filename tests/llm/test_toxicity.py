@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,17 @@ def test_a_rare_language_is_calibrated_on_the_fitted_rows_too(monkeypatch, corpu
 def test_counts_stand_for_repeated_rows():
     scores, labels, counts = np.array([0.9, 0.8, 0.8, 0.2]), np.array([1, 1, 0, 0]), np.array([3, 5, 2, 9])
     assert t.best_threshold(scores, labels, counts) == t.best_threshold(scores.repeat(counts), labels.repeat(counts))
+
+
+def test_a_batch_is_scored_a_few_words_at_a_time(model):
+    texts = [f"abcde fghab {i % 97} you moron " * (1 + i % 25) for i in range(10_000)]
+    batch, tables, buckets = pa.array([*texts, "", "abcde " * 50_000]), model.tables(), t.Buckets()
+    own = sum(x.nbytes for table in tables for x in table)
+    one = [t.scores(model, tables, [buckets.of(x)])[0] for x in ("", texts[0], texts[9_999])]
+    tracemalloc.start()
+    (found,) = t._scorer(model)([batch.slice(0, 10_001)])
+    peak = tracemalloc.get_traced_memory()[1] - own
+    tracemalloc.stop()
+    assert peak < 12e6
+    assert np.allclose([found[10_000].as_py(), found[0].as_py(), found[9_999].as_py()], one, rtol=0, atol=1e-12)
+    assert [len(x) for x in t._scorer(model)([batch, batch.slice(0, 0), batch.slice(10_001)])] == [10_002, 0, 1]

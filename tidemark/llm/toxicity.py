@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,11 +224,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang="
     text_key = F.xxhash64("text").alias("key")
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), text_of(f"`{text}`").alias("text"))
 
-    @F.pandas_udf("binary")
-    def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def ids_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets = Buckets()
         for part in parts:
-            yield pd.Series([ids.tobytes() if len(ids := buckets.of(t)) <= TRAIN_WORDS else None for t in part], dtype=object)
+            yield pa.array([ids.tobytes() if len(ids := buckets.of(t.as_py())) <= TRAIN_WORDS else None for t in part], pa.binary())
 
     # Filtered after it is written, so that the words are hashed once.
     read = settle(rows.join(F.broadcast(known), "id").select("id", "lang", "label", text_key, ids_of("text").alias("ids")), "sample")
@@ -271,33 +271,44 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang="
     return model
 
 
-# Words scored at once: bounds the memory of a task, whatever a batch holds.
-CHUNK_WORDS = 100_000
+# Words scored at once: bounds the memory of a task, whatever a batch holds, but for one text of more words.
+CHUNK_WORDS = 20_000
 
 
-def score(docs: DataFrame, model: Model, text="text", lang="lang") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1), ``threshold`` (that of its language) and ``rejected``.
+def _scorer(model: Model):
+    """Scores of batches of texts. A text is taken out of its Arrow batch only while its words are hashed."""
 
-    The score depends on the text alone. Null or empty text: the score of no words. Null or unknown language:
-    the threshold of all languages. Repeated rows get equal scores. Very long texts are scored whole. Columns
-    of the three names are replaced; others pass through.
-    """
-    kept = [c for c in docs.columns if c.lower() not in ("score", "threshold", "rejected")]
-
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets, tables = Buckets(), model.tables()
         for part in parts:
             out, waiting, words = [], [], 0
             for t in part:
-                waiting.append(buckets.of(t))
+                waiting.append(buckets.of(t.as_py()))
                 words += len(waiting[-1])
                 if words >= CHUNK_WORDS:
                     out.append(scores(model, tables, waiting))
                     waiting, words = [], 0
             if waiting:
                 out.append(scores(model, tables, waiting))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, text="text", lang="lang") -> DataFrame:
+    """``docs`` with ``score`` (0 to 1), ``threshold`` (that of its language) and ``rejected``.
+
+    The score depends on the text alone. Null or empty text: the score of no words. Null or unknown language:
+    the threshold of all languages. Repeated rows get equal scores. Very long texts are scored whole. Columns
+    of the three names are replaced; others pass through.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("score", "threshold", "rejected")]
+
+    run = _scorer(model)
+
+    @F.arrow_udf("double")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(parts)
 
     own = {k: v for k, v in model.thresholds.items() if k is not None}
     limit = F.lit(model.thresholds.get(None, 0.5))
