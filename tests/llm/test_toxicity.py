@@ -131,3 +131,15 @@ def test_a_batch_is_scored_a_few_words_at_a_time(model):
     assert peak < 12e6
     assert np.allclose([found[10_000].as_py(), found[0].as_py(), found[9_999].as_py()], one, rtol=0, atol=1e-12)
     assert [len(x) for x in t._scorer(model)([batch, batch.slice(0, 0), batch.slice(10_001)])] == [10_002, 0, 1]
+
+
+def test_the_driver_neither_reads_the_words_of_the_sample_nor_trains(monkeypatch, corpus, model):
+    def refused(*_, **__):
+        raise AssertionError("on the driver")
+
+    read, to_arrow = [], type(corpus[0]).toArrow
+    monkeypatch.setattr(type(corpus[0]), "toArrow", lambda df: read.append(df.columns) or to_arrow(df))
+    monkeypatch.setattr(t, "train", refused)
+    again = t.fit(*corpus)
+    assert read and not any("ids" in columns for columns in read)
+    assert np.array_equal(again.embed, model.embed) and again.offset == model.offset and again.thresholds == model.thresholds

@@ -2,7 +2,7 @@
 
 Words hash into ``BUCKETS`` embeddings; filters of several widths slide over the word sequence, the largest
 response of each filter over the whole text is kept, and a logistic layer turns these into a score. It is
-trained here, in numpy, on a bounded sample of labelled rows; scoring reads every word of every document, and the
+trained here, in numpy and in one task, on a bounded sample of labelled rows; scoring reads every word of every document, and the
 thresholds come from the scores of all labelled rows that it was not fitted on.
 
 A filter's response is a sum of one table lookup per word of its window (embedding times filter column,
@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,6 +213,37 @@ def fold(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 5, F.lit(0))
 
 
+# The order of the training sample, which its rows carry, and what a fitted network is besides its embeddings.
+_ORDER = ("id_hash", "id", "ids_hash")
+_REST = "filters array<binary>, bias array<float>, weight array<float>, offset double"
+
+
+def _fitted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The network fitted on a sample without the part that ``key`` names, and the log odds, in steps, that it gives to
+    each row of this part. The texts are read where they lie in the table."""
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in _ORDER]).to_numpy()
+    words, label = table["ids"].combine_chunks(), table["label"].to_numpy()[order].astype(float)
+    texts = [np.frombuffer(words[int(i)].as_buffer(), dtype=np.int32) for i in order]
+    left_out = key[0].as_py()
+    held = np.arange(len(texts)) % PARTS == left_out
+    model = train([t for t, h in zip(texts, held, strict=True) if not h], label[~held])
+    tables = model.tables()
+    found = np.array([scores(model, tables, [t])[0] for t, h in zip(texts, held, strict=True) if h])
+    row = {
+        "without": left_out, "steps": np.round(np.log(found / (1 - found)) / STEP), "embed": model.embed.tobytes(),
+        "filters": [f.tobytes() for f in model.filters], "bias": model.bias, "weight": model.weight, "offset": model.offset,
+    }
+    types = pa.int32(), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.float32()), pa.list_(pa.float32()), pa.float64()
+    return pa.table([pa.array([v], type=t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
+
+
+def _unpacked(row: dict) -> Model:
+    floats = lambda data, *shape: np.frombuffer(data, dtype=np.float32).reshape(shape)
+    filters = [floats(data, width, DIM, FILTERS) for data, width in zip(row["filters"], WIDTHS, strict=True)]
+    narrow = [np.array(row[k], dtype=np.float32) for k in ("bias", "weight")]
+    return Model(floats(row["embed"], BUCKETS + 1, DIM), filters, *narrow, row["offset"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang="lang", label="toxic", train_rows=TRAIN_ROWS) -> Model:
     """Train on at most ``train_rows`` labelled rows outside fold 0, four fifths of which fit the network. All
     other labelled rows outside fold 0 set the thresholds. If a language has enough labelled rows for its own
@@ -232,25 +264,31 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang="
 
     # Filtered after it is written, so that the words are hashed once.
     read = settle(rows.join(F.broadcast(known), "id").select("id", "lang", "label", text_key, ids_of("text").alias("ids")), "sample")
-    sample = read.filter("ids IS NOT NULL").orderBy(F.xxhash64("id"), "id", F.xxhash64("ids")).limit(train_rows).toArrow()
-    texts = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in sample["ids"]]
-    truth = sample["label"].to_numpy().astype(float)
-    langs = np.array(sample["lang"].to_pylist(), dtype=object)
-    part, steps = np.arange(len(texts)) % PARTS, np.zeros(len(texts))
-
-    def without(k):
-        """The network fitted without part ``k``, which it scores."""
-        held = part == k
-        model = train([t for t, h in zip(texts, held, strict=True) if not h], truth[~held])
-        tables = model.tables()
-        found = np.array([scores(model, tables, [t])[0] for t, h in zip(texts, held, strict=True) if h])
-        steps[held] = np.round(np.log(found / (1 - found)) / STEP)
+    hashes = F.xxhash64("id").alias("id_hash"), F.xxhash64("ids").alias("ids_hash")
+    sample = settle(read.filter("ids IS NOT NULL").select("*", *hashes).orderBy(*_ORDER).limit(train_rows), "training")
+    # The words stay where they lie: networks are fitted in tasks, and only what a row is comes to the driver.
+    known_rows = sample.select(*_ORDER, "lang", "label", "key").orderBy(*_ORDER).toArrow()
+    truth = known_rows["label"].to_numpy().astype(float)
+    langs = np.array(known_rows["lang"].to_pylist(), dtype=object)
+    part, steps = np.arange(len(truth)) % PARTS, np.zeros(len(truth))
+
+    def without(*parts):
+        """The network fitted without each of ``parts``, which it scores; that of the last one is returned."""
+        each = sample.withColumn("without", F.explode(F.array(*[F.lit(k) for k in parts])))
+        found = each.groupBy("without").applyInArrow(_fitted, f"without int, steps array<double>, embed binary, {_REST}")
+        if parts[-1] != PARTS - 1:
+            found = found.drop("embed")
+        model = None
+        for row in found.toArrow().to_pylist():
+            steps[part == row["without"]] = row["steps"]
+            if row["without"] == PARTS - 1:
+                model = _unpacked(row)
         return model
 
-    model = without(PARTS - 1)
+    model = without(PARTS - 1) or train([], [])
     # The rest are scored where they lie and counted per language; only counts come to the driver.
     taken = rows.sparkSession.createDataFrame(
-        sorted(zip(sample["id"].to_pylist(), sample["key"].to_pylist(), strict=True)), rows.select("id", text_key).schema
+        sorted(zip(known_rows["id"].to_pylist(), known_rows["key"].to_pylist(), strict=True)), rows.select("id", text_key).schema
     )
     outside = score(rows.filter(fold("id") != 0).select("id", "lang", text_key, "text"), model)
     step = F.round(F.ln(F.col("score") / (1 - F.col("score"))) / STEP).cast("int").alias("step")
@@ -259,12 +297,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang="
     counted = outside.groupBy("lang", "label", "step").agg(F.sum("n").alias("n")).orderBy("lang", "label", "step").collect()
     label = np.concatenate([truth, [float(r["label"]) for r in counted]])
     of = np.concatenate([langs, np.array([r["lang"] for r in counted], dtype=object)])
-    n = np.concatenate([np.ones(len(texts)), [float(r["n"]) for r in counted]])
+    n = np.concatenate([np.ones(len(truth)), [float(r["n"]) for r in counted]])
     usable = np.concatenate([part == PARTS - 1, np.ones(len(counted), dtype=bool)])
     least = lambda rows: min((n * label)[rows].sum(), (n * (1 - label))[rows].sum())
     if any(least(mine & usable) < LEAST_LABELLED <= least(mine) for mine in [of == x for x in set(of)]):
-        for k in range(PARTS - 1):
-            without(k)
+        without(*range(PARTS - 1))
         usable[:] = True
     steps = np.concatenate([steps, [r["step"] for r in counted]])
     calibrate(model, 1 / (1 + np.exp(-steps[usable] * STEP)), label[usable], of[usable], n[usable])
